@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dedup, rolling, stamps
+from ..operators import dedup, drift, nested, rolling, stamps
 from ..session import table
 
 TRANSCRIPT_COUNTS = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"]
@@ -75,6 +75,53 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return days.where(2 * F.col("tokens_7") > F.col("tokens_30")).select("model", F.date_format("day", "yyyy-MM-dd").alias("usage_day"))
 
 
+# --- 5: drifting schemas ------------------------------------------------------------------------------------
+
+TARGETS = [
+    drift.Target("client_version", "string", ("payload.cli_version", "payload.cliVersion", "payload.version", "version", "cliVersion", "cli_version")),
+    drift.Target("session", "string", ("payload.session_id", "payload.id", "sessionId", "session_id")),
+    drift.Target("record_type", "string", ("type",)),
+    drift.Target("model", "string", ("payload.model", "payload.model_slug", "message.model", "model.id", "model")),
+    drift.Target("billing", "string", ("billing", "billing_mode", "plan.billing")),
+    drift.Target("input_tokens", "long", ("payload.info.last_token_usage.input_tokens", "message.usage.input_tokens", "message.usage.inputTokens", "input_tokens", "prompt_tokens", "context_window.total_input_tokens", "context_window.input_total")),
+    drift.Target("output_tokens", "long", ("payload.info.last_token_usage.output_tokens", "message.usage.output_tokens", "output_tokens", "completion_tokens")),
+    drift.Target("stop_reason", "string", ("message.stop_reason", "message.stopReason")),
+]
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """All records in one typed table; what doesn't fit is in _rescued."""
+    return drift.ingest(table(spark, d, "raw_record"), ["rec_id", "feed_id", "file_no", "line_no"], "body", TARGETS)
+
+
+def p5_promoted(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table after the cost field was approved: rescued values replayed into a column of its own."""
+    return drift.promote(p5_records(spark, d), drift.Target("cost", "double", ("cost", "cost.total_cost_usd")))
+
+
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "raw_record"), "body", table(spark, d, "field_alias"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_changes(spark, d).select("feed_id", F.col("file_no").cast("int").alias("file_no"), "field_path", "change")
+
+
+# --- 6: nested records --------------------------------------------------------------------------------------
+
+
+def p6_bridge(spark: SparkSession, d: str) -> DataFrame:
+    return nested.bridge(nested.occurrences(table(spark, d, "raw_record"), "rec_id", "body"))
+
+
+def p6_objects(spark: SparkSession, d: str) -> DataFrame:
+    return nested.objects(nested.occurrences(table(spark, d, "raw_record"), "rec_id", "body"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_bridge(spark, d).where("in_array").select("rec_id", F.col("path").alias("array_path"), "item_pos")
+
+
 # --- 7: mixed timestamps ------------------------------------------------------------------------------------
 
 
@@ -98,6 +145,13 @@ QUERIES = {
     "p3_unique_messages": p3_unique_messages,
     "p4_found": p4_found,
     "p4_rolling": p4_rolling,
+    "p5_found": p5_found,
+    "p5_records": p5_records,
+    "p5_promoted": p5_promoted,
+    "p5_changes": p5_changes,
+    "p6_found": p6_found,
+    "p6_bridge": p6_bridge,
+    "p6_objects": p6_objects,
     "p7_found": p7_found,
     "p7_instants": p7_instants,
 }
