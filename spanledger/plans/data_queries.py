@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dedup, drift, nested, rolling, stamps
+from ..operators import dedup, drift, forest, nested, rolling, stamps
 from ..session import table
 
 TRANSCRIPT_COUNTS = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"]
@@ -19,6 +19,31 @@ def _sum(names: list[str]):
     return total
 
 
+# --- 1: hierarchies -----------------------------------------------------------------------------------------
+
+
+def transcript_forest(spark: SparkSession, d: str) -> forest.Forest:
+    """The uuid links of all transcript lines; of a line delivered several times the first copy counts."""
+    lines = table(spark, d, "transcript_line").select("line_id", "uuid", "parent_uuid", "session_id", "agent_id")
+    once = forest.first_rows(lines, "uuid", "line_id", ["parent_uuid", "session_id", "agent_id"])
+    group = F.coalesce("session_id", "uuid")
+    return forest.Forest(once.select(F.col("uuid").alias("_id"), F.col("parent_uuid").alias("_parent"), group.alias("_group"), F.col("line_id").alias("_order"), "line_id", "agent_id"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return transcript_forest(spark, d).circle_nodes().select(F.col("_id").alias("uuid"))
+
+
+def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Every uuid with its root, depth, entry-exit interval and number of descendants."""
+    return transcript_forest(spark, d).nodes().withColumnsRenamed({"_id": "uuid", "_parent": "parent_uuid"})
+
+
+def p1_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The full path of every uuid that has a root."""
+    return forest.paths(transcript_forest(spark, d).nodes()).withColumnRenamed("_id", "uuid")
+
+
 # --- 3: messages delivered more than once -------------------------------------------------------------------
 
 
@@ -141,6 +166,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_hierarchy": p1_hierarchy,
+    "p1_paths": p1_paths,
     "p3_found": p3_found,
     "p3_unique_messages": p3_unique_messages,
     "p4_found": p4_found,
