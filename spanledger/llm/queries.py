@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stamps
 from ..session import table
+from . import packing, tokens
 from .conversations import ASSISTANT, Conversations
 
 # --- 2: conversations ---------------------------------------------------------------------------------------
@@ -35,5 +36,31 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return told.select(*order, "line_id", "role", "content").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-QUERIES = {"p2_found": p2_found, "p2_rejected": p2_rejected, "p2_conversations": p2_conversations}
+# --- 8: token ids -------------------------------------------------------------------------------------------
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(table(spark, d, "documents"), "doc_id", "text")
+
+
+# --- 9: containers ------------------------------------------------------------------------------------------
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "container_spec"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Of each capacity: containers, tokens, and the share of room left unused."""
+    used = p9_containers(spark, d).where("container_id is not null").groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("used"))
+    per = used.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"))
+    specs = table(spark, d, "container_spec").select("spec_id", "capacity_tokens")
+    return per.join(specs, "spec_id").withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p2_found": p2_found, "p2_rejected": p2_rejected, "p2_conversations": p2_conversations}
 SQL: dict[str, str] = {}
