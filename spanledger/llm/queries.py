@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stamps
 from ..session import table
-from . import packing, tokens
+from . import packing, tokens, truncation
 from .conversations import ASSISTANT, Conversations
 
 # --- 2: conversations ---------------------------------------------------------------------------------------
@@ -62,5 +62,22 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.join(specs, "spec_id").withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p2_found": p2_found, "p2_rejected": p2_rejected, "p2_conversations": p2_conversations}
+# --- 10: texts cut off --------------------------------------------------------------------------------------
+
+
+def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks for a cut, for every document."""
+    return truncation.evidence(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_evidence(spark, d).where("truncated").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source hands over a cut text."""
+    return truncation.source_shares(p10_evidence(spark, d))
+
+
+QUERIES = {"p10_found": p10_found, "p10_evidence": p10_evidence, "p10_sources": p10_sources, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p2_found": p2_found, "p2_rejected": p2_rejected, "p2_conversations": p2_conversations}
 SQL: dict[str, str] = {}
