@@ -84,11 +84,11 @@ def top_with_other(usage: DataFrame, keys: list[str], top: int) -> DataFrame:
     ranked = groups.where("_keyed").orderBy(F.desc("_tokens"), *keys)
     if top:
         ranked = ranked.limit(top)  # a top-k: each partition keeps k, then they are merged
-    kept = ranked.select(*keys, F.lit(True).alias("_shown"))
+    kept = ranked.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.lit(True).alias("_shown"))
     same = F.lit(True)
     for k in keys:
-        same = same & groups[k].eqNullSafe(kept[k])
-    flagged = groups.join(kept, same, "left").select(*(groups[k] for k in keys), *COUNTERS, F.coalesce("_shown", F.lit(False)).alias("shown"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    flagged = groups.join(kept, same, "left").select(*keys, *COUNTERS, F.coalesce("_shown", F.lit(False)).alias("shown"))
     names = [F.when(F.col("shown"), F.col(k)).alias(k) for k in keys]
     merged = flagged.select(*names, "shown", *COUNTERS).groupBy(*keys, "shown").agg(*(m.alias(c) for m, c in zip(merge_counters(), COUNTERS)))
     return merged.where("shown or requests > 0")
