@@ -48,6 +48,19 @@ def peel(parent: list[int]) -> tuple[list[int], list[int]]:
     return peeled, [v for v, c in enumerate(children) if c > 0]
 
 
+def around(parent: list[int], circle: list[int]) -> list[int]:
+    """The nodes on circles, circle by circle, each node before its child on the circle."""
+    out, seen = [], set()
+    for v in circle:
+        walk = []
+        while v not in seen:
+            seen.add(v)
+            walk.append(v)
+            v = parent[v]
+        out += walk[::-1]
+    return out
+
+
 def tours(parent: list[int], n: int) -> tuple[list[int], ...]:
     """(enter, size, depth, top, tree, on circle, parents-first order) of local trees.
 
@@ -69,7 +82,7 @@ def tours(parent: list[int], n: int) -> tuple[list[int], ...]:
     by_parent = by_parent.tolist()
     enter, depth = [0] * n + [-1] * (total - n), [0] * n + [-1] * (total - n)
     top, tree = list(range(total)), list(range(total))
-    order = circle + peeled[::-1]
+    order = around(parent, circle) + peeled[::-1]
     for v in order:
         at, d = enter[v] + 1, depth[v] + 1
         for c in by_parent[bounds[v] : bounds[v + 1]]:
@@ -86,7 +99,8 @@ class Forest:
 
     nodes has a unique, non-null _id, a _parent (null for a root), a _group that keeps related rows together, an
     _order that sorts siblings, and payload columns. annotate may add columns: it gets a partition's rows, the
-    local parent of each (-1 none, >= n outside), the parents-first order, and n.
+    local parent of each (-1 none, >= n outside), the order (circles first, each walked along from some node; then parents
+    before children), and n.
     """
 
     def __init__(self, nodes: DataFrame, annotate: Annotate | None = None, extra: list[T.StructField] | None = None):

@@ -39,6 +39,11 @@ def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return transcript_forest(spark, d).nodes().withColumnsRenamed({"_id": "uuid", "_parent": "parent_uuid"})
 
 
+def p1_levels(spark: SparkSession, d: str) -> DataFrame:
+    """State, root, depth and number of descendants of every uuid."""
+    return p1_hierarchy(spark, d).select("uuid", "state", "root", "depth", "descendants")
+
+
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     """The full path of every uuid that has a root."""
     return forest.paths(transcript_forest(spark, d).nodes()).withColumnRenamed("_id", "uuid")
@@ -168,6 +173,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_hierarchy": p1_hierarchy,
+    "p1_levels": p1_levels,
     "p1_paths": p1_paths,
     "p3_found": p3_found,
     "p3_unique_messages": p3_unique_messages,
@@ -183,4 +189,19 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_instants": p7_instants,
 }
-SQL: dict[str, str] = {}
+NODES_SQL = "nodes AS (SELECT uuid AS u, arg_min(coalesce(parent_uuid, chr(0)), line_id) AS p FROM transcript_line WHERE uuid <> '' GROUP BY uuid)"
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE {NODES_SQL}, up AS (SELECT u, p FROM nodes WHERE p IN (SELECT u FROM nodes) UNION SELECT up.u, n.p FROM up JOIN nodes n ON n.u = up.p)
+SELECT DISTINCT u AS uuid FROM up WHERE u = p""",
+    "p1_levels": f"""WITH RECURSIVE {NODES_SQL},
+up AS (SELECT u, p FROM nodes WHERE p IN (SELECT u FROM nodes) UNION SELECT up.u, n.p FROM up JOIN nodes n ON n.u = up.p AND n.p IN (SELECT u FROM nodes)),
+down AS (SELECT u, u AS root, 0 AS depth, CASE WHEN p = chr(0) THEN 'tree' ELSE 'orphan' END AS state FROM nodes WHERE p NOT IN (SELECT u FROM nodes)
+  UNION ALL SELECT n.u, d.root, d.depth + 1, d.state FROM down d JOIN nodes n ON n.p = d.u),
+below AS (SELECT p AS u, count(*) AS n FROM up GROUP BY p)
+SELECT n.u AS uuid, coalesce(d.state, CASE WHEN c.u IS NOT NULL THEN 'circle' ELSE 'below_circle' END) AS state, d.root, cast(d.depth AS BIGINT) AS depth, CASE WHEN d.u IS NOT NULL THEN coalesce(b.n, 0) END AS descendants
+FROM nodes n LEFT JOIN down d ON d.u = n.u LEFT JOIN (SELECT DISTINCT u FROM up WHERE u = p) c ON c.u = n.u LEFT JOIN below b ON b.u = n.u""",
+    "p3_unique_messages": """SELECT line_id, batch_no, uuid, request_id, message.id AS message_id, session_id FROM (
+  SELECT *, CASE WHEN k IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY k ORDER BY t DESC, line_id) END AS n FROM (
+    SELECT *, CASE WHEN request_id <> '' THEN '0:' || request_id WHEN message.id <> '' THEN '1:' || message.id WHEN uuid <> '' THEN '2:' || uuid END AS k,
+      coalesce(message.usage.input_tokens, 0) + coalesce(message.usage.output_tokens, 0) + coalesce(message.usage.cache_read_input_tokens, 0) + coalesce(message.usage.cache_creation_input_tokens, 0) AS t FROM transcript_line)) WHERE n = 1""",
+}
