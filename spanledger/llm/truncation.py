@@ -7,8 +7,10 @@ upper end of its lengths. How a text ends tells whether it stops inside a word,
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import TaskContext
@@ -16,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, shuffle_partitions
+from ..session import materialize
 
 #: Copies shorter than this say nothing: a few characters begin many texts.
 LEAST_PREFIX = 32
 #: A field limit: a length that so many and such a share of the source's texts have, among those close to its longest.
 LIMIT_ROWS, LIMIT_SHARE, LIMIT_SPIKE, LIMIT_ZONE = 8, 0.03, 0.2, 0.95
 
+#: Bytes of text of one sorted partition, and texts sampled for each to find its bounds (the driver receives those).
+SORT_BYTES, SORT_SAMPLE = 32 << 20, 8
 #: Transfers break at multiples of BLOCK bytes in a source if so many of its open-ended texts end there.
 BLOCK, BLOCK_SHARE = 512, 0.08
 
@@ -89,12 +93,24 @@ def _goes_on(text: str, longer: str) -> bool:
     return not (text.rstrip().rstrip(_CLOSERS).endswith(_STOPS) and (rest[:1].isspace() or text[-1:].isspace() or ord(text.rstrip()[-1]) > 0x2E7F))
 
 
-def prefix_of_longer(docs: DataFrame, key: str, text: str) -> DataFrame:
+@contextmanager
+def _few_samples(spark):
+    """Range bounds from SORT_SAMPLE keys a partition: the keys are whole texts."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, SORT_SAMPLE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def prefix_of_longer(docs: DataFrame, key: str, text: str, size: int | None = None) -> DataFrame:
     """(key, inside_line): the documents whose text is a strict prefix of a longer text elsewhere.
 
     Texts are range-sorted with their key, so that many equal texts spread over partitions. In sorted order the
     next different text begins with a text if any does. The end of each partition is settled with the first two
-    different texts of those that follow, a row or two for each partition.
+    different texts of those that follow, a row or two for each partition. size is the bytes of all texts, if known.
     """
     spark = docs.sparkSession
     kept = docs.where(F.length(text) >= LEAST_PREFIX).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
@@ -125,8 +141,11 @@ def prefix_of_longer(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows.append((None, part, None, None, heads[0], heads[1] if len(heads) > 1 else None, now))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    parts = shuffle_partitions(spark)
-    seen = materialize(kept.repartitionByRange(parts, "t", "k").sortWithinPartitions("t", "k").mapInPandas(run, schema), "prefixes")
+    if size is None:
+        size = kept.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(size / SORT_BYTES))
+    with _few_samples(spark):
+        seen = materialize(kept.repartitionByRange(parts, "t", "k").sortWithinPartitions("t", "k").mapInPandas(run, schema), "prefixes")
     return _settle(seen, key)
 
 
@@ -193,7 +212,8 @@ def evidence(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     open_ended = F.col("ending").isin(SENTENCE_OPEN, MARKUP_OPEN)
     aligned = open_ended & (F.col("bytes") % BLOCK == 0)
     blocks = texts.groupBy(F.col("source").alias("s3")).agg((F.sum(aligned.cast("double")) >= BLOCK_SHARE * F.sum(open_ended.cast("double"))).alias("by_block")).where("by_block")
-    longer = prefix_of_longer(docs, key, text).groupBy(key).agg(F.max("inside_line").alias("inside_line"))
+    size = texts.agg(F.sum("bytes")).first()[0] or 0
+    longer = prefix_of_longer(docs, key, text, size).groupBy(key).agg(F.max("inside_line").alias("inside_line"))
     told = texts.join(limits.withColumnsRenamed({"chars": "c_limit", "bytes": "b_limit"}), texts["source"].eqNullSafe(F.col("s2")), "left").join(blocks, texts["source"].eqNullSafe(F.col("s3")), "left").join(longer, key, "left")
     # A byte limit may fall inside a character, which is then dropped or replaced.
     at_limit = F.coalesce(F.col("chars") >= F.col("c_limit"), F.lit(False)) | F.coalesce(F.col("bytes") >= F.col("b_limit") - 3, F.lit(False))

@@ -19,12 +19,11 @@ def test_ending(text, want):
 
 def test_prefixes_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(tr, "LEAST_PREFIX", 1)
-    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    monkeypatch.setattr(tr, "SORT_BYTES", 100)
     rng = random.Random(4)
     texts = ["ab", "ab", "ab"] * 20 + ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 9))) for _ in range(150)] + ["abc", "a\nb", "漢字と", "漢字"]
     rows = list(enumerate(texts)) + [(900, None), (901, "")]
     got = {r[0] for r in tr.prefix_of_longer(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").select("doc_id").collect()}
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == {i for i, t in rows if t and any(o and len(o) > len(t) and o.startswith(t) for _, o in rows)}
 
 
