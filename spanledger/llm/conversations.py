@@ -45,9 +45,10 @@ def run_automaton(pdf: pd.DataFrame, parent: list[int], order: list[int], n: int
     talk = pd.factorize(pd.MultiIndex.from_arrays([pdf["session_id"], pdf["agent_id"]]))[0].tolist()
     state, turn = [START] * n, [-1] * n
     answered, may = [False] * n, [False] * n
-    for v in order:
-        if v >= n:
-            continue
+    lines = [v for v in order if v < n]
+    if lines and 0 <= parent[lines[0]] < n:  # a circle: what its last line hands down reaches its first in a second run
+        lines += lines
+    for v in lines:
         p = parent[v]
         if p >= n:
             above, opened = ELSEWHERE, -1
@@ -103,7 +104,7 @@ class Conversations:
     def _answered_elsewhere(self) -> DataFrame | None:
         """(_id) of user messages answered by a line of another partition; None if no line could answer one."""
         may = self.forest.local.where("may_answer").select("tree", "session_id", "agent_id").distinct()
-        links = self.forest.links().where("parent_tree is not null and end_kind <> 2").select("tree", "parent_tree", "at_turn", "at_turn_elsewhere", "at_session_id", "at_agent_id")
+        links = self.forest.links().where("parent_tree is not null").select("tree", "parent_tree", "at_turn", "at_turn_elsewhere", "at_session_id", "at_agent_id")
         if links.isEmpty():
             return None
         # Where the turn above is decided still further up, go on, as long as it is the same conversation.

@@ -80,4 +80,21 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_evidence": p10_evidence, "p10_sources": p10_sources, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p2_found": p2_found, "p2_rejected": p2_rejected, "p2_conversations": p2_conversations}
-SQL: dict[str, str] = {}
+_TALKS = r"""lines AS (
+  SELECT line_id, session_id AS s, coalesce(agent_id, '') AS a, nullif(uuid, '') AS u, parent_uuid AS p,
+    CASE WHEN regexp_matches(coalesce(message.content, ''), '[^\s]') AND lower(trim(message.role)) IN ('user', 'assistant') THEN lower(trim(message.role)) END AS kind
+  FROM transcript_line WHERE session_id <> ''),
+once AS (SELECT s, u, a, p, kind FROM (SELECT *, row_number() OVER (PARTITION BY s, u ORDER BY line_id) AS n FROM lines WHERE u IS NOT NULL) WHERE n = 1),
+good AS (SELECT s, u FROM once WHERE p IS NULL UNION ALL SELECT o.s, o.u FROM good g JOIN once o ON o.s = g.s AND o.p = g.u),
+below AS (SELECT c.s, c.u AS at, c.kind, o.u AS asked, c.a FROM once o JOIN once c ON c.s = o.s AND c.a = o.a AND c.p = o.u WHERE o.kind = 'user'
+  UNION SELECT c.s, c.u, c.kind, b.asked, c.a FROM below b JOIN once c ON c.s = b.s AND c.a = b.a AND c.p = b.at WHERE b.kind IS DISTINCT FROM 'user'),
+answered AS (SELECT DISTINCT s, asked AS u FROM below WHERE kind = 'assistant'),
+broken AS (SELECT DISTINCT s, a FROM once o WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.s = o.s AND g.u = o.u)),
+empty AS (SELECT s, a FROM (SELECT s, a, kind FROM once UNION ALL SELECT s, a, kind FROM lines WHERE u IS NULL) GROUP BY s, a HAVING count(kind) = 0),
+waiting AS (SELECT DISTINCT s, a FROM once o WHERE kind = 'user' AND NOT EXISTS (SELECT 1 FROM answered x WHERE x.s = o.s AND x.u = o.u) UNION SELECT s, a FROM lines WHERE u IS NULL AND kind = 'user')"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"WITH RECURSIVE {_TALKS} SELECT s AS session_id, a AS agent_id FROM broken UNION SELECT s, a FROM empty UNION SELECT s, a FROM waiting",
+    "p2_rejected": f"""WITH RECURSIVE {_TALKS} SELECT s AS session_id, a AS agent_id, bool_or(r = 1) AS broken, bool_or(r = 2) AS empty, bool_or(r = 3) AS unanswered
+FROM (SELECT s, a, 1 AS r FROM broken UNION ALL SELECT s, a, 2 FROM empty UNION ALL SELECT s, a, 3 FROM waiting) GROUP BY s, a""",
+}

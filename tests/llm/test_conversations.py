@@ -11,7 +11,7 @@ SCHEMA = "line_id long, session_id string, agent_id string, uuid string, parent_
 
 
 def plain(rows):
-    """{(session, agent)} to leave out."""
+    """{(session, agent): (broken, empty, unanswered)} to leave out."""
     lines, loose = {}, []
     for r in sorted(rows):
         _, s, a, u, p, role, content, _ = r
@@ -23,7 +23,7 @@ def plain(rows):
             lines.setdefault((s, u), (a or "", p, kind))
         else:
             loose.append(((s, a or ""), kind))
-    talks, out = {}, set()
+    talks, out, waits = {}, set(), set()
     for (s, u), (a, p, kind) in lines.items():
         talks.setdefault((s, a), []).append(kind)
         seen, x = set(), u
@@ -35,8 +35,8 @@ def plain(rows):
     for talk, kind in loose:
         talks.setdefault(talk, []).append(kind)
         if kind == "user":
-            out.add(talk)
-    out |= {t for t, kinds in talks.items() if not any(kinds)}
+            waits.add(talk)
+    empty = {t for t, kinds in talks.items() if not any(kinds)}
     answered = set()
     for (s, u), (a, p, kind) in lines.items():
         if kind == "assistant":
@@ -47,7 +47,8 @@ def plain(rows):
                     break
                 seen.add(x)
                 x = lines[s, x][1]
-    return out | {(s, a) for (s, u), (a, p, kind) in lines.items() if kind == "user" and (s, u) not in answered}
+    waits |= {(s, a) for (s, u), (a, p, kind) in lines.items() if kind == "user" and (s, u) not in answered}
+    return {t: (t in out, t in empty, t in waits) for t in out | empty | waits}
 
 
 def make(seed, n, sessions, agents):
@@ -62,6 +63,8 @@ def make(seed, n, sessions, agents):
             p = rng.choice((talk or same)[-4:] if rng.random() < 0.9 else same)[3]
         elif rng.random() < 0.05:
             p = "gone"
+        elif rng.random() < 0.3:
+            p = f"u{min(n - 1, i + rng.randrange(9))}"
         role = rng.choice(["user", "assistant", " Assistant", "assistant", "USER ", None, "system"])
         rows.append((i, s, a, None if rng.random() < 0.01 else f"u{i}", p, role, rng.choice(["text", "more", "text", " \n", None]), i))
         if rng.random() < 0.05:
@@ -74,7 +77,7 @@ def test_rejected_against_walk(spark, monkeypatch, seed, n, sessions, agents, li
     monkeypatch.setattr(forest, "GROUP_ROWS", limit)
     rows = make(seed, n, sessions, agents)
     made = Conversations(spark.createDataFrame(rows, SCHEMA))
-    assert {(r["session_id"], r["agent_id"]) for r in made.rejected().collect()} == plain(rows)
+    assert {(r["session_id"], r["agent_id"]): (r["broken"], r["empty"], r["unanswered"]) for r in made.rejected().collect()} == plain(rows)
 
 
 def test_order_and_edge_cases(spark):
