@@ -100,10 +100,12 @@ class Forest:
     nodes has a unique, non-null _id, a _parent (null for a root), a _group that keeps related rows together, an
     _order that sorts siblings, and payload columns. annotate may add columns: it gets a partition's rows, the
     local parent of each (-1 none, >= n outside), the order (circles first, each walked along from some node; then parents
-    before children), and n.
+    before children), and n. sizes (_group, _n) may give upper bounds of the groups' sizes where they are cheaper to get
+    than by counting nodes.
     """
 
-    def __init__(self, nodes: DataFrame, annotate: Annotate | None = None, extra: list[T.StructField] | None = None):
+    def __init__(self, nodes: DataFrame, annotate: Annotate | None = None, extra: list[T.StructField] | None = None, sizes: DataFrame | None = None):
+        self.sizes = sizes
         self.spark = nodes.sparkSession
         own = {"_id", "_parent", "_group", "_order"}
         self.payload = [f for f in nodes.schema.fields if f.name not in own]
@@ -117,7 +119,7 @@ class Forest:
         self._links: DataFrame | None = None
 
     def _lay_out(self, nodes: DataFrame) -> DataFrame:
-        counts = nodes.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+        counts = nodes.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")) if self.sizes is None else self.sizes
         sizes = counts.agg(F.sum("_n"), F.max("_n")).first()
         rows, largest = sizes[0] or 0, sizes[1] or 0
         parts = max(shuffle_partitions(self.spark), math.ceil(2 * rows / GROUP_ROWS))

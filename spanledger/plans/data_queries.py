@@ -26,8 +26,9 @@ def transcript_forest(spark: SparkSession, d: str) -> forest.Forest:
     """The uuid links of all transcript lines; of a line delivered several times the first copy counts."""
     lines = table(spark, d, "transcript_line").select("line_id", "uuid", "parent_uuid", "session_id", "agent_id")
     once = forest.first_rows(lines, "uuid", "line_id", ["parent_uuid", "session_id", "agent_id"])
-    group = F.coalesce("session_id", "uuid")
-    return forest.Forest(once.select(F.col("uuid").alias("_id"), F.col("parent_uuid").alias("_parent"), group.alias("_group"), F.col("line_id").alias("_order"), "line_id", "agent_id"))
+    group = F.coalesce("session_id", "uuid").alias("_group")
+    sizes = lines.where("uuid <> ''").groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    return forest.Forest(once.select(F.col("uuid").alias("_id"), F.col("parent_uuid").alias("_parent"), group, F.col("line_id").alias("_order"), "line_id", "agent_id"), sizes=sizes)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
