@@ -174,13 +174,13 @@ def normalise(rows: DataFrame, host_clock: DataFrame, raw: str, host: str, dicti
     given = clocked.where(~lacking)
     words = build_dictionary(given.select(*_KEYS), dictionary)
     total = words.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") > max(total // HOT_PARTS, 1000)
-    lookup = words.select(*_KEYS, "status", "micros", "n")
-    hot, cold = lookup.where(is_hot).drop("n"), lookup.where(~is_hot).drop("n")
+    is_hot = F.col("_n") > max(total // HOT_PARTS, 1000)
+    lookup = words.select(*_KEYS, F.col("status").alias("_status"), F.col("micros").alias("_micros"), F.col("n").alias("_n"))
+    hot, cold = lookup.where(is_hot).drop("_n"), lookup.where(~is_hot).drop("_n")
     out = given.join(cold, _KEYS)
     if not hot.isEmpty():
         out = given.join(broadcast(hot.select(*_KEYS)), _KEYS, "left_anti").join(cold, _KEYS).unionByName(given.join(broadcast(hot), _KEYS))
-    out = out.withColumnsRenamed({"status": "stamp_status", "micros": "stamp_micros"})
+    out = out.withColumnsRenamed({"_status": "stamp_status", "_micros": "stamp_micros"})
     none = clocked.where(lacking).withColumns({"stamp_status": F.lit(UNDATED), "stamp_micros": F.lit(None).cast("long")})
     return out.unionByName(none).drop(*_KEYS, "_host")
 

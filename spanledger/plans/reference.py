@@ -202,17 +202,19 @@ RESOLVE_SQL = r"""pairs AS (SELECT DISTINCT provider, model FROM usage), cands A
 keys AS (SELECT provider, model, p || '/' || cand AS key, 0 AS spec, rank FROM cands WHERE p <> '' AND cand NOT LIKE '%/%' UNION ALL SELECT provider, model, cand, 1, rank FROM cands),
 resolved AS (SELECT p.provider, p.model, f.key FROM pairs p LEFT JOIN (SELECT provider, model, arg_min(r.key, CASE WHEN curated THEN 0 ELSE 1 END * 1000 + spec * 100 + rank) AS key FROM keys k JOIN rates r ON r.key = k.key GROUP BY provider, model) f ON f.provider = p.provider AND f.model = p.model)"""
 RATE_SQL = RESOLVE_SQL.replace("SELECT DISTINCT provider, model FROM usage", "SELECT DISTINCT '' AS provider, model FROM usage") + ", rate AS (SELECT s.model, CASE WHEN NOT r.free THEN r.r_input END AS rate FROM resolved s LEFT JOIN rates r ON r.key = s.key)"
-ESC_SQL = """esc AS (
+TURNS_SQL = "turns AS (SELECT * REPLACE (project || '/' || cast(created // 86400 AS VARCHAR) AS session_id) FROM usage)"
+ESC_SQL = TURNS_SQL + """, esc AS (
   SELECT session_id, opening, sum(CASE WHEN later AND (open_rate IS NULL OR rate IS NULL) THEN 1 ELSE 0 END) AS unclassified, arg_max(model, rate * 1e15 - rn) FILTER (later AND rate > open_rate) AS to_model,
     coalesce(sum(cost) FILTER (later AND rate > open_rate AND billable), 0.0) AS cost_after, coalesce(sum(requests) FILTER (later AND rate > open_rate AND on_quota), 0) AS quota_after,
     coalesce(sum(requests) FILTER (later AND rate > open_rate AND needs_price AND NOT billable), 0) AS unpriced_after
-  FROM (SELECT u.*, o.opening, x.rate AS open_rate, r.rate, u.rn > 1 AND u.model <> o.opening AS later FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created, seq) AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM usage WHERE session_id IS NOT NULL) u
-    JOIN (SELECT session_id, arg_min(model, created * 100000000 + seq) AS opening FROM usage WHERE session_id IS NOT NULL GROUP BY session_id) o ON o.session_id = u.session_id LEFT JOIN rate x ON x.model = o.opening LEFT JOIN rate r ON r.model = u.model WHERE n >= 2)
+  FROM (SELECT u.*, o.opening, x.rate AS open_rate, r.rate, u.rn > 1 AND u.model <> o.opening AS later FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created, seq) AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM turns WHERE session_id IS NOT NULL) u
+    JOIN (SELECT session_id, arg_min(model, created * 100000000 + seq) AS opening FROM turns WHERE session_id IS NOT NULL GROUP BY session_id) o ON o.session_id = u.session_id LEFT JOIN rate x ON x.model = o.opening LEFT JOIN rate r ON r.model = u.model WHERE n >= 2)
   GROUP BY session_id, opening)"""
 
 
 def _rate(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    u = A.usage(spark, d)
+    """Usage with a project's day as its session (the table's own sessions hardly change model), and rates of its models."""
+    u = A.usage(spark, d).withColumn("session_id", F.concat("project", F.lit("/"), F.floor(F.col("created") / 86400).cast("string")))
     return u, lookup.input_rate(u, A.rates(spark))
 
 

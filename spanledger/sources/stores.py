@@ -104,6 +104,7 @@ class SqliteStore(DataSource):
 def read_store(spark: SparkSession, path: str, name: str, schema: str | T.StructType | None = None) -> DataFrame:
     """A table of a store. Columns of the schema that the table lacks are null."""
     spark.dataSource.register(SqliteStore)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # readers that push filters need it
     reader = spark.read.format("sqlite_store").option("path", path).option("table", name)
     return (reader.schema(schema) if schema else reader).load()
 

@@ -1,0 +1,97 @@
+"""The journal: strict, idempotent, prunable."""
+
+import json
+
+import pytest
+
+from spanledger.operators import export, journal
+from spanledger.operators.journal import Journal, Refused
+from spanledger.schema import USAGE_SCHEMA
+
+NOW = 1_780_000_000
+
+
+def frame(spark, *events):
+    return spark.createDataFrame([(e if isinstance(e, str) else json.dumps(e),) for e in events], "line string")
+
+
+def event(**more):
+    return {"event_id": "e", "provider": "p", "model": "m", "input_tokens": 1, "output_tokens": 2} | more
+
+
+@pytest.mark.parametrize("bad", [
+    "[]", "{", event(extra=1), event(input_tokens="3"), event(input_tokens=1.5), event(output_tokens=-1), event(cache_read_tokens=1e300), {k: v for k, v in event().items() if k != "event_id"}, event(cost_status="estimated"), event(billing="free"), event(cost=-1), event(cost="1"),
+    event(cost=1, billing="subscription"), event(model=None),
+])
+def test_bad_events_refuse_the_batch(spark, tmp_path, bad):
+    j = Journal(spark, str(tmp_path / "j"))
+    with pytest.raises(Refused):
+        j.record_events(frame(spark, event(event_id="good"), bad), NOW)
+    assert j.read("usage").count() == 0
+
+
+def test_record_is_idempotent(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"))
+    assert j.record_events(frame(spark, event(cost=0.5, created=1_700_000_000_000), event(event_id="f", input_tokens=1200.0), event(event_id="f")), NOW) == 2
+    assert j.record_events(frame(spark, event(), event(event_id="g", billing="subscription")), NOW) == 1
+    got = {r["event_id"]: (r["cost_status"], r["created"], r["input"]) for r in j.read("usage").collect()}
+    assert got == {"e": ("reported", 1_700_000_000, 1), "f": ("unavailable", NOW, 1200), "g": ("quota", NOW, 1)}
+    seqs = [r["seq"] for r in j.read("usage").collect()]
+    assert len(set(seqs)) == 3 and j.read("usage", after=min(seqs)).count() == 2
+
+
+def test_routing_and_tally(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"))
+    schema = "event_id string, task string, phase string, agent string, model string, provider string, category string, cost_status string, requests long, tokens long, created long, cost double, retries int, escalations int, review_defects int, test_result boolean"
+    row = lambda **m: spark.createDataFrame([{"event_id": "s1:1", "task": "t", "agent": "a", "model": "m", **m}], schema)
+    assert j.record_routing(row(cost=1.0)) == 1 and j.record_routing(row(cost=1.0)) == 0
+    assert tuple(j.read("routing").select("phase", "cost_status", "retries").first()) == ("implement", "reported", None)
+    with pytest.raises(Refused):
+        j.record_routing(row(event_id="x", retries=-1))
+    j.tally("a", "pipe", NOW)
+    j.tally("a", "pipe", NOW + 5)
+    assert [tuple(r) for r in j.tallies().collect()] == [(NOW - NOW % 86400, "a", "pipe", 2)]
+
+
+def test_prune(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"))
+    day = 86400
+    rows = [(i, f"e{i}", "p", "m", "PAID", "reported", "per_token", 1, 1, 0, 0, 0, 0, 1.0, None, c, None, None, False) for i, c in enumerate([NOW - 200 * day, NOW - 100 * day, 0, NOW - 90 * day])]
+    j.record_usage(spark.createDataFrame(rows, USAGE_SCHEMA))
+    with pytest.raises(Refused):
+        j.prune(NOW - 5 * day, NOW)
+    assert j.prune(NOW - 80 * day, NOW)["usage"] == 2
+    assert {r["event_id"] for r in j.read("usage").collect()} == {"e2", "e3"}  # undated, and the newest
+
+
+def test_lock_and_version(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"), wait=0.1)
+    (tmp_path / "j" / "lock").write_text("")
+    with pytest.raises(Refused):
+        j.tally("a", "b", NOW)
+    (tmp_path / "j" / "version.json").write_text(json.dumps({"version": journal.VERSION + 1}))
+    with pytest.raises(Refused):
+        Journal(spark, str(tmp_path / "j"))
+
+
+def test_older_files_lack_columns(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"))
+    spark.createDataFrame([(1, "e", "m")], "seq long, event_id string, model string").write.parquet(str(tmp_path / "j" / "usage"))
+    assert j.read("usage").first()["provider"] is None
+
+
+def test_exports(spark, tmp_path):
+    rows = [(1, "e", "p", "=1+1", "PAID", "reported", "per_token", 1, 1, 2, 3, 4, 5, 0.25, None, NOW - 10, "s", None, False), (2, "f", "p", "-5", "PAID", "quota", "subscription", 2, 1, 0, 0, 0, 0, None, None, 0, None, "/w", False)]
+    usage = spark.createDataFrame(rows, USAGE_SCHEMA)
+    got = export.csv_rows(usage).orderBy("created").collect()
+    assert list(got[0].asDict()) == export.CSV_COLUMNS and len(export.CSV_COLUMNS) == 15
+    assert [r["model"] for r in got] == ["-5", "'=1+1"] and got[0]["cost"] == ""
+    export.write_csv(usage, str(tmp_path / "csv"))
+    assert json.loads(export.json_rows(usage).first()[0])["session_id"] in ("s", None)
+    doc = export.summary(usage, NOW, 1)
+    assert doc["by_session"]["rows"][0]["requests"] + doc["by_session"]["other"]["requests"] == doc["totals"]["requests"] == 3
+    assert sum(p["requests"] for p in doc["provenance"]) == 3
+    assert export.validate_budget({"scope": "provider", "limit": 1}) and not export.validate_budget({"limit": 5})
+    assert export.balance_budget([{"name": "a", "scope": "model"}, {"name": "b", "scope": "global", "period": "monthly"}])["name"] == "b"
+    export.write_atomic(str(tmp_path / "x"), "hello")
+    assert (tmp_path / "x").read_text() == "hello" and (tmp_path / "x").stat().st_mode & 0o777 == 0o600

@@ -1,0 +1,148 @@
+"""Readers against small logs and stores written here."""
+
+import json
+import sqlite3
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanledger.schema import MAX_COUNT, TOKEN_BUCKETS
+from spanledger.sources import config, lines, registry, stores, telemetry
+
+SECRET = "do not show this text"
+
+
+def write(path, rows):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("".join((r if isinstance(r, str) else json.dumps(r)) + "\n" for r in rows))
+
+
+def assistant(rid, out=10, model="m-1", **usage):
+    return {"requestId": rid, "uuid": "u" + str(rid), "timestamp": "2026-01-02T03:04:05.5Z", "sessionId": "s1", "cwd": "/work/a/", "message": {"id": "x", "role": "assistant", "model": model, "content": SECRET, "usage": {"input_tokens": 5, "output_tokens": out, **usage}}}
+
+
+def test_transcripts(spark, tmp_path):
+    write(tmp_path / "t" / "a.jsonl", [assistant("r1"), assistant("r1", 20), assistant("r2", model="<synthetic>"), assistant("r3", 0, input_tokens=0), assistant(None, output_tokens=None), assistant("r4", cache_read_input_tokens=1.5), {"message": {"role": "user", "content": SECRET, "usage": None}}, '{"broken": "usage'])
+    rows = lines.transcript_usage(lines.read_lines(spark, str(tmp_path / "t")))
+    got = {(r["event_id"], r["output"], r["incomplete"]) for r in rows.collect()}
+    assert got == {("r1", 10, False), ("r1", 20, False), ("x", 0, True), ("r4", 10, False)}
+    first = rows.where("event_id = 'r4'").first()
+    assert (first["project"], first["created"], first["cache_read"]) == ("/work/a", 1767323045, 0)
+    assert SECRET not in str(rows.collect())
+    told = lines.skipped(lines.read_lines(spark, str(tmp_path / "t")), lines.TRANSCRIPT, F.col("r.timestamp").isNull()).first()
+    assert (told["lines"], told["malformed"], told["undated"]) == (8, 1, 1)
+
+
+HOSTILE = [None, True, "3", "", -1, 1.5, 1e308, 2**60, [], {}, "x" * 10]
+
+
+@pytest.mark.parametrize("key", ["input_tokens", "output_tokens", "cache_read_input_tokens"])
+def test_hostile_counts(spark, tmp_path, key):
+    write(tmp_path / "t" / "a.jsonl", [assistant(f"r{i}", **{key: v}) for i, v in enumerate(HOSTILE)])
+    rows = lines.transcript_usage(lines.read_lines(spark, str(tmp_path / "t"))).collect()
+    assert len(rows) == len(HOSTILE)
+    assert all(0 <= r[c] <= MAX_COUNT for r in rows for c in TOKEN_BUCKETS)
+
+
+def call(n, total, cached=0, reasoning=0):
+    return {"type": "event_msg", "timestamp": f"2026-01-02T00:00:{n:02d}Z", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 100, "cached_input_tokens": cached, "output_tokens": 50, "reasoning_output_tokens": reasoning, "total_tokens": 150}, "total_token_usage": {"total_tokens": total}}, "rate_limits": {"limit_id": "main", "primary": {"used_percent": n, "window_minutes": 300, "resets_at": 99}}}}
+
+
+def test_rollouts(spark, tmp_path):
+    write(tmp_path / "r" / "x.jsonl", [
+        {"type": "session_meta", "payload": {"id": "S", "cwd": "/meta"}}, {"type": "turn_context", "payload": {"model": "g-1"}}, call(1, 150, cached=40, reasoning=20), call(2, 150), {"type": "session_meta", "payload": {"id": "other"}},
+        {"type": "turn_context", "payload": {"model_slug": "g-2", "cwd": "/turn"}}, call(3, 300), call(4, 500),
+    ])
+    read = lines.read_lines(spark, str(tmp_path / "r"))
+    got = [(r["event_id"], r["model"], r["project"], r["input"], r["output"], r["reasoning"], r["cache_read"]) for r in lines.rollout_usage(read).orderBy("created").collect()]
+    assert got == [("S:1", "g-1", "/meta", 60, 30, 20, 40), ("S:2", "g-2", "/turn", 100, 50, 0, 0), ("S:3", "g-2", "/turn", 100, 50, 0, 0)]
+    assert [tuple(r) for r in lines.rollout_limits(read).select("limit_id", "window", "used_percent", "minutes").collect()] == [("main", "primary", 4.0, 300)]
+
+
+def test_snapshots(spark, tmp_path):
+    shut = lambda n, i: {"type": "session.shutdown", "timestamp": "2026-01-01T00:00:00Z", "data": {"modelMetrics": {"a": {"requests": {"count": n}, "usage": {"inputTokens": i, "outputTokens": 1}}}}}
+    write(tmp_path / "c" / "l.jsonl", [shut(2, 10), shut(2, 10), shut(5, 30), shut(6, 5)])
+    got = [(r["requests"], r["input"], r["output"]) for r in lines.snapshot_usage(lines.read_lines(spark, str(tmp_path / "c"))).orderBy("input").collect()]
+    assert got == [(2, 10, 1), (3, 20, 0)]
+
+
+def test_telemetry(spark, tmp_path):
+    made = lambda status, name="gemini_cli.api_response": json.dumps({"attributes": {"event.name": name, "event.timestamp": "2026-01-01T00:00:00Z", "model": 'm"}{', "status_code": status, "prompt_id": "p", "session.id": "s", "input_token_count": 10, "cached_content_token_count": 4, "output_token_count": 2, "total_token_count": 12}}, indent=1)
+    (tmp_path / "t.json").write_text(made(200) + made(None) + "\n" + made(500) + made(200, "other") + '{"open": "')
+    objects = telemetry.read_objects(spark, str(tmp_path / "t.json"))
+    assert objects.count() == 4
+    rows = telemetry.telemetry_usage(objects).collect()
+    assert [(r["model"], r["input"], r["cache_read"], r["event_id"]) for r in rows] == [('m"}{', 6, 4, "p:2026-01-01T00:00:00Z:12")] * 2
+
+
+@pytest.fixture
+def store(tmp_path):
+    path = str(tmp_path / "s.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE message(data TEXT, time_created INTEGER)")
+    good = {"role": "assistant", "providerID": "p", "modelID": "m", "id": "i1", "sessionID": "s", "cost": 0.5, "tokens": {"input": 3, "output": 4, "cache": {"read": 5}}}
+    con.executemany("INSERT INTO message VALUES (?, ?)", [(json.dumps(good), 1_700_000_000_000), (json.dumps({"info": good | {"id": "i2", "cost": -1}}), 1_700_000_100), (json.dumps({"role": "user"}), 5), ("not json", 6)])
+    con.execute("CREATE TABLE assistant_usage_events(id TEXT, session_id TEXT, model TEXT, input_tokens INT, output_tokens INT, cache_read_tokens INT, created_at TEXT)")
+    con.executemany("INSERT INTO assistant_usage_events VALUES (?,?,?,?,?,?,?)", [("e1", "s1", "m", 10, 5, 4, "2026-01-01T00:00:00Z"), ("e2", "gone", "m", 1, 1, None, "1700000000000")])
+    con.execute("CREATE TABLE sessions(id TEXT, cwd TEXT)")
+    con.execute("INSERT INTO sessions VALUES ('s1', '/w/')")
+    con.commit()
+    con.close()
+    return path
+
+
+def test_stores(spark, store):
+    rows = stores.message_usage(stores.read_store(spark, store, "message", "data string, time_created long")).orderBy("event_id").collect()
+    assert [(r["event_id"], r["cost"], r["cost_status"], r["created"], r["cache_read"]) for r in rows] == [("i1", 0.5, "reported", 1_700_000_000, 5), ("i2", None, "unavailable", 1_700_000_100, 5)]
+    late = stores.read_store(spark, store, "message").where("time_created >= 1700000000000")
+    assert late.count() == 1
+    events = stores.event_usage(stores.read_store(spark, store, "assistant_usage_events", stores.EVENTS), stores.read_store(spark, store, "sessions", stores.SESSIONS)).orderBy("event_id").collect()
+    assert [(r["event_id"], r["input"], r["cache_read"], r["project"], r["created"]) for r in events] == [("e1", 6, 4, "/w", 1767225600), ("e2", 1, 0, None, 1700000000)]
+    assert stores.store_of(["/nowhere.db", store], {"sessions", "message"}) == store
+
+
+def test_registry_merges_in_order(spark, tmp_path, store):
+    write(tmp_path / "t" / "a.jsonl", [assistant("i1", 99), assistant("r1")])
+    rows = registry.read_all(spark, {"opencode": store, "claude_code": str(tmp_path / "t")}).collect()
+    assert sorted((r["event_id"], r["output"]) for r in rows) == [("i1", 99), ("i2", 4), ("r1", 10)]
+    said = {r["id"]: r["status"] for r in registry.report(spark, {"opencode": "/nowhere.db", "claude_code": str(tmp_path / "t")})}
+    assert said["opencode"] == "failed" and said["claude_code"] == "ok" and said["codex"] == "absent"
+
+
+def test_rate_tables(spark, tmp_path):
+    (tmp_path / "r.toml").write_text('[model."A"]\ninput = 1\noutput = 2.5\n[model."A".tier-200]\ninput = 3\n[[model."A".period]]\nthrough = "2026-01-31"\ninput = 9\n[model."bad"]\ninput = -1\n[model."F"]\nfree = true\n[model."F".tier-x]\ninput = 1\n')
+    rates, tiers, periods, warnings = config.read_rates_toml(spark, str(tmp_path / "r.toml"))
+    assert {(r["key"], r["free"], r["r_input"]) for r in rates.collect()} == {("a", False, 1.0), ("f", True, None)}
+    assert [(r["threshold"], r["r_input"]) for r in tiers.collect()] == [(200, 3.0)] and periods.count() == 1 and len(warnings) == 2
+    (tmp_path / "r.tsv").write_text("a\tinput=1\toutput=2\na\tinput=3\ttier=100\nbroken\tinput=x\nalone\n# note\n")
+    rates, tiers, skipped = config.read_rates_tsv(spark, str(tmp_path / "r.tsv"))
+    assert rates.count() == 1 and tiers.first()["threshold"] == 100 and skipped.first()[0] == 2
+
+
+def test_pricing_page(spark):
+    html = "<p>x</p><table><tr><th>Model</th><th>Input</th><th>Output</th></tr><tr><td><b>Big One 2.5</b></td><td>$1.25</td><td>Free</td></tr></table><table><tr><td>other</td><td>1</td></tr></table>"
+    got = config.pricing_rows(spark.createDataFrame([(html,), (None,)], "h string"), "h").collect()
+    assert [(r["key"], r["prices"]) for r in got] == [("big-one-2.5", [1.25, 0.0])]
+
+
+def test_limits_and_status_line(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"id": "a", "tierLabel": "Pro", "updatedAt": "x", "limits": [{"label": "l", "title": "T", "percent": 1.4}, {"label": "m", "percent": -1}]}))
+    assert [(r["label"], r["fraction"]) for r in config.read_panel_limits(spark, str(tmp_path)).collect()] == [("T", 1.0)]
+    line = json.dumps({"rate_limits": {"five_hour": {"used_percentage": 42, "resets_at": 1000 + 8040}, "seven_day": {"used_percentage": 9, "resets_at": 1}}})
+    assert config.status_windows(spark.createDataFrame([(line,), ("{}",)], "line string"), 1000).select("status_line").orderBy(F.desc("status_line")).collect()[0][0] == "5h 42% (resets 2h 14m)"
+
+
+def test_billing_evidence(tmp_path):
+    assert config.billing_of("per_token", account={}) == ("per_token", "setting")
+    assert config.billing_of(api_key=True, account={}) == ("per_token", "api key")
+    assert config.billing_of(account={}) == ("subscription", "account")
+    assert config.sticky_billing(("subscription", "account"), config.billing_of()) == ("subscription", "account")
+    assert config.read_account(str(tmp_path / "none.json")) is None
+    (tmp_path / "s" / "subagents").mkdir(parents=True)
+    (tmp_path / "s" / "subagents" / "agent-1.jsonl").write_text("")
+    assert config.transcript_of(str(tmp_path), "s", "1").endswith("agent-1.jsonl") and config.transcript_of(str(tmp_path), "s", "2").endswith("s.jsonl")
+
+
+def test_sse(spark):
+    df = spark.createDataFrame([("data: {\"a\":1}",), ("data: [DONE]",), ("",), ("{\"a\":2}",), (": ping",)], "line string")
+    assert [r[0] for r in lines.sse_documents(df).collect()] == ['{"a":1}', '{"a":2}']
