@@ -87,14 +87,15 @@ windows AS (
 
 # Example dimensions, as parameters of the queries; not anyone's prices.
 RATES = [
-    ("sable-5", True, False, 3.0, 15.0, None, 0.3, 3.75), ("glint-4", True, False, 1.0, 5.0, 6.0, 0.1, 1.25), ("quillon-3b", False, True, None, None, None, None, None), ("anthropic/sable-5-long", False, False, 6.0, 22.5, None, 0.6, 7.5),
-    ("sable-5-long", False, False, 5.0, 20.0, None, None, 6.0), ("glint-4-mini", False, False, 0.25, 1.25, None, 0.025, 0.3), ("cobble-3", False, False, 2.0, 8.0, None, 0.5, None), ("lumen-1", True, False, 0.5, 2.5, None, 0.05, 0.6),
+    ("sable-1:70b", True, False, 3.0, 15.0, None, 0.3, 3.75), ("glint-1-pro", True, False, 1.0, 5.0, 6.0, 0.1, 1.25), ("harrow-1-free", False, True, None, None, None, None, None), ("anthropic/marrow-1", False, False, 6.0, 22.5, None, 0.6, 7.5),
+    ("marrow-1", False, False, 5.0, 20.0, None, None, 6.0), ("tessel-1-mini", False, False, 0.25, 1.25, None, 0.025, 0.3), ("cobble-1", False, False, 2.0, 8.0, None, 0.5, None), ("lumen-1", True, False, 0.5, 2.5, None, 0.05, 0.6),
+    ("gemini/lumen-2", False, False, 0.7, 2.8, None, 0.07, 0.7), ("quillon-1:7b", False, False, 4.0, 16.0, None, 0.4, 5.0),
 ]
-TIERS = [("sable-5", 2000, 6.0, 22.5), ("sable-5", 10000, 9.0, 30.0), ("lumen-1", 5000, 1.0, 5.0)]
-PERIODS = [("glint-4", "2025-12-31", 2.0, 10.0), ("glint-4", "2026-03-31", 1.5, 7.5), ("cobble-3", "2026-01-31", 4.0, 16.0)]
+TIERS = [("sable-1:70b", 2000, 6.0, 22.5), ("sable-1:70b", 10000, 9.0, 30.0), ("lumen-1", 5000, 1.0, 5.0)]
+PERIODS = [("glint-1-pro", "2025-12-31", 2.0, 10.0), ("glint-1-pro", "2026-03-31", 1.5, 7.5), ("cobble-1", "2026-01-31", 4.0, 16.0)]
 BUDGETS = [
     ("all-month", "global", None, NOW - 30 * 86400, 50.0, 75.0, 90.0), ("all-day", "global", None, DAY_START, 1.0, 75.0, 90.0), ("anthropic", "provider", "Anthropic", NOW - 30 * 86400, 12.0, 50.0, 80.0),
-    ("sable", "model", "SABLE-5", NOW - 30 * 86400, 4.0, 75.0, 90.0), ("unused", "provider", "nobody", DAY_START, 5.0, 75.0, 90.0),
+    ("sable", "model", "SABLE-1:70B", NOW - 30 * 86400, 4.0, 75.0, 90.0), ("unused", "provider", "nobody", DAY_START, 5.0, 75.0, 90.0),
 ]
 
 
