@@ -7,10 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from io import BytesIO
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -87,6 +91,29 @@ def _drop_written() -> None:
             pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once an application, so that their Python workers can import it from anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent
+    held = BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    folder = shared_dir(spark).removeprefix("file://")
+    if folder.startswith("file:"):
+        folder = folder.removeprefix("file:")
+    if "://" in folder:
+        return  # an object store: the package comes with --py-files or an installation
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    path = Path(folder) / f"spanledger-{uuid.uuid4().hex}.zip"
+    path.write_bytes(held.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    atexit.register(path.unlink, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
