@@ -164,22 +164,26 @@ class Forest:
         """Each tree that hangs below another partition's node or below a missing one, resolved.
 
         tree, weight (its nodes), ext, parent_tree, at_enter, at_size, at_depth (of the node it hangs on; null if
-        missing), end_kind (ROOT, MISSING, CIRCLE), end_tree, offset (depth of its tops), on_circle, and the
+        missing), end_kind (ROOT, MISSING, CIRCLE), end_tree, offset (depth of its tops), root (null if itself), on_circle, and the
         columns of the node it hangs on that annotate() and the payload gave, prefixed by at_.
         """
         if self._links is None:
             hung = self.local.where((F.col("kind") == EXTERNAL) & (F.col("depth") == 0)).groupBy("tree").agg(F.first("ext").alias("ext"), F.sum("size").alias("weight"))
             more = [f.name for f in [*self.extra, *self.payload]]
-            at = self.local.select(F.col("_id").alias("ext"), F.col("tree").alias("parent_tree"), F.col("kind").alias("at_kind"), *(F.col(c).alias(f"at_{c}") for c in ["enter", "size", "depth", *more]))
+            at = self.local.select(F.col("_id").alias("ext"), F.col("tree").alias("parent_tree"), F.col("kind").alias("at_kind"), *(F.col(c).alias(f"at_{c}") for c in ["enter", "size", "depth", "top", *more]))
             found = materialize(hung.join(at, "ext", "left"), "links")
-            kind = F.when(F.col("parent_tree").isNull(), MISSING).when(F.col("at_kind") == EXTERNAL, F.lit(None)).otherwise(F.col("at_kind"))
-            steps = found.select(
-                F.col("tree").alias("id"), F.when(F.col("at_kind") == EXTERNAL, F.col("parent_tree")).alias("ptr"), F.coalesce(F.col("at_depth") + 1, F.lit(0)).alias("total"),
-                F.coalesce("parent_tree", "tree").alias("last"), kind.cast("int").alias("end_kind"),
+            # A tree whose parent is missing is an end itself, so that what hangs on it learns on which of its tops.
+            lost = found.where("parent_tree is null").select(F.col("tree").alias("parent_tree"), F.lit(True).alias("on_lost"))
+            known = found.join(lost, "parent_tree", "left")
+            kind = F.when(F.col("parent_tree").isNull() | F.col("on_lost"), MISSING).when(F.col("at_kind") == EXTERNAL, F.lit(None)).otherwise(F.col("at_kind"))
+            goes_on = (F.col("at_kind") == EXTERNAL) & F.col("on_lost").isNull()
+            steps = known.select(
+                F.col("tree").alias("id"), F.when(goes_on, F.col("parent_tree")).alias("ptr"), F.coalesce(F.col("at_depth") + 1, F.lit(0)).alias("total"),
+                F.coalesce("parent_tree", "tree").alias("last"), kind.cast("int").alias("end_kind"), F.col("at_top").alias("root"),
             )
-            ends = jump(steps, ["last", "end_kind"])
+            ends = jump(steps, ["last", "end_kind", "root"])
             circles = ends.where("ptr is not null").select(F.col("ptr").alias("tree")).distinct().withColumn("on_circle", F.lit(True))
-            ends = ends.select(F.col("id").alias("tree"), F.coalesce("end_kind", F.lit(CIRCLE)).alias("end_kind"), F.col("last").alias("end_tree"), F.col("total").alias("offset"))
+            ends = ends.select(F.col("id").alias("tree"), F.coalesce("end_kind", F.lit(CIRCLE)).alias("end_kind"), F.col("last").alias("end_tree"), F.col("total").alias("offset"), "root")
             self._links = materialize(found.join(ends, "tree").join(circles, "tree", "left").fillna(False, ["on_circle"]), "links")
         return self._links
 
@@ -204,21 +208,21 @@ class Forest:
         segments = self._segments(links)
         cut = segments.groupBy("tree").agg(F.max("j").alias("cuts")).where("cuts > 0").select("tree")
         on = self.circle_nodes().select("_id").withColumn("_on", F.lit(True))
-        mine = self.local.drop("on_circle").join(links.select("tree", "end_kind", "end_tree", "offset"), "tree", "left")
-        mine = mine.withColumns({"end_kind": F.coalesce("end_kind", "kind"), "end_tree": F.coalesce("end_tree", "tree"), "offset": F.coalesce("offset", F.lit(0))})
+        mine = self.local.drop("on_circle").join(links.select("tree", "end_kind", "offset", "root"), "tree", "left")
+        ok = F.coalesce("end_kind", "kind") != CIRCLE
+        mine = mine.withColumns({"root": F.when(ok, F.coalesce("root", "top")), "end_kind": F.coalesce("end_kind", "kind"), "offset": F.coalesce("offset", F.lit(0))})
         whole = mine.join(cut, "tree", "left_anti").join(segments.where("j = 0").select("tree", "start"), "tree", "left")
         whole = whole.withColumns({"start": F.coalesce("start", F.lit(0))}).withColumns({"g": F.col("start") + F.col("enter"), "h": F.col("start") + F.col("enter") + F.col("size")}).drop("start")
         parted = mine.join(cut, "tree", "left_semi")
         schema = T.StructType([*parted.schema.fields, T.StructField("g", T.LongType()), T.StructField("h", T.LongType())])
         placed = parted.groupBy("tree").cogroup(segments.groupBy("tree")).applyInPandas(_place, schema)
         rows = materialize(whole.unionByName(placed.select(whole.columns)), "tours")
-        # A tree of orphans has one numbering for several roots: it starts anew at each of them.
-        tops = rows.where((F.col("depth") == 0) & (F.col("end_kind") != CIRCLE) & (F.col("tree") == F.col("end_tree"))).select(F.col("tree").alias("end_tree"), F.col("_id").alias("root"), F.col("g").alias("g0"), F.col("h").alias("h0"))
-        simple = rows.where((F.col("tree") == F.col("end_tree")) & (F.col("end_kind") != CIRCLE)).join(tops.select(F.col("root").alias("top"), "g0"), "top").withColumn("root", F.col("top"))
-        apart = rows.where((F.col("tree") != F.col("end_tree")) & (F.col("end_kind") != CIRCLE)).join(tops, "end_tree").where("g >= g0 and g < h0").drop("h0")
-        bad = rows.where(F.col("end_kind") == CIRCLE).withColumns({"root": F.lit(None).cast(rows.schema["_id"].dataType), "g0": F.lit(0)})
+        # Orphans of one missing parent share a numbering: it starts anew at each of them.
+        orphans = rows.where(F.col("end_kind") == MISSING)
+        tops = orphans.where(F.col("_id") == F.col("root")).select("root", F.col("g").alias("g0"))
+        rows = rows.where(F.col("end_kind") != MISSING).withColumn("g0", F.lit(0).cast("long")).unionByName(orphans.join(tops, "root"), allowMissingColumns=False)
         names = [f.name for f in self.payload]
-        done = simple.unionByName(apart.select(simple.columns)).unionByName(bad.select(simple.columns)).join(on, "_id", "left")
+        done = rows.join(on, "_id", "left")
         ok = F.col("end_kind") != CIRCLE
         state = F.when(F.col("_on"), "circle").when(~ok, "below_circle").when(F.col("end_kind") == MISSING, "orphan").otherwise("tree")
         return done.select(
