@@ -178,3 +178,10 @@ def cost_display(status: Column, cost: Column) -> Column:
 def cost_sort_key(status: Column, cost: Column) -> Column:
     """Free and local sort as 0; quota and unavailable have no place on the scale."""
     return F.when(status.isin("free", "local"), F.lit(0.0)).when(status.isin("quota", "unavailable"), F.lit(None).cast("double")).otherwise(cost)
+
+
+def coverage_label(pct: Column, quota_requests: Column) -> Column:
+    """What a total stands on: all priced from 99.95 %, else the share, beside the requests on quota."""
+    quota = F.concat(format_count(quota_requests), F.lit(" on quota"))
+    priced = F.when(pct >= 99.95, "all priced").when(pct.isNotNull(), F.concat(F.format_string("%.0f", pct), F.lit("% priced")))
+    return F.when(quota_requests > 0, F.concat_ws(" · ", priced, quota)).otherwise(F.coalesce(priced, F.lit("")))

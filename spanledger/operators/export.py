@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import csv_guard
 from ..schema import TOKEN_BUCKETS, total_tokens
+from . import routing as R
 from . import usage as U
 
 # The columns of the CSV, in their order; new ones go to the end.
@@ -49,6 +50,55 @@ def summary(usage: DataFrame, now: int, top: int = 10) -> dict:
     return out
 
 
+def usage_document(usage: DataFrame, limits: DataFrame, transitions: DataFrame) -> DataFrame:
+    """One row a record of the full export, by section: rows, limits, escalations and provenance."""
+    part = lambda name, df: df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return part("rows", usage).unionByName(part("limits", limits)).unionByName(part("escalations", transitions)).unionByName(part("provenance", U.provenance(usage)))
+
+
+def routing_rows(events: DataFrame, since: int | None = None) -> DataFrame:
+    """Routing events as text columns of a CSV: all history unless a range is given."""
+    kept = events if since is None else events.where(F.col("created") >= since)
+    text = {f.name for f in kept.schema if f.dataType.simpleString() == "string"}
+    return kept.select(*(F.coalesce(csv_guard(F.col(c)) if c in text else F.col(c).cast("string"), F.lit("")).alias(c) for c in kept.columns))
+
+
+def routing_document(events: DataFrame, since: int | None = None) -> DataFrame:
+    """One JSON object for each agent, model and provider with its aggregates and rates; an unknown stays null."""
+    kept = events if since is None else events.where(F.col("created") >= since)
+    agg = R.aggregates(kept)
+    keys = ["agent", "model", "provider"]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"r.{k}"))
+    both = agg.alias("a").join(R.rates(agg).alias("r"), same).select("a.*", "r.basis", "r.cost_per_success", "r.success_rate", *(f"r.{c}_rate" for c in R.OBSERVED))
+    return both.select(F.to_json(F.struct(*both.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def check_budgets(status: DataFrame) -> tuple[list[dict], int]:
+    """(the budgets that ask for something to be done, exit code: 1 if there are any)."""
+    alerts = [r.asDict() for r in actionable(status).orderBy("name").limit(1000).collect()]
+    return alerts, int(bool(alerts))
+
+
+def doctor(sources: list[dict], usage: DataFrame, stats: DataFrame) -> list[str]:
+    """A report of a few lines: each source, the journal's tables, and what the costs stand on."""
+    out = [f"{s['id']}: {s['status']}, {s['rows']} rows" + (f" ({s['detail']})" if s["detail"] else "") for s in sources]
+    out += [f"journal {r['table_name']}: {r['n']} rows" for r in stats.orderBy("table_name").collect()]
+    return out + [f"{r['cost_status']}: {r['requests']} requests" for r in U.provenance(usage).orderBy("place").collect()]
+
+
+def unknown_keys(value, shape, at: str = "") -> list[str]:
+    """The keys of a document that its shape (nested dicts, one-element lists, None for any scalar) doesn't name."""
+    if isinstance(value, dict):
+        if not isinstance(shape, dict):
+            return [at or "."]
+        return [p for k, v in value.items() for p in (unknown_keys(v, shape[k], f"{at}.{k}") if k in shape else [f"{at}.{k}"])]
+    if isinstance(value, list) and isinstance(shape, list):
+        return [p for v in value for p in unknown_keys(v, shape[0], at + "[]")]
+    return []
+
+
 def actionable(status: DataFrame) -> DataFrame:
     """The budgets that ask for something to be done."""
     return status.where(F.col("level") != "ok")

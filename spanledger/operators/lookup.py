@@ -12,7 +12,8 @@ RATES = TOKEN_BUCKETS
 
 
 def overlay(layers: DataFrame) -> DataFrame:
-    """Of each key the row of its highest layer."""
+    """Of each key the rows of its highest layer (its base, or its tiers). Periods are overlaid on their own: a key
+    that the upper layer gives no periods keeps the lower layer's."""
     top = layers.groupBy("key").agg(F.max("layer").alias("layer"))
     return layers.join(top, ["key", "layer"])
 

@@ -104,3 +104,19 @@ def hook_activity(recorded: DataFrame, withheld: DataFrame, prefix: str) -> Data
     a = recorded.where(F.col("agent").startswith(prefix)).agg(F.count(F.lit(1)).alias("recorded"))
     b = withheld.where(F.col("agent").startswith(prefix)).agg(F.coalesce(F.sum("runs"), F.lit(0)).alias("withheld"))
     return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def attributed_requests(events: DataFrame, prefix: str) -> DataFrame:
+    """One row: the requests already attributed to events whose id begins with prefix (taken literally) and that have tokens."""
+    mine = F.col("event_id").startswith(prefix) & (F.col("tokens") > 0)
+    return events.agg(F.coalesce(F.sum(F.when(mine, F.col("requests"))), F.lit(0)).alias("attributed"))
+
+
+def routing_events(observed: DataFrame, usage: DataFrame, session: str, skip: int, phase: str = "implement") -> DataFrame:
+    """A routing event of an observed test run: what was used since the last one, beside its verdict."""
+    spent = attribution(usage, session, skip).withColumnRenamed("cost_status", "status").withColumn("_one", F.lit(1))
+    seen = observed.where(F.col("passed").isNotNull()).select("session_id", "tool_use_id", "agent_type", "passed").withColumn("_one", F.lit(1))
+    return seen.join(spent, "_one").select(
+        F.concat_ws(":", "session_id", "tool_use_id").alias("event_id"), F.col("session_id").alias("task"), F.lit(phase).alias("phase"), F.coalesce("agent_type", F.lit("main")).alias("agent"), F.col("requests"), F.col("tokens"), "cost",
+        F.col("status").alias("cost_status"), F.col("passed").alias("test_result"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import listed_price, slug, strip_html
+from ..functions.scalars import format_duration, listed_price, rfc3339_seconds, slug, strip_html
 from ..operators.limits import fraction
 from ..schema import TOKEN_BUCKETS
 from .lines import S, struct
@@ -90,6 +90,30 @@ def read_panel_limits(spark: SparkSession, path: str) -> DataFrame:
     return w.select("agent", "tier", "updated_at", F.coalesce("w.title", "w.label").alias("label"), fraction(F.col("w.percent")).alias("fraction"), F.col("w.resetsAt").alias("resets_at")).where("fraction is not null")
 
 
+# The window kinds of a cached utilisation record and their names.
+CACHE_KINDS = {"session": "Session (5-hour)", "weekly_all": "Weekly (all models)", "weekly_scoped": "Weekly"}
+# Only what is declared is read: account identifiers and the like never leave the scan.
+CACHE = struct(cachedUsageUtilization=struct(
+    fetchedAtMs=T.DoubleType(), utilization=struct(limits=T.ArrayType(struct(kind=S, percent=T.DoubleType(), resets_at=S, scope=struct(model=struct(display_name=S))))),
+))
+
+
+def read_cached_limits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(windows: fetched_at, label, fraction, resets_at; dropped: one row) of cached utilisation, a JSON object a file.
+
+    Kinds outside the vocabulary and percentages that aren't numbers from 0 are dropped and counted.
+    """
+    r = spark.read.schema(CACHE).option("multiLine", "true").json(path)
+    at = F.floor(F.col("cachedUsageUtilization.fetchedAtMs") / 1000).cast("long")
+    each = r.select(at.alias("fetched_at"), F.explode("cachedUsageUtilization.utilization.limits").alias("l"))
+    model, kind = F.col("l.scope.model.display_name"), F.col("l.kind")
+    label = F.create_map(*(F.lit(x) for pair in CACHE_KINDS.items() for x in pair))[kind]
+    label = F.when(kind == "weekly_scoped", F.concat(label, F.coalesce(F.concat(F.lit(" · "), model), F.lit(" (scoped)")))).otherwise(label)
+    named = each.select("fetched_at", label.alias("label"), fraction(F.col("l.percent") / 100).alias("fraction"), rfc3339_seconds(F.col("l.resets_at")).alias("resets_at"))
+    good = F.col("label").isNotNull() & F.col("fraction").isNotNull()
+    return named.where(good), named.agg(F.coalesce(F.sum((~good).cast("int")), F.lit(0)).alias("dropped"))
+
+
 # The window kinds of a status line.
 STATUS_WINDOWS = {"five_hour": "5h", "seven_day": "7d", "spend_limit": "spend"}
 STATUS_LINE = struct(rate_limits=struct(**{k: struct(used_percentage=T.DoubleType(), resets_at=T.DoubleType()) for k in STATUS_WINDOWS}))
@@ -97,8 +121,6 @@ STATUS_LINE = struct(rate_limits=struct(**{k: struct(used_percentage=T.DoubleTyp
 
 def status_windows(lines: DataFrame, now: int) -> DataFrame:
     """The live windows of each status line, as an array and as one text such as `5h 42% (resets 2h 14m)`."""
-    from ..functions.scalars import format_duration
-
     r = lines.select("*", F.from_json("line", STATUS_LINE).alias("s"))
     each = F.array(*(F.struct(F.lit(short).alias("label"), F.col(f"s.rate_limits.{k}.used_percentage").alias("pct"), F.col(f"s.rate_limits.{k}.resets_at").cast("long").alias("at")) for k, short in STATUS_WINDOWS.items()))
     live = F.filter(each, lambda w: w["pct"].isNotNull() & (w["at"].isNull() | (w["at"] > now)))

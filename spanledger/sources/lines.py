@@ -144,3 +144,40 @@ def sse_documents(lines: DataFrame) -> DataFrame:
     """The JSON documents of a piped response: NDJSON or server-sent events, without `data:` and [DONE]."""
     body = F.trim(F.regexp_replace("line", r"^\s*data:\s*", ""))
     return lines.withColumn("line", body).where((F.col("line") != "") & (F.col("line") != "[DONE]") & ~F.col("line").rlike(r"^(event|id|retry):|^:"))
+
+
+def piped_documents(lines: DataFrame) -> DataFrame:
+    """pos, line of a piped response: its NDJSON or event lines, or, where no line parses by itself, the whole as one document."""
+    each = sse_documents(lines)
+    alone = each.where(F.try_parse_json("line").isNotNull() & F.col("line").startswith("{"))
+    if not alone.isEmpty():
+        return alone
+    whole = each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("line"))  # one response
+    return whole.select(F.lit(0).cast("long").alias("pos"), "line").where("line <> ''")
+
+
+LOCAL_DONE = struct(model=S, created_at=S, prompt_eval_count=D, eval_count=D, done=T.BooleanType())
+LOCAL_CHAT = struct(id=S, model=S, created=D, usage=struct(prompt_tokens=D, completion_tokens=D, prompt_tokens_details=struct(cached_tokens=D), completion_tokens_details=struct(reasoning_tokens=D)))
+
+
+def _last(documents: DataFrame, schema: T.StructType, wanted: str) -> DataFrame:
+    return documents.select("pos", F.from_json("line", schema).alias("d")).where(wanted).agg(F.max_by("d", "pos").alias("d")).where("d is not null").select("d.*")
+
+
+def local_generate_usage(documents: DataFrame, now: int) -> DataFrame:
+    """The request that a stream of generate responses ends with: the last one that is done."""
+    r = _last(documents, LOCAL_DONE, "d.done")
+    n = lambda c: F.coalesce(count_or_null(F.col(c)), F.lit(0))
+    created = F.coalesce(rfc3339_seconds(F.regexp_replace("created_at", r"(\.\d{6})\d+", "$1")), F.lit(now))
+    return as_usage(r, seq=F.lit(0), event_id=F.concat_ws(":", F.lit("ollama"), "model", "created_at"), provider=F.lit("ollama"), model=F.col("model"), category=F.lit("LOCAL"), cost_status=F.lit("local"), input=n("prompt_eval_count"), output=n("eval_count"), created=created)
+
+
+def local_chat_usage(documents: DataFrame, now: int) -> DataFrame:
+    """The request that a stream of chat responses ends with: the last one with usage. Cached tokens are taken out of the prompt."""
+    r = _last(documents, LOCAL_CHAT, "d.usage is not null")
+    n = lambda c: F.coalesce(count_or_null(F.col(c)), F.lit(0))
+    cached, reasoning = F.least(n("usage.prompt_tokens_details.cached_tokens"), n("usage.prompt_tokens")), F.least(n("usage.completion_tokens_details.reasoning_tokens"), n("usage.completion_tokens"))
+    return as_usage(
+        r, seq=F.lit(0), event_id=F.col("id"), provider=F.lit("llamacpp"), model=F.col("model"), category=F.lit("LOCAL"), cost_status=F.lit("local"), input=n("usage.prompt_tokens") - cached, output=n("usage.completion_tokens") - reasoning, reasoning=reasoning, cache_read=cached,
+        created=F.coalesce(F.col("created").cast("long"), F.lit(now)),
+    )

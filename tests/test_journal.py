@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from spanledger.operators import export, journal
+from spanledger.functions import scalars
+from spanledger.operators import export, journal, routing
 from spanledger.operators.journal import Journal, Refused
 from spanledger.schema import USAGE_SCHEMA
 
@@ -95,3 +97,23 @@ def test_exports(spark, tmp_path):
     assert export.balance_budget([{"name": "a", "scope": "model"}, {"name": "b", "scope": "global", "period": "monthly"}])["name"] == "b"
     export.write_atomic(str(tmp_path / "x"), "hello")
     assert (tmp_path / "x").read_text() == "hello" and (tmp_path / "x").stat().st_mode & 0o777 == 0o600
+
+
+def test_routing_exports_and_checks(spark):
+    events = spark.createDataFrame([("s:%_1", "=x", "m", "p", "reported", 1, 5, 1.0, 10, None, 1, None, True), ("s:2", "a", "m", "p", "quota", 2, 5, None, 20, 0, 0, None, None)],
+        "event_id string, agent string, model string, provider string, cost_status string, requests long, tokens long, cost double, created long, retries int, escalations int, review_defects int, test_result boolean")
+    assert {r["agent"] for r in export.routing_rows(events).collect()} == {"'=x", "a"} and export.routing_rows(events, 15).count() == 1
+    docs = [json.loads(r[0]) for r in export.routing_document(events).collect()]
+    assert {(d["agent"], d["basis"], d["retries_rate"]) for d in docs} == {("=x", "exact", None), ("a", "no_successes", 0.0)}
+    assert [routing.attributed_requests(events, p).first()[0] for p in ("s:", "s:%", "s:_", "")] == [3, 1, 0, 3]
+    usage = spark.createDataFrame([(1, "e", "p", "m", "PAID", "reported", "per_token", 1, 1, 2, 3, 4, 5, 0.25, None, 9, "s", None, False), (2, "f", "p", "m", "PAID", "reported", "per_token", 1, 1, 0, 0, 0, 0, 0.5, None, 10, "s", None, False)], USAGE_SCHEMA)
+    run = spark.createDataFrame([("s", "t", None, "observable:both", True)], "session_id string, tool_use_id string, agent_type string, verdict string, passed boolean")
+    r = routing.routing_events(run, usage, "s", 1).first()
+    assert (r["event_id"], r["requests"], r["cost"], r["test_result"]) == ("s:t", 1, 0.5, True)
+    status = spark.createDataFrame([("b", "ok"), ("c", "warn")], "name string, level string")
+    assert export.check_budgets(status) == ([{"name": "c", "level": "warn"}], 1)
+    assert export.doctor([{"id": "x", "status": "ok", "rows": 3, "detail": ""}], usage, spark.createDataFrame([("usage", 2)], "table_name string, n long"))[:2] == ["x: ok, 3 rows", "journal usage: 2 rows"]
+    assert export.usage_document(usage, status, status).groupBy("section").count().count() == 4
+    assert export.unknown_keys({"a": 1, "b": [{"c": 1, "x": 2}], "y": {}}, {"a": None, "b": [{"c": None}]}) == [".b[].x", ".y"]
+    row = spark.range(1).select(scalars.coverage_label(F.lit(99.96), F.lit(0)).alias("a"), scalars.coverage_label(F.lit(50.0), F.lit(1500)).alias("b"), scalars.coverage_label(F.lit(None).cast("double"), F.lit(7)).alias("c"), scalars.coverage_label(F.lit(None).cast("double"), F.lit(0)).alias("d")).first()
+    assert tuple(row) == ("all priced", "50% priced · 1.5K on quota", "7 on quota", "")

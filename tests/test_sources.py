@@ -146,3 +146,23 @@ def test_billing_evidence(tmp_path):
 def test_sse(spark):
     df = spark.createDataFrame([("data: {\"a\":1}",), ("data: [DONE]",), ("",), ("{\"a\":2}",), (": ping",)], "line string")
     assert [r[0] for r in lines.sse_documents(df).collect()] == ['{"a":1}', '{"a":2}']
+
+
+def test_local_responses(spark):
+    stream = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate([{"model": "l", "done": False}, {"model": "l", "created_at": "2026-01-01T00:00:00.123456789Z", "prompt_eval_count": 7, "eval_count": 3, "done": True}])], "pos long, line string")
+    r = lines.local_generate_usage(lines.piped_documents(stream), 5).first()
+    assert (r["input"], r["output"], r["created"], r["cost_status"]) == (7, 3, 1767225600, "local")
+    chat = {"id": "c", "model": "l", "created": 99, "usage": {"prompt_tokens": 10, "completion_tokens": 5, "prompt_tokens_details": {"cached_tokens": 4}, "completion_tokens_details": {"reasoning_tokens": 2}}}
+    pretty = spark.createDataFrame(list(enumerate(json.dumps(chat, indent=1).splitlines())), "pos long, line string")
+    sse = spark.createDataFrame([(0, "data: {\"id\": \"c\"}"), (1, "data: " + json.dumps(chat)), (2, "data: [DONE]")], "pos long, line string")
+    for df in (pretty, sse):
+        r = lines.local_chat_usage(lines.piped_documents(df), 5).first()
+        assert (r["event_id"], r["input"], r["output"], r["reasoning"], r["cache_read"], r["created"]) == ("c", 6, 3, 2, 4, 99)
+
+
+def test_cached_limits(spark, tmp_path):
+    limits = [{"kind": "session", "percent": 42, "resets_at": "2026-01-01T00:00:00Z"}, {"kind": "weekly_scoped", "percent": 5, "scope": {"model": {"display_name": "M"}}}, {"kind": "weekly_scoped", "percent": 150}, {"kind": "odd", "percent": 1}, {"kind": "session", "percent": -1}]
+    (tmp_path / "c.json").write_text(json.dumps({"account": SECRET, "cachedUsageUtilization": {"fetchedAtMs": 1999, "utilization": {"limits": limits}}}))
+    windows, dropped = config.read_cached_limits(spark, str(tmp_path / "c.json"))
+    assert {(r["label"], r["fraction"], r["resets_at"], r["fetched_at"]) for r in windows.collect()} == {("Session (5-hour)", 0.42, 1767225600, 1), ("Weekly · M", 0.05, None, 1), ("Weekly (scoped)", 1.0, None, 1)}
+    assert dropped.first()[0] == 2
