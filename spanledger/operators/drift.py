@@ -60,7 +60,11 @@ def cast(value, to: str):
 
 def ingest_body(body: dict, targets: list[Target]) -> tuple[list, str | None, dict[str, int]]:
     """(values of the targets, rescued fields as a JSON object of path to value or None, kinds of each path)."""
-    fields = dict(field_paths(body))
+    fields: dict[str, object] = {}
+    for path, value in field_paths(body):
+        while path in fields:  # keys with dots may spell another chain's path
+            path += "#"
+        fields[path] = value
     used, values = set(), []
     for target in targets:
         got = None
@@ -192,5 +196,7 @@ def changes(records: DataFrame, body: str, aliases: DataFrame) -> DataFrame:
         "gone": F.max((F.col("change") == "removed").cast("int")).over(mates),
     })
     paired = F.col("grp").isNotNull() & (F.col("news") == 1) & (F.col("gone") == 1)
-    told = told.withColumn("change", F.when(paired & (F.col("change") == "added"), "renamed").when(paired & (F.col("change") == "removed"), F.lit(None)).otherwise(F.col("change")))
+    # A path may be in several groups: one that pairs it is enough.
+    told = told.groupBy("feed_id", "file_no", "path", "change", "was", "now").agg(F.max(paired).alias("paired"))
+    told = told.withColumn("change", F.when(F.col("paired") & (F.col("change") == "added"), "renamed").when(F.col("paired") & (F.col("change") == "removed"), F.lit(None)).otherwise(F.col("change")))
     return told.where("change is not null").select("feed_id", "file_no", F.col("path").alias("field_path"), "change", kind_names(F.col("was")).alias("was"), kind_names(F.col("now")).alias("now"))

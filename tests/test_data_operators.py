@@ -108,7 +108,7 @@ def test_changes(spark):
         (1, "f", "k", 1, '{"a": 1, "old": "x", "o": {"p": null}}'), (2, "f", "k", 1, '{"a": 2, "cut'), (3, "f", "k", 3, '{"a": "1", "new": "x", "o": {"p": 1}, "extra": [{"in": 1}]}'), (4, "f", "k", 3, None),
         (5, "f", "k", 4, "[1]"), (6, "g", "other", 1, '{"old": 1}'), (7, "g", "other", 2, '{"new": 1}'), (8, None, "k", 1, '{"z": 1}'),
     ]
-    alias = [("k", "old", "new"), ("k", "canon", "unused")]
+    alias = [("k", "old", "new"), ("k", "canon", "unused"), ("k", "second", "new")]
     got = {(r["feed_id"], r["file_no"], r["field_path"], r["change"]) for r in drift.changes(spark.createDataFrame(rows, RECORDS), "body", spark.createDataFrame(alias, ALIAS)).collect()}
     want = {("f", 3, "a", "retyped"), ("f", 3, "new", "renamed"), ("f", 3, "extra", "added"), ("g", 2, "old", "removed"), ("g", 2, "new", "added")}
     assert got == want | {("f", 4, p, "removed") for p in ("a", "new", "o", "o.p", "extra")}
@@ -130,6 +130,11 @@ def test_ingest_and_promote(spark):
     assert (more[0]["cost"], more[0]["_rescued"], more[1]["cost"], json.loads(more[1]["_rescued"])) == (1.5, None, 2.0, {"b": "yes"})
 
 
+def test_dotted_keys_collide():
+    values, rescued, kinds = drift.ingest_body({"a.b": 1, "a": {"b": "x"}}, [drift.Target("t", "long", ("a.b",))])
+    assert values == [1] and json.loads(rescued) == {"a.b#": "x"} and kinds == {"a.b": 2, "a": 8, "a.b#": 1}
+
+
 def walk_items(value, keys="", pos=""):
     """Every object in an array, recursively."""
     if isinstance(value, dict):
