@@ -23,6 +23,8 @@ from ..session import materialize, release, shuffle_partitions
 
 #: Rows of one group that stay together in one partition; larger groups are cut into slices of about so many.
 GROUP_ROWS = 200_000
+#: Rows that are worth a partition of their own.
+LEAST_ROWS = 10_000
 ROOT, EXTERNAL, CIRCLE, MISSING = 0, 1, 2, 3
 _HOT_BASE = 1 << 21
 
@@ -122,7 +124,8 @@ class Forest:
         counts = nodes.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")) if self.sizes is None else self.sizes
         sizes = counts.agg(F.sum("_n"), F.max("_n")).first()
         rows, largest = sizes[0] or 0, sizes[1] or 0
-        parts = max(shuffle_partitions(self.spark), math.ceil(2 * rows / GROUP_ROWS))
+        # By rows: as many as bound a partition, and enough for the cores where that is worth a task.
+        parts = max(math.ceil(2 * rows / GROUP_ROWS), min(self.spark.sparkContext.defaultParallelism, math.ceil(rows / LEAST_ROWS)), 1)
         if largest <= GROUP_ROWS:
             return self._run(nodes.repartition(parts, "_group"), 0)
         big = counts.where(F.col("_n") > GROUP_ROWS).select("_group")
@@ -206,7 +209,7 @@ class Forest:
         """
         links = self.links()
         segments = self._segments(links)
-        cut = segments.groupBy("tree").agg(F.max("j").alias("cuts")).where("cuts > 0").select("tree")
+        cut = segments.where("j > 0").select("tree").distinct()
         on = self.circle_nodes().select("_id").withColumn("_on", F.lit(True))
         mine = self.local.drop("on_circle").join(links.select("tree", "end_kind", "offset", "root"), "tree", "left")
         ok = F.coalesce("end_kind", "kind") != CIRCLE
@@ -215,7 +218,7 @@ class Forest:
         whole = whole.withColumns({"start": F.coalesce("start", F.lit(0))}).withColumns({"g": F.col("start") + F.col("enter"), "h": F.col("start") + F.col("enter") + F.col("size")}).drop("start")
         parted = mine.join(cut, "tree", "left_semi")
         schema = T.StructType([*parted.schema.fields, T.StructField("g", T.LongType()), T.StructField("h", T.LongType())])
-        placed = parted.groupBy("tree").cogroup(segments.groupBy("tree")).applyInPandas(_place, schema)
+        placed = parted.groupBy("tree").cogroup(segments.join(cut, "tree", "left_semi").groupBy("tree")).applyInPandas(_place, schema)
         rows = materialize(whole.unionByName(placed.select(whole.columns)), "tours")
         # Orphans of one missing parent share a numbering: it starts anew at each of them.
         orphans = rows.where(F.col("end_kind") == MISSING)

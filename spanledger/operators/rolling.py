@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
-
 
 class TwoStackQueue:
     """A first-in first-out window over a monoid; its product takes O(1) amortised steps, without inverses."""
@@ -101,7 +99,7 @@ def trailing_totals(daily: DataFrame, widths: tuple[int, ...] = (7, 30)) -> Data
             yield emit(at, days)
 
     keyed = daily.withColumn("d", F.unix_date("day")).select("entity", "d", "events", "tokens", "cost", "costed", "top_cost")
-    parts = keyed.repartition(shuffle_partitions(daily.sparkSession), "entity").sortWithinPartitions("entity", "d")
+    parts = keyed.repartition("entity").sortWithinPartitions("entity", "d")
     return parts.mapInPandas(run, "entity string, day date, active boolean, " + ", ".join(fields))
 
 

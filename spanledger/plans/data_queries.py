@@ -40,6 +40,13 @@ def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return transcript_forest(spark, d).nodes().withColumnsRenamed({"_id": "uuid", "_parent": "parent_uuid"})
 
 
+def p1_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every transcript line with what p1_hierarchy says of its uuid; state is `no_uuid` for lines without one."""
+    lines = table(spark, d, "transcript_line").select("line_id", "uuid")
+    nodes = p1_hierarchy(spark, d).select("uuid", "state", "root", "depth", "enter", "exit", "descendants")
+    return lines.join(nodes, "uuid", "left").withColumn("state", F.coalesce("state", F.lit("no_uuid")))
+
+
 def p1_levels(spark: SparkSession, d: str) -> DataFrame:
     """State, root, depth and number of descendants of every uuid."""
     return p1_hierarchy(spark, d).select("uuid", "state", "root", "depth", "descendants")
@@ -175,6 +182,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_hierarchy": p1_hierarchy,
     "p1_levels": p1_levels,
+    "p1_lines": p1_lines,
     "p1_paths": p1_paths,
     "p3_found": p3_found,
     "p3_unique_messages": p3_unique_messages,

@@ -51,6 +51,7 @@ def make(seed, n, groups, local):
 @pytest.mark.parametrize("seed,n,groups,limit", [(1, 300, [0], 20), (2, 400, range(9), 1000), (3, 500, [0, 0, 0, 1, 2, 3], 30), (4, 200, range(200), 1000)])
 def test_against_walk(spark, monkeypatch, seed, n, groups, limit):
     monkeypatch.setattr(forest, "GROUP_ROWS", limit)
+    monkeypatch.setattr(forest, "LEAST_ROWS", 20)
     rows = make(seed, n, groups, 0.8)
     made = forest.Forest(spark.createDataFrame(rows, SCHEMA))
     want = brute(rows)
@@ -78,6 +79,7 @@ def test_against_walk(spark, monkeypatch, seed, n, groups, limit):
 
 
 def test_small_circle_across_partitions(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LEAST_ROWS", 1)
     rows = [("a", "b", "g1", 1, None), ("b", "c", "g2", 2, None), ("c", "a", "g3", 3, None), ("d", "a", "g4", 4, None), ("e", None, None, 5, None)]
     made = forest.Forest(spark.createDataFrame(rows, SCHEMA))
     assert {r[0] for r in made.circle_nodes().select("_id").collect()} == {"a", "b", "c"}
