@@ -79,7 +79,8 @@ class Conversations:
         self.loose = kept.where(F.coalesce("uuid", F.lit("")) == "").select("line_id", "session_id", "agent_id", "symbol", F.col("order").alias("sort"))
         named = kept.where(F.col("uuid") != "").select("line_id", "session_id", "agent_id", "symbol", key("uuid").alias("_id"), key("parent_uuid").alias("_parent"), F.col("order").alias("_order"))
         once = named.groupBy("_id").agg(F.min(F.struct("line_id", "_parent", "_order", "session_id", "agent_id", "symbol")).alias("r")).select("_id", "r.*")
-        self.forest = forest.Forest(once.withColumns({"_group": F.col("session_id"), "sort": F.col("_order")}), run_automaton, _EXTRA)
+        sizes = kept.where(F.col("uuid") != "").groupBy(F.col("session_id").alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+        self.forest = forest.Forest(once.withColumns({"_group": F.col("session_id"), "sort": F.col("_order")}), run_automaton, _EXTRA, sizes)
 
     def broken(self) -> DataFrame:
         """(session_id, agent_id) of conversations with a line whose parents never reach one without parent."""
