@@ -28,6 +28,11 @@ LEAST_ROWS = 10_000
 ROOT, EXTERNAL, CIRCLE, MISSING = 0, 1, 2, 3
 _HOT_BASE = 1 << 21
 
+#: Names of the operator's own columns; payload columns of these names are left out.
+RESERVED = {
+    "tree", "kind", "ext", "top", "enter", "size", "depth", "on_circle", "root", "state", "exit", "descendants", "end_kind", "end_tree", "offset", "start", "parent_tree", "weight", "g", "h", "g0", "_on", "_n", "_at",
+}
+
 Annotate = Callable[[pd.DataFrame, list[int], list[int], int], dict[str, list]]
 
 
@@ -100,7 +105,7 @@ class Forest:
     """The local trees of a set of links, and how they hang together.
 
     nodes has a unique, non-null _id, a _parent (null for a root), a _group that keeps related rows together, an
-    _order that sorts siblings, and payload columns. annotate may add columns: it gets a partition's rows, the
+    _order that sorts siblings, and payload columns (those with a name of RESERVED are left out). annotate may add columns: it gets a partition's rows, the
     local parent of each (-1 none, >= n outside), the order (circles first, each walked along from some node; then parents
     before children), and n. sizes (_group, _n) may give upper bounds of the groups' sizes where they are cheaper to get
     than by counting nodes.
@@ -109,7 +114,7 @@ class Forest:
     def __init__(self, nodes: DataFrame, annotate: Annotate | None = None, extra: list[T.StructField] | None = None, sizes: DataFrame | None = None):
         self.sizes = sizes
         self.spark = nodes.sparkSession
-        own = {"_id", "_parent", "_group", "_order"}
+        own = {"_id", "_parent", "_group", "_order", *RESERVED, *(f.name for f in extra or [])}
         self.payload = [f for f in nodes.schema.fields if f.name not in own]
         id_type = nodes.schema["_id"].dataType
         self.schema = T.StructType([
@@ -121,6 +126,8 @@ class Forest:
         self._links: DataFrame | None = None
 
     def _lay_out(self, nodes: DataFrame) -> DataFrame:
+        # Nodes without a group are groups of their own, not one together.
+        nodes = nodes.withColumn("_group", F.coalesce(F.col("_group").cast("string"), F.hex(F.xxhash64("_id"))))
         counts = nodes.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")) if self.sizes is None else self.sizes
         sizes = counts.agg(F.sum("_n"), F.max("_n")).first()
         rows, largest = sizes[0] or 0, sizes[1] or 0

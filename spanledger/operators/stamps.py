@@ -167,7 +167,8 @@ def normalise(rows: DataFrame, host_clock: DataFrame, raw: str, host: str, dicti
 
     Blank, null and unreadable spellings are kept with their status; an unknown or null host has no zone. Rows
     without spelling never reach the join: they are undated by definition. Spellings so frequent that they
-    would overload one task are joined by broadcast, of which there are fewer than HOT_PARTS.
+    would overload one task are joined by broadcast, of which there are fewer than HOT_PARTS. _raw, _host, _zone and
+    _order are the operator's own columns: those of rows are dropped.
     """
     clocked = with_clock(rows.withColumns({"_raw": F.col(raw), "_host": F.col(host)}), host_clock)
     lacking = F.col("_raw").isNull() | (F.trim("_raw") == "")

@@ -91,6 +91,12 @@ def test_empty(spark):
     assert made.circle_nodes().count() == 0 and made.nodes().count() == 0
 
 
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([("a", None, None, 1, "x"), ("b", "a", None, None, None), ("b2", "a", "g", 2, "x")], SCHEMA).selectExpr("*", "1 AS size", "2 AS root", "3 AS weight")
+    got = {r["_id"]: (r["root"], r["tag"]) for r in forest.Forest(rows).nodes().collect()}
+    assert got == {"a": ("a", "x"), "b": ("a", None), "b2": ("a", "x")}
+
+
 def test_first_rows(spark):
     df = spark.createDataFrame([("u", 2, "late"), ("u", 1, "early"), ("", 3, "x"), (None, 4, "y")], "k string, o long, v string")
     assert [tuple(r) for r in forest.first_rows(df, "k", "o", ["v"]).collect()] == [("u", 1, "early")]
