@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import stamps
 from ..session import table
 
 NOW = 1_780_000_000  # 2026-05-28, inside the tables' time
@@ -13,13 +14,23 @@ DAY_START = NOW - NOW % 86400
 
 def usage(spark: SparkSession, d: str) -> DataFrame:
     """usage_event as usage rows: seq is id, created the second it was received, or 0 for an undated one."""
-    u = table(spark, d, "usage_event")
     undated = F.col("created").isNull() | (F.trim("created") == "") | (F.coalesce(F.col("created").try_cast("double"), F.lit(1.0)) <= 0)
+    received = F.unix_timestamp(F.col("received_at").cast("timestamp"))
+    return _usage(table(spark, d, "usage_event"), F.when(undated, F.lit(0)).otherwise(received))
+
+
+def usage_by_instant(spark: SparkSession, d: str) -> DataFrame:
+    """usage() with created the second that the event's own stamp names, or 0 where it is undated or unresolved."""
+    read = stamps.normalise(table(spark, d, "usage_event"), table(spark, d, "host_clock"), "created", "host_id")
+    return _usage(read, F.coalesce(F.floor(F.col("stamp_micros") / 1_000_000), F.lit(0)))
+
+
+def _usage(u: DataFrame, created: Column) -> DataFrame:
     bill = F.when(F.lower(F.trim("billing")).startswith("sub"), "subscription").otherwise("per_token")
     return u.select(
         F.col("id").alias("seq"), F.when(F.col("event_id") != "", F.col("event_id")).alias("event_id"), "provider", "model", F.upper("category").alias("category"), "cost_status", bill.alias("billing"),
         F.coalesce("requests", F.lit(0)).alias("requests"), *(F.coalesce(f"{c}_tokens", F.lit(0)).alias(c) for c in ("input", "output", "reasoning", "cache_read", "cache_write")), "cost", F.lit(None).cast("double").alias("api_equivalent_cost"),
-        F.when(undated, F.lit(0)).otherwise(F.unix_timestamp(F.col("received_at").cast("timestamp"))).cast("long").alias("created"), "session_id", "project", F.col("input_tokens").isNull().alias("incomplete"),
+        created.cast("long").alias("created"), "session_id", "project", F.col("input_tokens").isNull().alias("incomplete"),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from . import adapters as A
 
 NOW, DAY = A.NOW, A.DAY_START
 QUERIES, SQL = {}, {}
+Rows = Callable[[SparkSession, str], DataFrame]
 R6 = lambda x: f"round(({x}) * 1000000.0) / 1000000.0"
 R4 = lambda x: f"round(({x}) * 10000.0) / 10000.0"
 R1 = lambda x: f"round(({x}) * 10.0) / 10.0"
@@ -91,20 +95,20 @@ SEEN_SQL = "min(created) FILTER (created > 0) AS first_seen, max(created) FILTER
 
 
 @query("q07_by_project", f"SELECT project, sessions, models, first_seen, last_seen, {RATIOS_SQL} FROM (SELECT coalesce(project, '(unattributed)') AS project, count(DISTINCT session_id) AS sessions, count(DISTINCT concat_ws('/', provider, model)) AS models, {SEEN_SQL}, {A.COUNTERS_SQL} FROM usage GROUP BY 1)", A.USAGE_SQL)
-def q07(spark: SparkSession, d: str) -> DataFrame:
-    return usage.by_project(A.usage(spark, d))
+def q07(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return usage.by_project(rows(spark, d))
 
 
 @query("q08_by_session", f"""SELECT session_id, requests, input + output + reasoning + cache_read + cache_write AS tokens, CASE WHEN priced_requests > 0 OR (unpriced_requests = 0 AND quota_requests = 0) THEN {R6("cost")} END AS cost_value,
   unpriced_requests, array_to_string(m[1:6], ',') AS models, cast(len(m) AS INTEGER) AS models_total, last_seen - first_seen AS duration
 FROM (SELECT session_id, list_sort(list(DISTINCT concat_ws('/', provider, model))) AS m, {SEEN_SQL}, {A.COUNTERS_SQL} FROM usage WHERE session_id IS NOT NULL GROUP BY session_id)""", A.USAGE_SQL)
-def q08(spark: SparkSession, d: str) -> DataFrame:
-    return usage.by_session(A.usage(spark, d))
+def q08(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return usage.by_session(rows(spark, d))
 
 
 @query("q09_by_day", f"SELECT day, {RATIOS_SQL} FROM (SELECT cast(to_timestamp(created) AT TIME ZONE 'UTC' AS DATE) AS day, {A.COUNTERS_SQL} FROM usage WHERE created > 0 GROUP BY 1) ORDER BY day DESC LIMIT 31", A.USAGE_SQL)
-def q09(spark: SparkSession, d: str) -> DataFrame:
-    return usage.by_day(A.usage(spark, d))
+def q09(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return usage.by_day(rows(spark, d))
 
 
 @query("q10_project_totals", f"""SELECT project, requests, tokens, cost, CASE WHEN cost = 0 AND (unpriced_requests > 0 OR quota_requests > 0) THEN NULL ELSE cost END AS sort_cost, unpriced_requests, quota_requests, sessions
@@ -115,14 +119,14 @@ def q10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q11_session_totals", f"""SELECT session_id, requests, input + output + reasoning + cache_read + cache_write AS tokens, {R6("cost")} AS cost, unpriced_requests, first_seen, last_seen, project, opening_model, models
 FROM (SELECT session_id, {SEEN_SQL}, arg_min(project, seq) FILTER (project IS NOT NULL) AS project, arg_min(model, created * 100000000 + seq) AS opening_model, count(DISTINCT model) AS models, {A.COUNTERS_SQL} FROM usage WHERE session_id IS NOT NULL GROUP BY session_id)""", A.USAGE_SQL)
-def q11(spark: SparkSession, d: str) -> DataFrame:
-    return usage.session_totals(A.usage(spark, d))
+def q11(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return usage.session_totals(rows(spark, d))
 
 
 @query("q12_daily_totals", f"""SELECT d.day, {", ".join(f"coalesce(u.{c}, 0) AS {c}" for c in ("requests", "input", "output", "reasoning", "cache_read", "cache_write", "unpriced_requests", "quota_requests"))}, {R6("coalesce(u.cost, 0.0)")} AS cost
 FROM (SELECT cast(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM per) d LEFT JOIN per u ON u.day = d.day""", A.USAGE_SQL, f"per AS (SELECT cast(to_timestamp(created) AT TIME ZONE 'UTC' AS DATE) AS day, {A.COUNTERS_SQL} FROM usage WHERE created > 0 GROUP BY 1)")
-def q12(spark: SparkSession, d: str) -> DataFrame:
-    return usage.daily_totals(A.usage(spark, d))
+def q12(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return usage.daily_totals(rows(spark, d))
 
 
 BURN_SQL = f"""burn AS (SELECT requests, input + output + reasoning + cache_read + cache_write AS tokens, {R6("cost")} AS cost, unpriced_requests, quota_requests,
@@ -135,8 +139,8 @@ BUDGET_SQL = f"""status AS (SELECT name, scope, scope_name, "limit", {R6("cost")
 
 
 @query("q13_burn", "SELECT * FROM burn", A.USAGE_SQL, BURN_SQL)
-def q13(spark: SparkSession, d: str) -> DataFrame:
-    return usage.burn(A.usage(spark, d), NOW, 604800)
+def q13(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return usage.burn(rows(spark, d), NOW, 604800)
 
 
 @query("q14_projection", f"""SELECT name, {R6('"limit" - spend')} AS remaining, CASE WHEN reason IS NULL THEN cast(round(("limit" - spend) / cost_per_hour * 3600) AS BIGINT) END AS seconds, reason,
@@ -144,8 +148,8 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT s.name, s."limit", s.spend, b.cost_per_hour, s.unpriced_requests AS s_unpriced, s.quota_requests AS s_quota, b.unpriced_requests AS b_unpriced, b.quota_requests AS b_quota,
   CASE WHEN NOT projectable AND b.requests < 5 THEN 'too few requests' WHEN NOT projectable AND quota_only THEN 'on quota' WHEN NOT projectable AND b.unpriced_requests > 0 THEN 'unpriced' WHEN NOT projectable THEN 'no spend' WHEN "limit" - spend <= 0 THEN 'already over' END AS reason
   FROM status s, burn b)""", A.USAGE_SQL, BURN_SQL, A.BUDGETS_SQL, BUDGET_SQL)
-def q14(spark: SparkSession, d: str) -> DataFrame:
-    u = A.usage(spark, d)
+def q14(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    u = rows(spark, d)
     return usage.projection(usage.budget_status(u, A.budgets(spark)), usage.burn(u, NOW, 604800))
 
 
@@ -167,8 +171,8 @@ def q16s(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q17_budgets", "SELECT * FROM status", A.USAGE_SQL, A.BUDGETS_SQL, BUDGET_SQL)
-def q17(spark: SparkSession, d: str) -> DataFrame:
-    return usage.budget_status(A.usage(spark, d), A.budgets(spark))
+def q17(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return usage.budget_status(rows(spark, d), A.budgets(spark))
 
 
 _N = lambda c: f"cast(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
@@ -212,20 +216,20 @@ ESC_SQL = TURNS_SQL + """, esc AS (
   GROUP BY session_id, opening)"""
 
 
-def _rate(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _rate(spark: SparkSession, d: str, rows: Rows) -> tuple[DataFrame, DataFrame]:
     """Usage with a project's day as its session (the table's own sessions hardly change model), and rates of its models."""
-    u = A.usage(spark, d).withColumn("session_id", F.concat("project", F.lit("/"), F.floor(F.col("created") / 86400).cast("string")))
+    u = rows(spark, d).withColumn("session_id", F.concat("project", F.lit("/"), F.floor(F.col("created") / 86400).cast("string")))
     return u, lookup.input_rate(u, A.rates(spark))
 
 
 @query("q21_escalations", "SELECT count(*) AS sessions_examined, count(to_model) AS sessions_escalated, cast(coalesce(sum(unclassified), 0) AS BIGINT) AS unclassified_changes FROM esc", A.USAGE_SQL, A.RATES_SQL, RATE_SQL, ESC_SQL)
-def q21(spark: SparkSession, d: str) -> DataFrame:
-    return routing.escalations(*_rate(spark, d))[0]
+def q21(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return routing.escalations(*_rate(spark, d, rows))[0]
 
 
 @query("q21_transitions", f"SELECT opening AS from_model, to_model, count(*) AS sessions, {R6('sum(cost_after)')} AS cost_after, cast(sum(unpriced_after) AS BIGINT) AS unpriced_after, cast(sum(quota_after) AS BIGINT) AS quota_after FROM esc WHERE to_model IS NOT NULL GROUP BY 1, 2", A.USAGE_SQL, A.RATES_SQL, RATE_SQL, ESC_SQL)
-def q21t(spark: SparkSession, d: str) -> DataFrame:
-    return routing.escalations(*_rate(spark, d))[1]
+def q21t(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return routing.escalations(*_rate(spark, d, rows))[1]
 
 
 @query("q22_attribution", f"""SELECT requests, tokens, CASE WHEN k = 1 AND open = 0 THEN {R6("cost")} END AS cost, CASE WHEN k = 1 AND open = 0 THEN s ELSE 'unavailable' END AS cost_status
@@ -237,9 +241,9 @@ def q22(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q23_journal_stats", "SELECT 'usage' AS table_name, count(*) AS n, min(created) FILTER (created > 0) AS oldest FROM usage UNION ALL SELECT 'routing', count(*), min(created) FILTER (created > 0) FROM routing", A.USAGE_SQL, A.ROUTING_SQL)
-def q23(spark: SparkSession, d: str) -> DataFrame:
+def q23(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
     stats = lambda df, name: df.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("created") > 0, F.col("created"))).alias("oldest")).select(F.lit(name).alias("table_name"), "n", "oldest")
-    return stats(A.usage(spark, d), "usage").unionByName(stats(A.routing(spark, d), "routing"))
+    return stats(rows(spark, d), "usage").unionByName(stats(A.routing(spark, d), "routing"))
 
 
 @query("q24_project_labels", """SELECT p.path, coalesce(l.label, p.path) AS label FROM paths p LEFT JOIN (SELECT path, arg_min(suffix, k) AS label FROM (
@@ -264,8 +268,8 @@ final AS (SELECT seq, key, CASE WHEN used THEN ec ELSE cost END AS cost, CASE WH
 
 
 @query("q25_priced", f"SELECT seq, key, {R6('cost')} AS cost, cost_status, {R6('api_equivalent_cost')} AS api_equivalent_cost, category FROM final", A.USAGE_SQL, A.RATES_SQL, A.TIERS_SQL, A.PERIODS_SQL, RESOLVE_SQL, PRICED_SQL)
-def q25(spark: SparkSession, d: str) -> DataFrame:
-    priced = lookup.apply_estimates(lookup.estimate(A.usage(spark, d), A.rates(spark), A.tiers(spark), A.periods(spark)))
+def q25(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    priced = lookup.apply_estimates(lookup.estimate(rows(spark, d), A.rates(spark), A.tiers(spark), A.periods(spark)))
     return priced.select("seq", "key", X.scaled_round(F.col("cost"), 6).alias("cost"), "cost_status", X.scaled_round(F.col("api_equivalent_cost"), 6).alias("api_equivalent_cost"), "category")
 
 
@@ -275,8 +279,8 @@ def q26(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q27_price_period", """SELECT seq, model AS key, cast(p.through AS DATE) AS through FROM usage u LEFT JOIN LATERAL (SELECT through FROM periods p WHERE p.key = u.model AND strftime(to_timestamp(u.created) AT TIME ZONE 'UTC', '%Y-%m-%d') <= p.through ORDER BY through LIMIT 1) p ON true WHERE u.created > 0""", A.USAGE_SQL, A.PERIODS_SQL)
-def q27(spark: SparkSession, d: str) -> DataFrame:
-    dated = A.usage(spark, d).where("created > 0").select("seq", F.col("model").alias("key"), F.to_date(F.timestamp_seconds("created")).alias("day"))
+def q27(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    dated = rows(spark, d).where("created > 0").select("seq", F.col("model").alias("key"), F.to_date(F.timestamp_seconds("created")).alias("day"))
     return lookup.period_rates(dated, A.periods(spark).select("key", "through")).select("seq", "key", "through")
 
 
@@ -287,14 +291,14 @@ def q28(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q29_trailing_series", f"SELECT cast(e AS INTEGER) AS epoch_day, coalesce((SELECT cast(sum(tokens) AS BIGINT) FROM usage WHERE created > 0 AND created // 86400 = e), 0) AS tokens FROM generate_series({DAY // 86400 - 6}, {DAY // 86400}) g(e)", A.USAGE_SQL)
-def q29(spark: SparkSession, d: str) -> DataFrame:
-    return usage.trailing_series(A.usage(spark, d), DAY // 86400)
+def q29(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return usage.trailing_series(rows(spark, d), DAY // 86400)
 
 
 @query("q30_supersede", """SELECT position AS seq, event_id, provider, model, tokens, created FROM (SELECT *, min(seq) OVER (PARTITION BY k) AS position, row_number() OVER (PARTITION BY k ORDER BY tokens DESC, seq) AS n
 FROM (SELECT *, coalesce('E:' || event_id, concat_ws(chr(31), 'S', coalesce(provider, ''), coalesce(model, ''), input, output, reasoning, cache_read, cache_write, created)) AS k FROM usage)) WHERE n = 1""", A.USAGE_SQL)
-def q30(spark: SparkSession, d: str) -> DataFrame:
-    return supersede.supersede(A.usage(spark, d)).select("seq", "event_id", "provider", "model", total_tokens().alias("tokens"), "created")
+def q30(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return supersede.supersede(rows(spark, d)).select("seq", "event_id", "provider", "model", total_tokens().alias("tokens"), "created")
 
 
 @query("q31_apportion", """SELECT project, category, tokens, base + CASE WHEN row_number() OVER (PARTITION BY project ORDER BY rest DESC, category) <= 1000 - sum(base) OVER (PARTITION BY project) THEN 1 ELSE 0 END AS share
@@ -333,8 +337,8 @@ def q34(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q35_record_tallies", f"""SELECT cast(sum(requests) AS BIGINT) AS total_prompts, cast(sum(requests) FILTER (created >= {DAY}) AS BIGINT) AS today_prompts, count(DISTINCT session_id) AS total_sessions, count(DISTINCT session_id) FILTER (created >= {DAY}) AS today_sessions,
   count(DISTINCT created // 86400) FILTER (created > 0) AS active_days, cast(sum(tokens) AS BIGINT) AS total_tokens, cast(sum(tokens) FILTER (created >= {DAY}) AS BIGINT) AS today_tokens FROM usage""", A.USAGE_SQL)
-def q35(spark: SparkSession, d: str) -> DataFrame:
-    return usage.record_tallies(A.usage(spark, d), DAY)
+def q35(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    return usage.record_tallies(rows(spark, d), DAY)
 
 
 @query("q36_carry_forward", """SELECT rec_id, first_value(meta_session IGNORE NULLS) OVER w AS session, last_value(turn_model IGNORE NULLS) OVER w AS model, coalesce(last_value(turn_cwd IGNORE NULLS) OVER w, first_value(meta_cwd IGNORE NULLS) OVER w) AS cwd
@@ -360,9 +364,9 @@ def q38(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q39_filtered_view", f"""SELECT provider, model, cast(sum(requests) AS BIGINT) AS requests FROM usage WHERE created >= {NOW - 30 * 86400} AND lower(provider) = 'anthropic' GROUP BY provider, model""", A.USAGE_SQL)
-def q39(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.usage(spark, d).where(views.in_range(F.col("created"), NOW, 30) & views.matches(provider="ANTHROPIC"))
-    return views.sort_view(rows.groupBy("provider", "model").agg(F.sum("requests").alias("requests")), "models", ["provider", "model"], "requests")
+def q39(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    seen = rows(spark, d).where(views.in_range(F.col("created"), NOW, 30) & views.matches(provider="ANTHROPIC"))
+    return views.sort_view(seen.groupBy("provider", "model").agg(F.sum("requests").alias("requests")), "models", ["provider", "model"], "requests")
 
 
 @query("q40_search", "SELECT seq, model FROM usage WHERE contains(lower(coalesce(model, '')), 'glint') OR contains(lower(coalesce(project, '')), 'glint')", A.USAGE_SQL)
@@ -380,8 +384,8 @@ def q41(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN s < 60 THEN '<1m' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h ' || lpad(cast(s // 60 % 60 AS VARCHAR), 2, '0') || 'm' ELSE (s // 86400) || 'd ' || (s // 3600 % 24) || 'h' END AS age_label,
   CASE WHEN regexp_matches(model, '^[=+@-]') THEN '''' || model ELSE model END AS csv_model, CASE WHEN project IS NULL OR trim(project) = '' THEN NULL WHEN rtrim(project, '/') = '' THEN project ELSE rtrim(project, '/') END AS path
 FROM (SELECT *, abs({NOW} - created) AS s FROM usage)""", A.USAGE_SQL)
-def q42(spark: SparkSession, d: str) -> DataFrame:
-    u = A.usage(spark, d)
+def q42(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+    u = rows(spark, d)
     return u.select("seq", X.format_count(F.col("input")).alias("tokens_label"), X.format_duration(F.abs(F.lit(NOW) - F.col("created"))).alias("age_label"), X.csv_guard(F.col("model")).alias("csv_model"), X.project_path(F.col("project")).alias("path"))
 
 
@@ -394,3 +398,11 @@ def q43(spark: SparkSession, d: str) -> DataFrame:
 def q44(spark: SparkSession, d: str) -> DataFrame:
     shown = X.cost_display(F.col("cost_status"), F.col("cost"))
     return A.usage(spark, d).select("seq", X.cost_sort_key(F.col("cost_status"), F.col("cost")).alias("sort_key"), F.when(shown.startswith("$"), "priced").otherwise(shown).alias("shown"))
+
+
+# The queries that read `created`, over the instants that the events themselves state. SQL can't read those stamps.
+BY_INSTANT = {
+    "q07_by_project": q07, "q08_by_session": q08, "q09_by_day": q09, "q11_session_totals": q11, "q12_daily_totals": q12, "q13_burn": q13, "q14_projection": q14, "q17_budgets": q17, "q21_escalations": q21, "q21_transitions": q21t, "q23_journal_stats": q23,
+    "q25_priced": q25, "q27_price_period": q27, "q29_trailing_series": q29, "q30_supersede": q30, "q35_record_tallies": q35, "q39_filtered_view": q39, "q42_labels": q42,
+}
+QUERIES |= {f"{name}_instants": partial(f, rows=A.usage_by_instant) for name, f in BY_INSTANT.items()}
