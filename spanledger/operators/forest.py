@@ -212,7 +212,7 @@ class Forest:
 
         Within one root, a is an ancestor of b exactly if a.enter <= b.enter < a.exit. state is `tree`, `orphan` (the
         top's parent is missing; the top is the root), `circle` or `below_circle`; the last two have no root, depth or
-        interval. Siblings are in their order, those from other slices of an oversized group last.
+        interval. Siblings of one group are in their order, those from other groups last.
         """
         links = self.links()
         segments = self._segments(links)
@@ -244,10 +244,12 @@ class Forest:
         """tree, j, pos, cut_depth, start: the pieces of each tour between attached trees, ranked.
 
         Piece j of a tree begins at its local position pos, behind the j-th tree attached to it; start is the number
-        of nodes of the whole tour before it. An attached tree comes after all local nodes below the node it hangs on.
+        of nodes of the whole tour before it. The slices of a group are ranges of its order, so all tops of a tree from
+        an earlier slice come before the local children of the node it hangs on, those from a later one behind them.
         """
         hung = links.where(F.col("end_kind") != CIRCLE)
-        attached = hung.where("parent_tree is not null").withColumn("pos", F.col("at_enter") + F.col("at_size"))
+        earlier = (F.col("tree") >= _HOT_BASE << 32) & (F.shiftright("tree", 32) < F.shiftright("parent_tree", 32))
+        attached = hung.where("parent_tree is not null").withColumn("pos", F.col("at_enter") + F.when(earlier, 1).otherwise(F.col("at_size")))
         by_tree = Window.partitionBy("parent_tree").orderBy("pos", F.desc("at_depth"), "tree")
         attached = attached.withColumns({"j": F.row_number().over(by_tree), "before": F.lag("pos", 1, 0).over(by_tree)})
         attached = materialize(attached.select("tree", "weight", "parent_tree", "pos", "before", "j", "at_depth"), "attached")
