@@ -27,6 +27,8 @@ LIMIT_ROWS, LIMIT_SHARE, LIMIT_SPIKE, LIMIT_ZONE = 8, 0.03, 0.2, 0.95
 
 #: Bytes of text of one sorted partition, and texts sampled for each to find its bounds (the driver receives those).
 SORT_BYTES, SORT_SAMPLE = 32 << 20, 8
+#: Copies of one text that a sorted partition holds back until it sees the next text.
+GROUP_COPIES = 100_000
 #: Transfers break at multiples of BLOCK bytes in a source if so many of its open-ended texts end there.
 BLOCK, BLOCK_SHARE = 512, 0.08
 
@@ -109,36 +111,40 @@ def prefix_of_longer(docs: DataFrame, key: str, text: str, size: int | None = No
     """(key, inside_line): the documents whose text is a strict prefix of a longer text elsewhere.
 
     Texts are range-sorted with their key, so that many equal texts spread over partitions. In sorted order the
-    next different text begins with a text if any does. The end of each partition is settled with the first two
+    next different text begins with a text if any does. Copies beyond GROUP_COPIES wait for the verdict on their text,
+    named by its number within the partition. The end of each partition is settled with the first two
     different texts of those that follow, a row or two for each partition. size is the bytes of all texts, if known.
     """
     spark = docs.sparkSession
     kept = docs.where(F.length(text) >= LEAST_PREFIX).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    copies = GROUP_COPIES
     schema = T.StructType([
-        T.StructField("k", kept.schema["k"].dataType), T.StructField("part", T.IntegerType()), T.StructField("found", T.BooleanType()), T.StructField("inside_line", T.BooleanType()),
+        T.StructField("k", kept.schema["k"].dataType), T.StructField("part", T.IntegerType()), T.StructField("no", T.LongType()), T.StructField("found", T.BooleanType()), T.StructField("inside_line", T.BooleanType()),
         T.StructField("first", T.StringType()), T.StructField("second", T.StringType()), T.StructField("last", T.StringType()),
     ])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, group, now, heads = TaskContext.get().partitionId(), [], None, []
+        part, group, now, heads, no, waits = TaskContext.get().partitionId(), [], None, [], 0, False
         for pdf in batches:
             out = []
             for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()):
                 if t != now:
                     if now is not None and t.startswith(now):
                         inside = _goes_on(now, t)
-                        out += [(x, part, True, inside, None, None, None) for x in group]
+                        out += [(x, part, no, True, inside, None, None, None) for x in group]
+                        if waits:  # the verdict on the copies that went before
+                            out.append((None, part, no, True, inside, None, None, None))
                     if len(heads) < 2:
                         heads.append(t)
-                    now, group = t, []
+                    now, group, no, waits = t, [], no + 1, False
                 group.append(k)
-                if len(group) > 100_000:  # copies of one text: only the last partition row needs the text
-                    out += [(x, part, False, None, None, None, None) for x in group]
-                    group = []
+                if len(group) > copies:  # only the last partition row needs the text
+                    out += [(x, part, no, False, None, None, None, None) for x in group]
+                    group, waits = [], True
             yield pd.DataFrame(out, columns=schema.names)
         if now is not None:
-            rows = [(x, part, False, None, None, None, None) for x in group]
-            rows.append((None, part, None, None, heads[0], heads[1] if len(heads) > 1 else None, now))
+            rows = [(x, part, no, False, None, None, None, None) for x in group]
+            rows.append((None, part, no, None, None, heads[0], heads[1] if len(heads) > 1 else None, now))
             yield pd.DataFrame(rows, columns=schema.names)
 
     if size is None:
@@ -150,7 +156,7 @@ def prefix_of_longer(docs: DataFrame, key: str, text: str, size: int | None = No
 
 
 def _settle(seen: DataFrame, key: str) -> DataFrame:
-    ends = seen.where("found is null").select("part", "first", "second", "last")
+    ends = seen.where("found is null").select("part", "no", "first", "second", "last")
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
@@ -163,14 +169,15 @@ def _settle(seen: DataFrame, key: str) -> DataFrame:
                 other = later["first"] if later["first"] != row["last"] else later["second"]
                 if isinstance(other, str):
                     if other.startswith(row["last"]):
-                        out.append((row["part"], _goes_on(row["last"], other)))
+                        out.append((row["part"], row["no"], _goes_on(row["last"], other)))
                     break
-        yield pd.DataFrame(out, columns=["part", "inside"])
+        yield pd.DataFrame(out, columns=["part", "no", "inside"])
 
-    ahead = ends.coalesce(1).mapInPandas(resolve, "part int, inside boolean")
-    waiting = seen.where("found = false").select("part", "k")
-    late = waiting.join(ahead, "part").select("k", F.col("inside").alias("inside_line"))
-    return seen.where("found").select("k", "inside_line").unionByName(late).withColumnRenamed("k", key)
+    ahead = ends.coalesce(1).mapInPandas(resolve, "part int, no long, inside boolean")
+    told = seen.where("found and k is null").select("part", "no", F.col("inside_line").alias("inside"))
+    waiting = seen.where("found = false").select("part", "no", "k")
+    late = waiting.join(ahead.unionByName(told), ["part", "no"]).select("k", F.col("inside").alias("inside_line"))
+    return seen.where("found and k is not null").select("k", "inside_line").unionByName(late).withColumnRenamed("k", key)
 
 
 def described(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
