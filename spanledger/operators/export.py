@@ -77,7 +77,7 @@ def routing_document(events: DataFrame, since: int | None = None) -> DataFrame:
 
 def check_budgets(status: DataFrame) -> tuple[list[dict], int]:
     """(the budgets that ask for something to be done, exit code: 1 if there are any)."""
-    alerts = [r.asDict() for r in actionable(status).orderBy("name").limit(1000).collect()]
+    alerts = [r.asDict() for r in actionable(status).orderBy("name").collect()]
     return alerts, int(bool(alerts))
 
 
@@ -106,10 +106,10 @@ def actionable(status: DataFrame) -> DataFrame:
 
 def desktop_record(usage: DataFrame, budgets: DataFrame, today: int) -> dict:
     """Tokens of seven days, tokens by model, and budgets as meters."""
-    by_model = usage.groupBy("model").agg(F.sum(total_tokens()).alias("tokens")).orderBy(F.desc("tokens"), "model").limit(50)
+    by_model = usage.groupBy("model").agg(F.sum(total_tokens()).alias("tokens")).orderBy(F.desc("tokens"), "model")
     return {
         "series": [r["tokens"] for r in U.trailing_series(usage, today).orderBy("epoch_day").collect()], "modelUsage": {r["model"]: r["tokens"] for r in by_model.collect()},
-        "limits": [{"label": r["name"], "percent": min(r["pct"] / 100, 1.0)} for r in budgets.orderBy("name").limit(100).collect()],
+        "limits": [{"label": r["name"], "percent": min(r["pct"] / 100, 1.0)} for r in budgets.orderBy("name").collect()],
     }
 
 

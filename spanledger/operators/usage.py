@@ -203,17 +203,12 @@ def budget_status(usage: DataFrame, budgets: DataFrame) -> DataFrame:
     budgets: name, scope (global, provider, model), scope_name, since, limit, warn_pct, critical_pct. Usage is first
     rolled up by provider, model and the periods' starts, so that what meets the few budgets is small.
     """
-    starts = [r[0] for r in budgets.select("since").distinct().orderBy("since").limit(1000).collect()]
-    period = F.lit(-1)
-    for i, s in enumerate(starts):
-        period = F.when(F.col("created") >= s, i).otherwise(period)
-    rolled = usage.groupBy(F.lower("provider").alias("_p"), F.lower("model").alias("_m"), period.alias("_k")).agg(*counters())
-    place = F.lit(len(starts))
-    for i, s in enumerate(starts):
-        place = F.when(F.col("since") == s, i).otherwise(place)
-    wanted = budgets.withColumns({"_since": place, "_name": F.lower("scope_name")})
+    starts = budgets.select(F.col("since").alias("_k")).where("_k is not null").distinct().withColumn("_until", F.lead("_k").over(Window.orderBy("_k")))
+    within = (F.col("created") >= F.col("_k")) & (F.col("_until").isNull() | (F.col("created") < F.col("_until")))
+    rolled = usage.join(F.broadcast(starts), within).groupBy(F.lower("provider").alias("_p"), F.lower("model").alias("_m"), "_k").agg(*counters())
+    wanted = budgets.withColumn("_name", F.lower("scope_name"))
     whole = F.col("scope") == "global"
-    matches = (F.col("_k") >= F.col("_since")) & (whole | ((F.col("scope") == "provider") & (F.col("_p") == F.col("_name"))) | ((F.col("scope") == "model") & (F.col("_m") == F.col("_name"))))
+    matches = (F.col("_k") >= F.col("since")) & (whole | ((F.col("scope") == "provider") & (F.col("_p") == F.col("_name"))) | ((F.col("scope") == "model") & (F.col("_m") == F.col("_name"))))
     keys = ["name", "scope", "scope_name", "since", "limit", "warn_pct", "critical_pct"]
     per = wanted.join(rolled, matches, "left").groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cost", "unpriced_requests", "quota_requests")))
     pct = F.when(F.col("limit") > 0, F.col("cost") / F.col("limit") * 100).otherwise(0.0)
