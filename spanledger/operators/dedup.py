@@ -1,4 +1,4 @@
-"""One copy of each message (problem 3): identifiers split by frequency, only repeated ones ranked."""
+"""One copy of each message (problem 3): one aggregation finds the copy of each identity that is kept."""
 
 from __future__ import annotations
 
