@@ -2,7 +2,7 @@
 
 Bodies are read against a target schema. What the target lacks, and what can't be cast to its type, is kept as
 JSON in a rescue column; approved fields can be promoted later, replaying the rescued values into typed columns.
-The same pass counts each file's fields and kinds, from which the changes between files are told.
+A pass of its own counts each file's fields and kinds, from which the changes between files are told.
 """
 
 from __future__ import annotations
