@@ -2,12 +2,12 @@
 
 Objects are canonicalised and hashed bottom-up: an object's text names its scalars, and its nested objects and
 arrays by the hashes of what is in them. Identical objects are stored once; every occurrence is a bridge row that
-links it to its parent's occurrence, with the array it stands in and its ordinals.
+links it to its parent's occurrence, with the array it stands in and its ordinals. The scalars of the stored objects
+are rows of their own, typed, so that the flat tables can be queried.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,93 +15,115 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsonwalk import canonical, clean, digest, whole_object
+from ..functions.jsonwalk import Num, canonical, clean, digest, whole_object
 
 _OCC = T.StructType([
     T.StructField("rec_id", T.LongType()), T.StructField("node", T.IntegerType()), T.StructField("parent_node", T.IntegerType()), T.StructField("hash", T.BinaryType()), T.StructField("parent_hash", T.BinaryType()),
-    T.StructField("path", T.StringType()), T.StructField("item_pos", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("in_array", T.BooleanType()), T.StructField("canonical", T.StringType()),
+    T.StructField("field", T.StringType()), T.StructField("path", T.StringType()), T.StructField("item_pos", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("in_array", T.BooleanType()), T.StructField("canonical", T.StringType()),
 ])
+#: Rows and characters that a worker holds back before it hands a batch on.
+BATCH_ROWS, BATCH_CHARS = 20_000, 16 << 20
 
 
-def occurrences_of(body: dict) -> list[tuple]:
-    """(node, parent node, hash, parent hash, path, item_pos, ordinal, in an array, canonical text) of every object.
+def occurrences_of(body: dict) -> Iterator[tuple]:
+    """(node, parent node, hash, parent hash, field, path, item_pos, ordinal, in an array, canonical text) of every object.
 
-    Node 0 is the record itself; a parent comes before its children. path is the dotted keys from the top, `[]`
-    after each key whose array is entered; of an element it is the path of its array without the last `[]`.
+    Node 0 is the record itself; a parent comes before its children. field is the key under the parent, `[]` after it
+    for each array entered. Of an array's element path is the dotted keys from the top to the array, `[]` after each
+    enclosing array's key, and item_pos its positions in those arrays; other objects have neither. Both are made when a row
+    is handed on: a body of one chain, however deep, holds no more than its own length at a time.
     """
-    nodes: list[list] = []
+    parents: list[int | None] = [None]
+    fields, places, ordinals, inside = [""], [()], [0], [False]
+    hashes: list[bytes | None] = [None]
+    texts: list[str | None] = [None]
 
-    def new(parent, path, pos, ordinal, in_array):
-        nodes.append([parent, path, pos, ordinal, in_array, None, None, None])
-        return len(nodes) - 1
-
-    # Depth first without recursion: a frame waits for the canonical forms of its children.
-    root = new(None, "", "", 0, False)
-    todo: list[tuple] = [("open", body, root, "", "", None, None)]
+    # Depth first without recursion: an object waits for the canonical forms of what is in it.
+    todo: list[tuple] = [("open", body, 0, None, None)]
     forms: dict[int, dict] = {}
-
     while todo:
-        act, value, node, path, pos, into, key = todo.pop()
-        if act == "open":  # an object
+        act, value, node, into, key = todo.pop()[:5]
+        if act == "open":
             form: dict = {}
             forms[node] = form
-            todo.append(("close", value, node, path, pos, into, key))
+            todo.append(("close", value, node, into, key))
             for i, (k, child) in reversed(list(enumerate(value.items()))):
-                todo.append(("value", child, node, path + "." + k if path else k, (pos, i), form, k))
-        elif act == "close":
+                if isinstance(child, dict):
+                    number = len(parents)
+                    todo.append(("open", child, number, form, k))
+                    parents.append(node)
+                    fields.append(k)
+                    places.append(())
+                    ordinals.append(i)
+                    inside.append(False)
+                    hashes.append(None)
+                    texts.append(None)
+                elif isinstance(child, list):
+                    form[k] = [None] * len(child)
+                    arrays = [(child, form[k], k, ())]
+                    while arrays:  # arrays in arrays: their objects are children of this node
+                        items, held, name, at = arrays.pop()
+                        for j, item in enumerate(items):
+                            if isinstance(item, dict):
+                                number = len(parents)
+                                todo.append(("open", item, number, held, j))
+                                parents.append(node)
+                                fields.append(name + "[]")
+                                places.append((*at, j))
+                                ordinals.append(j)
+                                inside.append(True)
+                                hashes.append(None)
+                                texts.append(None)
+                            elif isinstance(item, list):
+                                held[j] = [None] * len(item)
+                                arrays.append((item, held[j], name + "[]", (*at, j)))
+                            else:
+                                held[j] = item
+                else:
+                    form[k] = child
+        else:
             text = canonical(forms.pop(node))
-            nodes[node][5], nodes[node][6] = digest(text), text
+            hashes[node], texts[node] = digest(text), text
             if into is not None:
-                into[key] = {"#": nodes[node][5].hex()}
-        elif act == "value":
-            at, i = pos
-            if isinstance(value, dict):
-                child = new(node, path, at, i, False)
-                todo.append(("open", value, child, path, at, into, key))
-            elif isinstance(value, list):
-                items: list = [None] * len(value)
-                into[key] = items
-                for j in range(len(value) - 1, -1, -1):
-                    todo.append(("item", value[j], node, path, (at, j), items, j))
-            else:
-                into[key] = value
-        else:  # an element of the array at path
-            at, j = pos
-            own = f"{at}.{j}" if at else str(j)
-            if isinstance(value, dict):
-                child = new(node, path, own, j, True)
-                todo.append(("open", value, child, path + "[]", own, into, key))
-            elif isinstance(value, list):
-                items = [None] * len(value)
-                into[key] = items
-                for m in range(len(value) - 1, -1, -1):
-                    todo.append(("item", value[m], node, path + "[]", (own, m), items, m))
-            else:
-                into[key] = value
-    return [(i, n[0], n[5], nodes[n[0]][5] if n[0] is not None else None, n[1], n[2], n[3], n[4], n[6]) for i, n in enumerate(nodes)]
+                into[key] = {"#": hashes[node].hex()}
+    for node, parent in enumerate(parents):
+        path = pos = None
+        if inside[node]:
+            keys, spots, at = [fields[node][:-2]], [places[node]], parent
+            while at is not None and at != 0:
+                keys.append(fields[at])
+                spots.append(places[at])
+                at = parents[at]
+            path, pos = ".".join(reversed(keys)), ".".join(str(j) for spot in reversed(spots) for j in spot)
+        yield node, parent, hashes[node], None if parent is None else hashes[parent], fields[node], path, pos, ordinals[node], inside[node], texts[node]
 
 
 def occurrences(records: DataFrame, key: str, body: str) -> DataFrame:
     """Every object of every whole body, with its canonical text. Bodies that aren't whole JSON objects have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        size = 0
         for pdf in batches:
-            rows: list[tuple] = []
             for rec, text in zip(pdf["rec"].tolist(), pdf["body"].tolist()):
                 value = whole_object(text if isinstance(text, str) else None)
-                if value is not None:
-                    rows += [(rec, *x) for x in occurrences_of(value)]
-                if len(rows) > 20000:
-                    yield _frame(rows)
-                    rows = []
-            yield _frame(rows)
+                if value is None:
+                    continue
+                for x in occurrences_of(value):
+                    rows.append((rec, *x))
+                    size += len(x[9]) + (len(x[5]) if x[5] else 0)
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_CHARS:
+                        yield _frame(rows)
+                        rows, size = [], 0
+        yield _frame(rows)
 
     return records.select(F.col(key).cast("long").alias("rec"), F.col(body).alias("body")).mapInPandas(run, _OCC)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_OCC.names)
-    out["path"] = [clean(p) for p in out["path"]]
+    for c in ("field", "path"):
+        out[c] = pd.Series([clean(p) if isinstance(p, str) else None for p in out[c]], dtype=object)
     out["parent_node"] = out["parent_node"].astype("Int32")
     return out
 
@@ -116,12 +138,55 @@ def bridge(occ: DataFrame) -> DataFrame:
     return occ.drop("canonical")
 
 
-def rebuild(texts: dict[str, str], top: str) -> object:
-    """The JSON value of a hash, put together again from the stored objects (hash in hex to canonical text)."""
+def values_of(text: str) -> Iterator[tuple]:
+    """(field, item_pos, type, value) of the scalars of a canonical object, those in its arrays included.
 
-    def resolve(value):
-        if isinstance(value, dict) and value.keys() == {"#"} and isinstance(value["#"], str) and value["#"] in texts:
-            return {k: resolve(v) for k, v in json.loads(texts[value["#"]]).items()}
-        return [resolve(v) for v in value] if isinstance(value, list) else value
+    type is string, number, boolean or null; value is the string itself, else its JSON spelling, null for null. An
+    empty array is a row of type `empty`. Nested objects are rows of the bridge, not values.
+    """
+    for key, child in whole_object(text).items():
+        todo = [(key, (), child)]
+        while todo:
+            name, at, v = todo.pop()
+            if isinstance(v, list):
+                todo += [(name + "[]", (*at, j), item) for j, item in reversed(list(enumerate(v)))]
+                if not v:
+                    yield name, ".".join(map(str, at)), "empty", None
+            elif not isinstance(v, dict):
+                kind = "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, Num) else "string"
+                yield name, ".".join(map(str, at)), kind, None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+
+
+def values(stored: DataFrame) -> DataFrame:
+    """hash, field, item_pos, type, value: a row for each scalar of each stored object (objects() gives those)."""
 
-    return resolve({"#": top})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, size = [], 0
+            for key, text in zip(pdf["hash"].tolist(), pdf["canonical"].tolist()):
+                for field, pos, kind, value in values_of(text):
+                    rows.append((key, clean(field), pos, kind, None if value is None else clean(value)))
+                size += len(text)
+                if size >= BATCH_CHARS:
+                    yield pd.DataFrame(rows, columns=["hash", "field", "item_pos", "type", "value"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["hash", "field", "item_pos", "type", "value"])
+
+    return stored.select("hash", "canonical").mapInPandas(run, "hash binary, field string, item_pos string, type string, value string")
+
+
+def rebuild(texts: dict[str, str], top: str) -> object:
+    """The JSON value of a hash, put together again from the stored objects (hash in hex to canonical text)."""
+    out: dict = {}
+    todo: list[tuple] = [({"#": top}, out, "")]
+    while todo:
+        value, into, key = todo.pop()
+        if isinstance(value, dict):  # in a stored object every dict stands for one
+            into[key] = {}
+            todo += [(child, into[key], k) for k, child in reversed(whole_object(texts[value["#"]]).items())]
+        elif isinstance(value, list):
+            into[key] = [None] * len(value)
+            todo += [(child, into[key], j) for j, child in enumerate(value)]
+        else:
+            into[key] = value
+    return out[""]

@@ -40,7 +40,7 @@ def with_ratios(buckets: DataFrame) -> DataFrame:
     return out.withColumns({
         "cost_value": cost_value(), "cost_is_floor": cost_value().isNotNull() & (F.col("unpriced_requests") > 0), "cache_hit_pct": F.when(cached > 0, percent(F.col("cache_read"), prompt)),
         "output_pct": percent(F.col("output"), F.col("tokens")), "reasoning_pct": F.when(F.col("reasoning") > 0, percent(F.col("reasoning"), F.col("tokens"))),
-        "tokens_per_request": scaled_round(F.try_divide(F.col("tokens"), F.col("requests")), 1), "cost_per_request": F.when(F.col("priced_requests") > 0, scaled_round(F.col("cost") / F.col("priced_requests"), 6)),
+        "tokens_per_request": scaled_round(F.try_divide(F.col("tokens"), F.col("requests")), 1), "cost_per_request": F.when(F.col("priced_requests") > 0, scaled_round(scaled_round(F.col("cost"), 9) / F.col("priced_requests"), 6)),
         "api_equivalent_cost": scaled_round(F.col("api_equivalent_cost"), 6),
     }).drop("cost")
 

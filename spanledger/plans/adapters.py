@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stamps
+from ..operators import limits, stamps
 from ..session import table
+from .stamp_sql import stamped
 
 NOW = 1_780_000_000  # 2026-05-28, inside the tables' time
 DAY_START = NOW - NOW % 86400
 
 
 def usage(spark: SparkSession, d: str) -> DataFrame:
-    """usage_event as usage rows: seq is id, created the second it was received, or 0 for an undated one."""
-    undated = F.col("created").isNull() | (F.trim("created") == "") | (F.coalesce(F.col("created").try_cast("double"), F.lit(1.0)) <= 0)
-    received = F.unix_timestamp(F.col("received_at").cast("timestamp"))
-    return _usage(table(spark, d, "usage_event"), F.when(undated, F.lit(0)).otherwise(received))
+    """usage_event as usage rows for queries that don't read `created`: seq is id, and there is no created."""
+    return _usage(table(spark, d, "usage_event"), F.lit(None)).drop("created")
 
 
-def usage_by_instant(spark: SparkSession, d: str) -> DataFrame:
-    """usage() with created the second that the event's own stamp names, or 0 where it is undated or unresolved."""
-    read = stamps.normalise(table(spark, d, "usage_event"), table(spark, d, "host_clock"), "created", "host_id")
+def usage_dated(spark: SparkSession, d: str) -> DataFrame:
+    """usage() with created, the second that the event's own stamp names, or 0 where it is undated or unresolved."""
+    read = stamps.normalise(table(spark, d, "usage_event").withColumn("_from", F.lit("usage_event.created")), table(spark, d, "host_clock"), "created", "host_id", "_from")
     return _usage(read, F.coalesce(F.floor(F.col("stamp_micros") / 1_000_000), F.lit(0)))
 
 
@@ -34,18 +33,18 @@ def _usage(u: DataFrame, created: Column) -> DataFrame:
     )
 
 
-USAGE_SQL = """
+_USAGE_SQL = """
 usage AS (
   SELECT id AS seq, nullif(event_id, '') AS event_id, provider, model, upper(category) AS category, cost_status,
     CASE WHEN lower(trim(billing)) LIKE 'sub%' THEN 'subscription' ELSE 'per_token' END AS billing, coalesce(requests, 0) AS requests,
     coalesce(input_tokens, 0) AS input, coalesce(output_tokens, 0) AS output, coalesce(reasoning_tokens, 0) AS reasoning,
-    coalesce(cache_read_tokens, 0) AS cache_read, coalesce(cache_write_tokens, 0) AS cache_write, cost,
-    CASE WHEN created IS NULL OR trim(created) = '' OR coalesce(try_cast(created AS DOUBLE), 1.0) <= 0 THEN 0
-         ELSE cast(floor(epoch(received_at)) AS BIGINT) END AS created, session_id, project, input_tokens IS NULL AS incomplete,
+    coalesce(cache_read_tokens, 0) AS cache_read, coalesce(cache_write_tokens, 0) AS cache_write, cost,{created} session_id, project, input_tokens IS NULL AS incomplete,
     coalesce(input_tokens, 0) + coalesce(output_tokens, 0) + coalesce(reasoning_tokens, 0) + coalesce(cache_read_tokens, 0) + coalesce(cache_write_tokens, 0) AS tokens,
     cost_status IN ('reported', 'calculated', 'estimated') AS billable, cost_status IN ('reported', 'calculated', 'estimated') AND cost IS NOT NULL AS priced,
     cost_status NOT IN ('free', 'local', 'quota') AS needs_price, cost_status = 'quota' AS on_quota
-  FROM usage_event)"""
+  FROM {source})"""
+USAGE_SQL = _USAGE_SQL.format(created="", source="usage_event")
+DATED_SQL = stamped("read", "SELECT id AS k, created AS raw, host_id FROM usage_event") + "," + _USAGE_SQL.format(created=" coalesce(r.micros // 1000000, 0) AS created,", source="usage_event e LEFT JOIN read r ON r.k = e.id")
 
 COUNTERS_SQL = """cast(coalesce(sum(requests), 0) AS BIGINT) AS requests, cast(coalesce(sum(input), 0) AS BIGINT) AS input, cast(coalesce(sum(output), 0) AS BIGINT) AS output,
     cast(coalesce(sum(reasoning), 0) AS BIGINT) AS reasoning, cast(coalesce(sum(cache_read), 0) AS BIGINT) AS cache_read, cast(coalesce(sum(cache_write), 0) AS BIGINT) AS cache_write,
@@ -84,17 +83,30 @@ def tally(spark: SparkSession, d: str) -> DataFrame:
 TALLY_SQL = "tally AS (SELECT cast(floor(epoch(l_shipdate)) AS BIGINT) AS day, l_linestatus AS agent, l_returnflag AS reason, count(*) AS runs FROM lineitem GROUP BY ALL)"
 
 
-def windows(spark: SparkSession, d: str) -> DataFrame:
-    """limit_record as limit windows: an agent a panel and host; every seventh record stale, resets spread about NOW."""
-    r = table(spark, d, "limit_record")
-    used = F.when(F.col("percent_used") >= 0, F.least("percent_used", F.lit(1.0)))
-    return r.select(F.concat_ws("/", "panel", "host_id").alias("agent"), F.coalesce("title", "label").alias("label"), used.alias("fraction"), (F.col("limit_id") % 7 == 0).alias("stale"), F.when(F.col("limit_id") % 5 != 0, NOW + (F.col("limit_id") % 11 - 5) * 3600).alias("resets_at"), F.col("limit_id").alias("seq"))
+STALE_AFTER = 6 * 3600
 
 
-WINDOWS_SQL = f"""
+def windows(spark: SparkSession, d: str, now: int = NOW) -> DataFrame:
+    """limit_record as limit windows by its own stamps: an agent a panel and host, stale by updated_at, reset at resets_at.
+
+    An undated or unresolved resets_at is no known reset. seq is limit_id.
+    """
+    clock = table(spark, d, "host_clock")
+    r = table(spark, d, "limit_record").withColumns({"_u": F.lit("limit_record.updated_at"), "_r": F.lit("limit_record.resets_at")})
+    at = stamps.normalise(r, clock, "updated_at", "host_id", "_u").withColumn("_updated", F.floor(F.col("stamp_micros") / 1_000_000))
+    both = stamps.normalise(at, clock, "resets_at", "host_id", "_r").withColumn("_resets", F.floor(F.col("stamp_micros") / 1_000_000))
+    stale = limits.is_stale(F.lit(now) - F.col("_updated"), STALE_AFTER)
+    return both.select(F.concat_ws("/", "panel", "host_id").alias("agent"), F.coalesce("title", "label").alias("label"), limits.fraction(F.col("percent_used")).alias("fraction"), stale.alias("stale"), F.col("_updated").cast("long").alias("updated_at"), F.col("_resets").cast("long").alias("resets_at"), F.col("limit_id").alias("seq"), "ready")
+
+
+WINDOWS_SQL = (
+    stamped("updated", "SELECT limit_id AS k, updated_at AS raw, host_id FROM limit_record") + "," + stamped("resets", "SELECT limit_id AS k, resets_at AS raw, host_id FROM limit_record")
+    + f""",
 windows AS (
-  SELECT concat_ws('/', panel, host_id) AS agent, coalesce(title, label) AS label, CASE WHEN percent_used >= 0 THEN least(percent_used, 1.0) END AS fraction,
-    limit_id % 7 = 0 AS stale, CASE WHEN limit_id % 5 <> 0 THEN {NOW} + (limit_id % 11 - 5) * 3600 END AS resets_at, limit_id AS seq FROM limit_record)"""
+  SELECT concat_ws('/', panel, host_id) AS agent, coalesce(title, label) AS label, CASE WHEN percent_used >= 0 AND NOT isnan(percent_used) THEN least(percent_used, 1.0) END AS fraction,
+    u.micros IS NULL OR {NOW} - u.micros // 1000000 > {STALE_AFTER} OR {NOW} - u.micros // 1000000 < -60 AS stale, u.micros // 1000000 AS updated_at, r.micros // 1000000 AS resets_at, limit_id AS seq, ready
+  FROM limit_record l LEFT JOIN updated u ON u.k = l.limit_id LEFT JOIN resets r ON r.k = l.limit_id)"""
+)
 
 # Example dimensions, as parameters of the queries; not anyone's prices.
 RATES = [

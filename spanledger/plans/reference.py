@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from . import adapters as A
 NOW, DAY = A.NOW, A.DAY_START
 QUERIES, SQL = {}, {}
 Rows = Callable[[SparkSession, str], DataFrame]
+R9 = lambda x: f"round(({x}) * 1000000000.0) / 1000000000.0"
 R6 = lambda x: f"round(({x}) * 1000000.0) / 1000000.0"
 R4 = lambda x: f"round(({x}) * 10000.0) / 10000.0"
 R1 = lambda x: f"round(({x}) * 10.0) / 10.0"
@@ -41,7 +41,7 @@ RATIOS_SQL = f"""requests, input, output, reasoning, cache_read, cache_write, pr
     CASE WHEN input + output + reasoning + cache_read + cache_write > 0 THEN {R1("output * 100.0 / (input + output + reasoning + cache_read + cache_write)")} END AS output_pct,
     CASE WHEN reasoning > 0 THEN {R1("reasoning * 100.0 / (input + output + reasoning + cache_read + cache_write)")} END AS reasoning_pct,
     CASE WHEN requests > 0 THEN {R1("(input + output + reasoning + cache_read + cache_write) / cast(requests AS DOUBLE)")} END AS tokens_per_request,
-    CASE WHEN priced_requests > 0 THEN {R6("cost / priced_requests")} END AS cost_per_request"""
+    CASE WHEN priced_requests > 0 THEN {R6(R9("cost") + " / priced_requests")} END AS cost_per_request"""
 
 
 @query("q01_totals", f"SELECT requests, input, output, reasoning, cache_read, cache_write, {R6('cost')} AS cost, unpriced_requests AS unknown_requests, quota_requests, cast(NULL AS DOUBLE) AS api_equivalent_cost FROM (SELECT {A.COUNTERS_SQL} FROM usage)", A.USAGE_SQL)
@@ -94,20 +94,20 @@ def q06(spark: SparkSession, d: str) -> DataFrame:
 SEEN_SQL = "min(created) FILTER (created > 0) AS first_seen, max(created) FILTER (created > 0) AS last_seen"
 
 
-@query("q07_by_project", f"SELECT project, sessions, models, first_seen, last_seen, {RATIOS_SQL} FROM (SELECT coalesce(project, '(unattributed)') AS project, count(DISTINCT session_id) AS sessions, count(DISTINCT concat_ws('/', provider, model)) AS models, {SEEN_SQL}, {A.COUNTERS_SQL} FROM usage GROUP BY 1)", A.USAGE_SQL)
-def q07(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q07_by_project", f"SELECT project, sessions, models, first_seen, last_seen, {RATIOS_SQL} FROM (SELECT coalesce(project, '(unattributed)') AS project, count(DISTINCT session_id) AS sessions, count(DISTINCT concat_ws('/', provider, model)) AS models, {SEEN_SQL}, {A.COUNTERS_SQL} FROM usage GROUP BY 1)", A.DATED_SQL)
+def q07(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return usage.by_project(rows(spark, d))
 
 
 @query("q08_by_session", f"""SELECT session_id, requests, input + output + reasoning + cache_read + cache_write AS tokens, CASE WHEN priced_requests > 0 OR (unpriced_requests = 0 AND quota_requests = 0) THEN {R6("cost")} END AS cost_value,
   unpriced_requests, array_to_string(m[1:6], ',') AS models, cast(len(m) AS INTEGER) AS models_total, last_seen - first_seen AS duration
-FROM (SELECT session_id, list_sort(list(DISTINCT concat_ws('/', provider, model))) AS m, {SEEN_SQL}, {A.COUNTERS_SQL} FROM usage WHERE session_id IS NOT NULL GROUP BY session_id)""", A.USAGE_SQL)
-def q08(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+FROM (SELECT session_id, list_sort(list(DISTINCT concat_ws('/', provider, model))) AS m, {SEEN_SQL}, {A.COUNTERS_SQL} FROM usage WHERE session_id IS NOT NULL GROUP BY session_id)""", A.DATED_SQL)
+def q08(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return usage.by_session(rows(spark, d))
 
 
-@query("q09_by_day", f"SELECT day, {RATIOS_SQL} FROM (SELECT cast(to_timestamp(created) AT TIME ZONE 'UTC' AS DATE) AS day, {A.COUNTERS_SQL} FROM usage WHERE created > 0 GROUP BY 1) ORDER BY day DESC LIMIT 31", A.USAGE_SQL)
-def q09(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q09_by_day", f"SELECT day, {RATIOS_SQL} FROM (SELECT cast(to_timestamp(created) AT TIME ZONE 'UTC' AS DATE) AS day, {A.COUNTERS_SQL} FROM usage WHERE created > 0 GROUP BY 1) ORDER BY day DESC LIMIT 31", A.DATED_SQL)
+def q09(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return usage.by_day(rows(spark, d))
 
 
@@ -118,14 +118,14 @@ def q10(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q11_session_totals", f"""SELECT session_id, requests, input + output + reasoning + cache_read + cache_write AS tokens, {R6("cost")} AS cost, unpriced_requests, first_seen, last_seen, project, opening_model, models
-FROM (SELECT session_id, {SEEN_SQL}, arg_min(project, seq) FILTER (project IS NOT NULL) AS project, arg_min(model, created * 100000000 + seq) AS opening_model, count(DISTINCT model) AS models, {A.COUNTERS_SQL} FROM usage WHERE session_id IS NOT NULL GROUP BY session_id)""", A.USAGE_SQL)
-def q11(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+FROM (SELECT session_id, {SEEN_SQL}, arg_min(project, seq) FILTER (project IS NOT NULL) AS project, arg_min(model, created * 100000000 + seq) AS opening_model, count(DISTINCT model) AS models, {A.COUNTERS_SQL} FROM usage WHERE session_id IS NOT NULL GROUP BY session_id)""", A.DATED_SQL)
+def q11(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return usage.session_totals(rows(spark, d))
 
 
 @query("q12_daily_totals", f"""SELECT d.day, {", ".join(f"coalesce(u.{c}, 0) AS {c}" for c in ("requests", "input", "output", "reasoning", "cache_read", "cache_write", "unpriced_requests", "quota_requests"))}, {R6("coalesce(u.cost, 0.0)")} AS cost
-FROM (SELECT cast(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM per) d LEFT JOIN per u ON u.day = d.day""", A.USAGE_SQL, f"per AS (SELECT cast(to_timestamp(created) AT TIME ZONE 'UTC' AS DATE) AS day, {A.COUNTERS_SQL} FROM usage WHERE created > 0 GROUP BY 1)")
-def q12(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+FROM (SELECT cast(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM per) d LEFT JOIN per u ON u.day = d.day""", A.DATED_SQL, f"per AS (SELECT cast(to_timestamp(created) AT TIME ZONE 'UTC' AS DATE) AS day, {A.COUNTERS_SQL} FROM usage WHERE created > 0 GROUP BY 1)")
+def q12(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return usage.daily_totals(rows(spark, d))
 
 
@@ -138,8 +138,8 @@ BUDGET_SQL = f"""status AS (SELECT name, scope, scope_name, "limit", {R6("cost")
   GROUP BY name, scope, scope_name, "limit", warn_pct, critical_pct))"""
 
 
-@query("q13_burn", "SELECT * FROM burn", A.USAGE_SQL, BURN_SQL)
-def q13(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q13_burn", "SELECT * FROM burn", A.DATED_SQL, BURN_SQL)
+def q13(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return usage.burn(rows(spark, d), NOW, 604800)
 
 
@@ -147,8 +147,8 @@ def q13(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
   reason IS NULL AND (s_unpriced > 0 OR s_quota > 0 OR b_unpriced > 0 OR b_quota > 0) AS is_upper_bound
 FROM (SELECT s.name, s."limit", s.spend, b.cost_per_hour, s.unpriced_requests AS s_unpriced, s.quota_requests AS s_quota, b.unpriced_requests AS b_unpriced, b.quota_requests AS b_quota,
   CASE WHEN NOT projectable AND b.requests < 5 THEN 'too few requests' WHEN NOT projectable AND quota_only THEN 'on quota' WHEN NOT projectable AND b.unpriced_requests > 0 THEN 'unpriced' WHEN NOT projectable THEN 'no spend' WHEN "limit" - spend <= 0 THEN 'already over' END AS reason
-  FROM status s, burn b)""", A.USAGE_SQL, BURN_SQL, A.BUDGETS_SQL, BUDGET_SQL)
-def q14(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+  FROM status s, burn b)""", A.DATED_SQL, BURN_SQL, A.BUDGETS_SQL, BUDGET_SQL)
+def q14(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     u = rows(spark, d)
     return usage.projection(usage.budget_status(u, A.budgets(spark)), usage.burn(u, NOW, 604800))
 
@@ -170,8 +170,8 @@ def q16s(spark: SparkSession, d: str) -> DataFrame:
     return usage.reported_share(A.usage(spark, d))
 
 
-@query("q17_budgets", "SELECT * FROM status", A.USAGE_SQL, A.BUDGETS_SQL, BUDGET_SQL)
-def q17(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q17_budgets", "SELECT * FROM status", A.DATED_SQL, A.BUDGETS_SQL, BUDGET_SQL)
+def q17(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return usage.budget_status(rows(spark, d), A.budgets(spark))
 
 
@@ -222,13 +222,13 @@ def _rate(spark: SparkSession, d: str, rows: Rows) -> tuple[DataFrame, DataFrame
     return u, lookup.input_rate(u, A.rates(spark))
 
 
-@query("q21_escalations", "SELECT count(*) AS sessions_examined, count(to_model) AS sessions_escalated, cast(coalesce(sum(unclassified), 0) AS BIGINT) AS unclassified_changes FROM esc", A.USAGE_SQL, A.RATES_SQL, RATE_SQL, ESC_SQL)
-def q21(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q21_escalations", "SELECT count(*) AS sessions_examined, count(to_model) AS sessions_escalated, cast(coalesce(sum(unclassified), 0) AS BIGINT) AS unclassified_changes FROM esc", A.DATED_SQL, A.RATES_SQL, RATE_SQL, ESC_SQL)
+def q21(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return routing.escalations(*_rate(spark, d, rows))[0]
 
 
-@query("q21_transitions", f"SELECT opening AS from_model, to_model, count(*) AS sessions, {R6('sum(cost_after)')} AS cost_after, cast(sum(unpriced_after) AS BIGINT) AS unpriced_after, cast(sum(quota_after) AS BIGINT) AS quota_after FROM esc WHERE to_model IS NOT NULL GROUP BY 1, 2", A.USAGE_SQL, A.RATES_SQL, RATE_SQL, ESC_SQL)
-def q21t(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q21_transitions", f"SELECT opening AS from_model, to_model, count(*) AS sessions, {R6('sum(cost_after)')} AS cost_after, cast(sum(unpriced_after) AS BIGINT) AS unpriced_after, cast(sum(quota_after) AS BIGINT) AS quota_after FROM esc WHERE to_model IS NOT NULL GROUP BY 1, 2", A.DATED_SQL, A.RATES_SQL, RATE_SQL, ESC_SQL)
+def q21t(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return routing.escalations(*_rate(spark, d, rows))[1]
 
 
@@ -240,8 +240,8 @@ def q22(spark: SparkSession, d: str) -> DataFrame:
     return routing.attribution(u, u.agg(F.min("session_id")).first()[0], 1)
 
 
-@query("q23_journal_stats", "SELECT 'usage' AS table_name, count(*) AS n, min(created) FILTER (created > 0) AS oldest FROM usage UNION ALL SELECT 'routing', count(*), min(created) FILTER (created > 0) FROM routing", A.USAGE_SQL, A.ROUTING_SQL)
-def q23(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q23_journal_stats", "SELECT 'usage' AS table_name, count(*) AS n, min(created) FILTER (created > 0) AS oldest FROM usage UNION ALL SELECT 'routing', count(*), min(created) FILTER (created > 0) FROM routing", A.DATED_SQL, A.ROUTING_SQL)
+def q23(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     stats = lambda df, name: df.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("created") > 0, F.col("created"))).alias("oldest")).select(F.lit(name).alias("table_name"), "n", "oldest")
     return stats(rows(spark, d), "usage").unionByName(stats(A.routing(spark, d), "routing"))
 
@@ -267,8 +267,8 @@ final AS (SELECT seq, key, CASE WHEN used THEN ec ELSE cost END AS cost, CASE WH
   FROM (SELECT *, cost_status = 'unavailable' AND billing <> 'subscription' AND category NOT IN ('CLOUD', 'LOCAL', 'FREE') AND es IS NOT NULL AS used FROM decided))"""
 
 
-@query("q25_priced", f"SELECT seq, key, {R6('cost')} AS cost, cost_status, {R6('api_equivalent_cost')} AS api_equivalent_cost, category FROM final", A.USAGE_SQL, A.RATES_SQL, A.TIERS_SQL, A.PERIODS_SQL, RESOLVE_SQL, PRICED_SQL)
-def q25(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q25_priced", f"SELECT seq, key, {R6('cost')} AS cost, cost_status, {R6('api_equivalent_cost')} AS api_equivalent_cost, category FROM final", A.DATED_SQL, A.RATES_SQL, A.TIERS_SQL, A.PERIODS_SQL, RESOLVE_SQL, PRICED_SQL)
+def q25(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     priced = lookup.apply_estimates(lookup.estimate(rows(spark, d), A.rates(spark), A.tiers(spark), A.periods(spark)))
     return priced.select("seq", "key", X.scaled_round(F.col("cost"), 6).alias("cost"), "cost_status", X.scaled_round(F.col("api_equivalent_cost"), 6).alias("api_equivalent_cost"), "category")
 
@@ -278,8 +278,8 @@ def q26(spark: SparkSession, d: str) -> DataFrame:
     return lookup.resolve(A.usage(spark, d), A.rates(spark))
 
 
-@query("q27_price_period", """SELECT seq, model AS key, cast(p.through AS DATE) AS through FROM usage u LEFT JOIN LATERAL (SELECT through FROM periods p WHERE p.key = u.model AND strftime(to_timestamp(u.created) AT TIME ZONE 'UTC', '%Y-%m-%d') <= p.through ORDER BY through LIMIT 1) p ON true WHERE u.created > 0""", A.USAGE_SQL, A.PERIODS_SQL)
-def q27(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q27_price_period", """SELECT seq, model AS key, cast(p.through AS DATE) AS through FROM usage u LEFT JOIN LATERAL (SELECT through FROM periods p WHERE p.key = u.model AND strftime(to_timestamp(u.created) AT TIME ZONE 'UTC', '%Y-%m-%d') <= p.through ORDER BY through LIMIT 1) p ON true WHERE u.created > 0""", A.DATED_SQL, A.PERIODS_SQL)
+def q27(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     dated = rows(spark, d).where("created > 0").select("seq", F.col("model").alias("key"), F.to_date(F.timestamp_seconds("created")).alias("day"))
     return lookup.period_rates(dated, A.periods(spark).select("key", "through")).select("seq", "key", "through")
 
@@ -290,14 +290,14 @@ def q28(spark: SparkSession, d: str) -> DataFrame:
     return lookup.tier_of(rows, A.tiers(spark).select("key", "threshold"), "context").select("seq", "key", "threshold")
 
 
-@query("q29_trailing_series", f"SELECT cast(e AS INTEGER) AS epoch_day, coalesce((SELECT cast(sum(tokens) AS BIGINT) FROM usage WHERE created > 0 AND created // 86400 = e), 0) AS tokens FROM generate_series({DAY // 86400 - 6}, {DAY // 86400}) g(e)", A.USAGE_SQL)
-def q29(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q29_trailing_series", f"SELECT cast(e AS INTEGER) AS epoch_day, coalesce((SELECT cast(sum(tokens) AS BIGINT) FROM usage WHERE created > 0 AND created // 86400 = e), 0) AS tokens FROM generate_series({DAY // 86400 - 6}, {DAY // 86400}) g(e)", A.DATED_SQL)
+def q29(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return usage.trailing_series(rows(spark, d), DAY // 86400)
 
 
 @query("q30_supersede", """SELECT position AS seq, event_id, provider, model, tokens, created FROM (SELECT *, min(seq) OVER (PARTITION BY k) AS position, row_number() OVER (PARTITION BY k ORDER BY tokens DESC, seq) AS n
-FROM (SELECT *, coalesce('E:' || event_id, concat_ws(chr(31), 'S', coalesce(provider, ''), coalesce(model, ''), input, output, reasoning, cache_read, cache_write, created)) AS k FROM usage)) WHERE n = 1""", A.USAGE_SQL)
-def q30(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+FROM (SELECT *, coalesce('E:' || event_id, concat_ws(chr(31), 'S', coalesce(provider, ''), coalesce(model, ''), input, output, reasoning, cache_read, cache_write, created)) AS k FROM usage)) WHERE n = 1""", A.DATED_SQL)
+def q30(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return supersede.supersede(rows(spark, d)).select("seq", "event_id", "provider", "model", total_tokens().alias("tokens"), "created")
 
 
@@ -308,11 +308,11 @@ def q31(spark: SparkSession, d: str) -> DataFrame:
     return usage.apportion(per, "project", "category", "tokens", 1000)
 
 
-@query("q32_limits_merge", """SELECT agent, windows, stale, updated_at, rank, tier FROM (SELECT *, max(t) OVER (PARTITION BY agent) AS any_tier, row_number() OVER (PARTITION BY agent ORDER BY windows > 0 DESC, NOT stale DESC, updated_at DESC, rank DESC) AS n,
-  coalesce(t, max(t) OVER (PARTITION BY agent)) AS tier FROM (SELECT agent, CASE WHEN fraction IS NULL THEN 0 ELSE 1 END AS windows, stale, seq AS updated_at, cast(seq % 3 AS INTEGER) AS rank, CASE WHEN seq % 4 = 0 THEN label END AS t FROM windows)) WHERE n = 1""", A.WINDOWS_SQL)
+@query("q32_limits_merge", """SELECT agent, windows, stale, updated_at, rank, tier FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY windows > 0 DESC, NOT stale DESC, updated_at DESC NULLS LAST, rank DESC, t DESC NULLS LAST) AS n,
+  coalesce(t, max(t) OVER (PARTITION BY agent)) AS tier FROM (SELECT agent, CASE WHEN fraction IS NULL THEN 0 ELSE 1 END AS windows, stale, updated_at, CASE WHEN ready THEN 1 ELSE 0 END AS rank, label AS t FROM windows)) WHERE n = 1""", A.WINDOWS_SQL)
 def q32(spark: SparkSession, d: str) -> DataFrame:
     w = A.windows(spark, d)
-    snaps = w.select("agent", F.when(F.col("fraction").isNull(), 0).otherwise(1).alias("windows"), "stale", F.col("seq").alias("updated_at"), (F.col("seq") % 3).cast("int").alias("rank"), F.when(F.col("seq") % 4 == 0, F.col("label")).alias("tier"))
+    snaps = w.select("agent", F.when(F.col("fraction").isNull(), 0).otherwise(1).alias("windows"), "stale", "updated_at", F.when(F.col("ready"), 1).otherwise(0).alias("rank"), F.col("label").alias("tier"))
     return limits.merge_snapshots(snaps).select("agent", "windows", "stale", "updated_at", "rank", "tier")
 
 
@@ -336,8 +336,8 @@ def q34(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q35_record_tallies", f"""SELECT cast(sum(requests) AS BIGINT) AS total_prompts, cast(sum(requests) FILTER (created >= {DAY}) AS BIGINT) AS today_prompts, count(DISTINCT session_id) AS total_sessions, count(DISTINCT session_id) FILTER (created >= {DAY}) AS today_sessions,
-  count(DISTINCT created // 86400) FILTER (created > 0) AS active_days, cast(sum(tokens) AS BIGINT) AS total_tokens, cast(sum(tokens) FILTER (created >= {DAY}) AS BIGINT) AS today_tokens FROM usage""", A.USAGE_SQL)
-def q35(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+  count(DISTINCT created // 86400) FILTER (created > 0) AS active_days, cast(sum(tokens) AS BIGINT) AS total_tokens, cast(sum(tokens) FILTER (created >= {DAY}) AS BIGINT) AS today_tokens FROM usage""", A.DATED_SQL)
+def q35(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     return usage.record_tallies(rows(spark, d), DAY)
 
 
@@ -363,8 +363,8 @@ def q38(spark: SparkSession, d: str) -> DataFrame:
     return supersede.drop_replays(calls, "session_id", "seq", "total", "output").select("seq", "disagrees")
 
 
-@query("q39_filtered_view", f"""SELECT provider, model, cast(sum(requests) AS BIGINT) AS requests FROM usage WHERE created >= {NOW - 30 * 86400} AND lower(provider) = 'anthropic' GROUP BY provider, model""", A.USAGE_SQL)
-def q39(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+@query("q39_filtered_view", f"""SELECT provider, model, cast(sum(requests) AS BIGINT) AS requests FROM usage WHERE created >= {NOW - 30 * 86400} AND lower(provider) = 'anthropic' GROUP BY provider, model""", A.DATED_SQL)
+def q39(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     seen = rows(spark, d).where(views.in_range(F.col("created"), NOW, 30) & views.matches(provider="ANTHROPIC"))
     return views.sort_view(seen.groupBy("provider", "model").agg(F.sum("requests").alias("requests")), "models", ["provider", "model"], "requests")
 
@@ -383,8 +383,8 @@ def q41(spark: SparkSession, d: str) -> DataFrame:
 @query("q42_labels", f"""SELECT seq, CASE WHEN input >= 1000000000 THEN printf('%.1fB', floor(input / 1e8 + 0.5) / 10) WHEN input >= 1000000 THEN printf('%.1fM', floor(input / 1e5 + 0.5) / 10) WHEN input >= 1000 THEN printf('%.1fK', floor(input / 1e2 + 0.5) / 10) ELSE cast(input AS VARCHAR) END AS tokens_label,
   CASE WHEN s < 60 THEN '<1m' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h ' || lpad(cast(s // 60 % 60 AS VARCHAR), 2, '0') || 'm' ELSE (s // 86400) || 'd ' || (s // 3600 % 24) || 'h' END AS age_label,
   CASE WHEN regexp_matches(model, '^[=+@-]') THEN '''' || model ELSE model END AS csv_model, CASE WHEN project IS NULL OR trim(project) = '' THEN NULL WHEN rtrim(project, '/') = '' THEN project ELSE rtrim(project, '/') END AS path
-FROM (SELECT *, abs({NOW} - created) AS s FROM usage)""", A.USAGE_SQL)
-def q42(spark: SparkSession, d: str, rows: Rows = A.usage) -> DataFrame:
+FROM (SELECT *, abs({NOW} - created) AS s FROM usage)""", A.DATED_SQL)
+def q42(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
     u = rows(spark, d)
     return u.select("seq", X.format_count(F.col("input")).alias("tokens_label"), X.format_duration(F.abs(F.lit(NOW) - F.col("created"))).alias("age_label"), X.csv_guard(F.col("model")).alias("csv_model"), X.project_path(F.col("project")).alias("path"))
 
@@ -398,11 +398,3 @@ def q43(spark: SparkSession, d: str) -> DataFrame:
 def q44(spark: SparkSession, d: str) -> DataFrame:
     shown = X.cost_display(F.col("cost_status"), F.col("cost"))
     return A.usage(spark, d).select("seq", X.cost_sort_key(F.col("cost_status"), F.col("cost")).alias("sort_key"), F.when(shown.startswith("$"), "priced").otherwise(shown).alias("shown"))
-
-
-# The queries that read `created`, over the instants that the events themselves state. SQL can't read those stamps.
-BY_INSTANT = {
-    "q07_by_project": q07, "q08_by_session": q08, "q09_by_day": q09, "q11_session_totals": q11, "q12_daily_totals": q12, "q13_burn": q13, "q14_projection": q14, "q17_budgets": q17, "q21_escalations": q21, "q21_transitions": q21t, "q23_journal_stats": q23,
-    "q25_priced": q25, "q27_price_period": q27, "q29_trailing_series": q29, "q30_supersede": q30, "q35_record_tallies": q35, "q39_filtered_view": q39, "q42_labels": q42,
-}
-QUERIES |= {f"{name}_instants": partial(f, rows=A.usage_by_instant) for name, f in BY_INSTANT.items()}

@@ -69,6 +69,12 @@ def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a materialized frame that nothing reads any more."""
     path = getattr(df, "_spanledger_path", None)

@@ -30,7 +30,15 @@ def utc(*a):
     ("2025-13-04 18:28:13Z", None, None, (X, None)), ("2026-06-1T25:09:47Z", None, None, (X, None)), ("08:32:09", "Etc/UTC", None, (X, None)), ("n/a", "Etc/UTC", None, (X, None)), ("2025-09-01", "Etc/UTC", None, (X, None)), ("nan", None, None, (X, None)), ("x" * 10000, None, None, (X, None)),
 ])
 def test_read_stamp(raw, zone, order, want):
-    assert stamps.read_stamp(raw, zone, order) == want
+    assert stamps.read_stamp(raw, zone, order) == (*want, "" if want[0] == R else None)
+
+
+@pytest.mark.parametrize("raw,micros,rest", [
+    ("2026-01-02T03:04:05.123456789Z", utc(2026, 1, 2, 3, 4, 5, 123456), "789"), ("2026-01-02T03:04:05.123456001Z", utc(2026, 1, 2, 3, 4, 5, 123456), "001"), ("2026-01-02T03:04:05.1234560Z", utc(2026, 1, 2, 3, 4, 5, 123456), ""),
+    ("1767323045.123456789012345678901234567890", 1767323045123456, "78901234567890123456789"), ("1767323045123.4567", 1767323045123456, "7"), ("1767323045123456.70", 1767323045123456, "7"), ("+5", 5 * 10**6, ""), (".5", 5 * 10**5, ""), ("0.0000001", 0, "1"),
+])
+def test_written_precision(raw, micros, rest):
+    assert stamps.read_stamp(raw, None, None) == (R, micros, rest) and stamps.read_stamp("9" * 400, None, None) == (X, None, None)
 
 
 def test_local_times_round_trip():
@@ -39,21 +47,34 @@ def test_local_times_round_trip():
         zone = rng.choice(["Europe/London", "America/New_York", "Australia/Adelaide", "America/Sao_Paulo"])
         at = datetime.fromtimestamp(rng.randrange(1_600_000_000, 1_800_000_000), timezone.utc)
         local = at.astimezone(ZoneInfo(zone))
-        status, micros = stamps.read_stamp(local.strftime("%Y-%m-%d %H:%M:%S"), zone, None)
+        status, micros, _ = stamps.read_stamp(local.strftime("%Y-%m-%d %H:%M:%S"), zone, None)
         assert status == X and local.fold in (0, 1) and abs(local.hour - 1) <= 1 or micros == int(at.timestamp()) * 10**6
 
 
-def test_normalise_and_dictionary(spark):
+def test_normalise_and_dictionary(spark, tmp_path):
     clock = spark.createDataFrame([("h1", "Asia/Tokyo", "dmy"), ("h2", None, None), ("h3", "Etc/UTC", None), ("h3", "Asia/Tokyo", None)], "host_id string, zone_name string, date_order string")
     rows = [(1, "2025-09-02 12:00:00", "h1"), (2, "2025-09-02 12:00:00", "h2"), (3, None, "h1"), (4, " ", None), (5, "2025-09-02 12:00:00", "h3"), (6, "2025-09-02 12:00:00Z", None), (7, "2025-09-02 12:00:00", "new")]
     df = spark.createDataFrame(rows * 1, "id long, ts string, host string").selectExpr("*", "'clash' AS status", "1 AS n")
     got = {r["id"]: (r["stamp_status"], r["status"]) for r in stamps.normalise(df, clock, "ts", "host").collect()}
     assert got == {1: (R, "clash"), 2: (X, "clash"), 3: (U, "clash"), 4: (U, "clash"), 5: (X, "clash"), 6: (R, "clash"), 7: (X, "clash")}
-    triples = stamps.with_clock(df.selectExpr("ts AS _raw", "host AS _host"), clock).select("_raw", "_zone", "_order")
-    first = stamps.build_dictionary(triples.where("_zone = ''"))
-    both = stamps.build_dictionary(triples, first)
-    assert both.count() == triples.distinct().count() and first.count() < both.count()
+    words = stamps.with_clock(df.selectExpr("ts AS _raw", "host AS _host", "'t' AS _source"), clock).select("_raw", "_source", "_zone", "_order")
+    kept = str(tmp_path / "words")
+    first = stamps.build_dictionary(words.where("_zone = ''"), kept)
+    assert all(r["fresh"] for r in first.collect())
+    both = stamps.build_dictionary(words, kept).collect()
+    assert len(both) == words.distinct().count() and {r["fresh"] for r in both} == {True, False}
+    again = stamps.build_dictionary(words, kept).collect()
+    assert not any(r["fresh"] for r in again) and {r[:7] for r in again} == {r[:7] for r in both}
+    # Two runs that both added a key leave it twice in the folder and once in the dictionary.
+    spark.read.option("recursiveFileLookup", "true").parquet(kept).write.parquet(f"{kept}/part-again")
+    assert stamps.read_dictionary(spark, kept).count() == len(both)
+    # A kept dictionary is used, not read anew: counts are those of now.
+    assert stamps.build_dictionary(words.where("_zone = ''").unionByName(words.where("_zone = ''")), kept).agg(F.sum("n")).first()[0] == 2 * words.where("_zone = ''").count()
     assert stamps.normalise(df.where("id < 0"), clock, "ts", "host").count() == 0
+    fine = spark.createDataFrame([("2026-01-02T03:04:05.123456789Z", None), ("9007199254740993", None)], "ts string, host string")
+    for _ in range(2):  # fresh, then from the dictionary
+        got = {r[0] for r in stamps.normalise(fine, clock, "ts", "host", dictionary=str(tmp_path / "fine")).select(stamps.instant_text()).collect()}
+        assert got == {"2026-01-02T03:04:05.123456789Z", "2255-06-05T23:47:34.740993Z"}
 
 
 def test_hot_spellings(spark):
@@ -69,10 +90,25 @@ def test_surplus(spark):
     assert {r["id"] for r in dedup.surplus(df.where("k is not null"), ["k"], "id", "w").collect()} == {1, 3, 5}
     assert {r["id"] for r in dedup.surplus(df, ["k"], "id", "w").collect()} == {1, 3, 5, 7}
     assert dedup.surplus(df.where("id < 0"), ["k"], "id", "w").count() == 0
+    kept = lambda c: {r[0] for r in c.kept().collect()}
+    assert kept(dedup.Copies(df, ["k"], ["id"], "w")) == {2, 4, 6, 8}
+    assert kept(dedup.Copies(df.where("id in (1, 4, 7)"), ["k"], ["id"], "w", df.where("id not in (1, 4, 7)"))) == {2, 4, 6, 8}
+    held = dedup.absorb(df.where("id < 0"), df.where("id % 2 = 0"), ["k"], "id", "w")
+    assert {r["id"] for r in dedup.absorb(held, df.where("id % 2 = 1"), ["k"], "id", "w").collect()} == {2, 4, 6, 8}
     one = spark.createDataFrame([(1, "", None, "u"), (2, "r", "m", "u"), (3, None, "", ""), (4, None, "m", "u")], "id long, a string, b string, c string")
     assert [r[0] for r in one.orderBy("id").select(dedup.first_filled("a", "b", "c")).collect()] == ["2:u", "0:r", None, "1:m"]
 
 
+def test_hot_identity(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "LEAST_HOT", 50)
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('p', id div 6) ELSE concat('s', id) END AS k", "id % 7 AS w")
+    best = {}
+    for r in df.collect():
+        key = (-r["w"], r["id"])
+        best[r["k"]] = min(best.get(r["k"], key), key)
+    assert {r["id"] for r in dedup.surplus(df, ["k"], "id", "w").collect()} == set(range(3000)) - {i for _, i in best.values()}
+
+
 def test_two_stacks_against_recompute():
     rng = random.Random(5)
     days = sorted(rng.sample(range(100), 40))
@@ -103,16 +139,20 @@ RECORDS = "rec_id long, feed_id string, feed_kind string, file_no int, body stri
 ALIAS = "feed_kind string, canonical_path string, spelling_path string"
 
 
+def ingested(spark, rows):
+    return drift.ingest(spark.createDataFrame(rows, RECORDS), ["rec_id", "feed_id", "feed_kind", "file_no"], "body", [drift.Target("a", "long", ("a",))])
+
+
 def test_changes(spark):
     rows = [
         (1, "f", "k", 1, '{"a": 1, "old": "x", "o": {"p": null}}'), (2, "f", "k", 1, '{"a": 2, "cut'), (3, "f", "k", 3, '{"a": "1", "new": "x", "o": {"p": 1}, "extra": [{"in": 1}]}'), (4, "f", "k", 3, None),
         (5, "f", "k", 4, "[1]"), (6, "g", "other", 1, '{"old": 1}'), (7, "g", "other", 2, '{"new": 1}'), (8, None, "k", 1, '{"z": 1}'),
     ]
     alias = [("k", "old", "new"), ("k", "canon", "unused"), ("k", "second", "new")]
-    got = {(r["feed_id"], r["file_no"], r["field_path"], r["change"]) for r in drift.changes(spark.createDataFrame(rows, RECORDS), "body", spark.createDataFrame(alias, ALIAS)).collect()}
+    got = {(r["feed_id"], r["file_no"], r["field_path"], r["change"]) for r in drift.changes(ingested(spark, rows), spark.createDataFrame(alias, ALIAS)).collect()}
     want = {("f", 3, "a", "retyped"), ("f", 3, "new", "renamed"), ("f", 3, "extra", "added"), ("g", 2, "old", "removed"), ("g", 2, "new", "added")}
     assert got == want | {("f", 4, p, "removed") for p in ("a", "new", "o", "o.p", "extra")}
-    assert drift.changes(spark.createDataFrame([], RECORDS), "body", spark.createDataFrame([], ALIAS)).count() == 0
+    assert drift.changes(ingested(spark, []), spark.createDataFrame([], ALIAS)).count() == 0
 
 
 def test_ingest_and_promote(spark):
@@ -132,7 +172,21 @@ def test_ingest_and_promote(spark):
 
 def test_dotted_keys_collide():
     values, rescued, kinds = drift.ingest_body({"a.b": 1, "a": {"b": "x"}}, [drift.Target("t", "long", ("a.b",))])
-    assert values == [1] and json.loads(rescued) == {"a.b#": "x"} and kinds == {"a.b": 2, "a": 8, "a.b#": 1}
+    assert values == [1] and json.loads(rescued) == {"a.b#": "x"} and kinds == {"a.b": 3, "a": 8}
+
+
+@pytest.mark.parametrize("value,to,want", [
+    ("1_000", "long", (False, None)), ("007", "long", (False, None)), ("1_0.5", "double", (False, None)), (jsonwalk.Num(str(2**53 + 1)), "double", (False, None)), (jsonwalk.Num(str(2**53)), "double", (True, 2.0**53)),
+    (jsonwalk.Num("0.1"), "double", (True, 0.1)), (jsonwalk.Num("0.10000000000000000001"), "double", (False, None)), (jsonwalk.Num("1e400"), "double", (False, None)), (jsonwalk.Num("1e99999999999999999999"), "long", (False, None)), (jsonwalk.Num("1e3"), "long", (True, 1000)),
+    (jsonwalk.Num("7.0"), "long", (True, 7)), (jsonwalk.Num("7.5"), "long", (False, None)), (jsonwalk.Num("1.50"), "string", (True, "1.50")), (True, "long", (False, None)), ("true", "boolean", (True, True)), ("True", "boolean", (False, None)), ("x" * 10**6, "long", (False, None)), ("５", "long", (False, None)),
+])
+def test_casts_are_lossless(value, to, want):
+    assert drift.cast(value, to) == want
+
+
+def test_spellings_of_targets():
+    got = drift.with_spellings([drift.Target("v", "string", ("version",)), drift.Target("o", "string", ("other",))], [("version", "cliVersion"), ("version", "cli_version"), ("x", "y")])
+    assert got[0].paths == ("version", "cliVersion", "cli_version") and got[1].paths == ("other",)
 
 
 def walk_items(value, keys="", pos=""):
@@ -166,7 +220,7 @@ def test_nested_against_recursion_and_round_trip(spark):
     assert got == sorted((i, k, p) for i, b in enumerate(bodies) if (v := jsonwalk.whole_object(b)) is not None for k, p in walk_items(v))
     texts = {r["hash"].hex(): r["canonical"] for r in nested.objects(occ).collect()}
     for r in occ.where("parent_node is null").collect():
-        assert nested.rebuild(texts, r["hash"].hex()) == json.loads(bodies[r["rec_id"]])
+        assert jsonwalk.canonical(nested.rebuild(texts, r["hash"].hex())) == jsonwalk.canonical(jsonwalk.whole_object(bodies[r["rec_id"]]))
     by_node = {(r["rec_id"], r["node"]): r for r in occ.collect()}
     for (rec, _), r in by_node.items():
         if r["parent_node"] is not None:
@@ -175,6 +229,39 @@ def test_nested_against_recursion_and_round_trip(spark):
 
 def test_deep_and_odd_bodies():
     deep = '{"a":' * 300 + "{}" + "}" * 300
-    assert len(nested.occurrences_of(jsonwalk.whole_object(deep))) == 301
-    assert jsonwalk.whole_object('{"a": 1} x') is None and jsonwalk.whole_object('{"a": Infinity}') is None and jsonwalk.whole_object(' {"a": 1, "a": 2}\n') == {"a": 2}
+    assert len(list(nested.occurrences_of(jsonwalk.whole_object(deep)))) == 301
+    assert jsonwalk.whole_object('{"a": 1} x') is None and jsonwalk.whole_object('{"a": Infinity}') is None and jsonwalk.whole_object(' {"a": 1, "a": 2}\n') == {"a": "2"}
     assert jsonwalk.whole_object('{"a":' * 200000) is None
+    deep = '{"a":' * 50000 + '{"b":[{"c":' + "9" * 5000 + '},1e400,1e500,2.50]}' + "}" * 50000
+    value = jsonwalk.whole_object(deep)
+    assert jsonwalk.dumps(value) == deep
+    rows = list(nested.occurrences_of(value))
+    assert len(rows) == 50002 and rows[-1][5] == "a." * 50000 + "b" and rows[-1][6] == "0"
+    assert jsonwalk.dumps(nested.rebuild({r[2].hex(): r[9] for r in rows}, rows[0][2].hex())) == deep
+    assert len({r[2] for r in nested.occurrences_of({"l": [{"n": jsonwalk.Num("1e400")}, {"n": jsonwalk.Num("1e500")}]})}) == 3
+    values, rescued, layout = drift.ingest_body(value, [drift.Target("x", "long", ("x",))])
+    assert values == [None] and len(layout) == 50001 and len(jsonwalk.dumps(layout)) < 10**8
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_deep_reader_reads_what_the_shallow_one_reads(seed):
+    rng = random.Random(seed)
+    for _ in range(100):
+        text = json.dumps({"k": make_value(rng), "l": [make_value(rng)]})
+        at = rng.randrange(len(text))
+        for t in (text, text[:at], text[:at] + rng.choice('{}[],:"0 x') + text[at:]):
+            want = jsonwalk.whole_object(t)
+            try:
+                got = jsonwalk._deep(t)
+            except ValueError:
+                got = None
+            assert want is None or got == want
+            assert got is None or not isinstance(got, dict) or got == want
+
+
+def test_values_of_objects(spark):
+    body = '{"s":"x","n":1.50,"t":true,"z":null,"o":{"in":1},"e":[],"l":[1,["a",{"q":2}]]}'
+    occ = nested.occurrences(spark.createDataFrame([(1, body)], "rec_id long, body string"), "rec_id", "body")
+    got = {(r["field"], r["item_pos"], r["type"], r["value"]) for r in nested.values(nested.objects(occ)).collect()}
+    want = {("s", "", "string", "x"), ("n", "", "number", "1.50"), ("t", "", "boolean", "true"), ("z", "", "null", None), ("e", "", "empty", None), ("l[]", "0", "number", "1"), ("l[][]", "1.0", "string", "a"), ("in", "", "number", "1"), ("q", "", "number", "2")}
+    assert got == want

@@ -1,15 +1,12 @@
 """The queries by the events' own instants, against a plain reading of each stamp."""
 
 from datetime import UTC, datetime
-from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
 from spanledger.operators.stamps import read_stamp
-from spanledger.plans import reference
 
-DATA = "/root/testdata/sf0.001"
 ZONES = {"berlin": ("Europe/Berlin", "dmy"), "boston": ("America/New_York", "mdy"), "lost": (None, None)}
 RECEIVED = ("2026-05-20 10:00:00", "2026-05-22 03:30:00")
 # id, batch, host, event_id, created, input_tokens, model
@@ -43,7 +40,7 @@ def test_supersede_by_instant(spark, folder):
         first = held.get(key, (e[0],))[0]
         if key not in held or e[5] > held[key][1]:
             held[key] = (first, e[5], second(e))
-    got = {(r["seq"], r["tokens"], r["created"]) for r in entry.queries()["q30_supersede_instants"](spark, folder).collect()}
+    got = {(r["seq"], r["tokens"], r["created"]) for r in entry.queries()["q30_supersede"](spark, folder).collect()}
     assert got == set(held.values()) and {s for s, *_ in got} == {1, 4, 5, 7, 10}
 
 
@@ -53,13 +50,5 @@ def test_days_by_instant(spark, folder):
         if s := second(e):
             day = datetime.fromtimestamp(s, UTC).date()
             days[day] = days.get(day, 0) + e[5]
-    assert {r["day"]: r["tokens"] for r in entry.queries()["q09_by_day_instants"](spark, folder).collect()} == days
+    assert {r["day"]: r["tokens"] for r in entry.queries()["q09_by_day"](spark, folder).collect()} == days
     assert {str(d) for d in days} == {"2026-05-18", "2026-05-19"}
-
-
-@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(reference.BY_INSTANT))
-def test_same_columns(spark, name):
-    by_receipt, by_instant = (entry.queries()[n](spark, DATA) for n in (name, f"{name}_instants"))
-    assert by_instant.columns == by_receipt.columns
-    by_instant.collect()
