@@ -18,7 +18,6 @@ def test_ending(text, want):
 
 
 def test_prefixes_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(tr, "LEAST_PREFIX", 1)
     monkeypatch.setattr(tr, "SORT_BYTES", 100)
     rng = random.Random(4)
     texts = ["ab", "ab", "ab"] * 20 + ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 9))) for _ in range(150)] + ["abc", "a\nb", "漢字と", "漢字"]
