@@ -15,14 +15,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, release, shuffle_partitions
+from ..session import materialize, release
+from .ordered import Sliced
 
 #: Rows of one group that stay together in one partition; larger groups are cut into slices of about so many.
 GROUP_ROWS = 200_000
+#: Oversized groups up to this number are told apart by broadcast.
+BROADCAST_GROUPS = 100_000
+#: Ids that a path holds before it goes on from an ancestor (see path_pieces).
+PATH_IDS = 64
+#: Links beyond which pointer jumping looks for pointers that many share.
+JUMP_HOT = 1_000_000
 #: Rows that are worth a partition of their own.
 LEAST_ROWS = 10_000
 ROOT, EXTERNAL, CIRCLE, MISSING = 0, 1, 2, 3
@@ -30,7 +37,7 @@ _HOT_BASE = 1 << 21
 
 #: Names of the operator's own columns; payload columns of these names are left out.
 RESERVED = {
-    "tree", "kind", "ext", "top", "enter", "size", "depth", "on_circle", "root", "state", "exit", "descendants", "end_kind", "end_tree", "offset", "start", "parent_tree", "weight", "g", "h", "g0", "_on", "_n", "_at",
+    "tree", "kind", "ext", "top", "enter", "size", "depth", "on_circle", "root", "state", "exit", "descendants", "end_kind", "end_tree", "offset", "start", "parent_tree", "weight", "g", "h", "g0", "deep", "_on", "_n", "_at",
 }
 
 Annotate = Callable[[pd.DataFrame, list[int], list[int], int], dict[str, list]]
@@ -135,7 +142,10 @@ class Forest:
         parts = max(math.ceil(2 * rows / GROUP_ROWS), min(self.spark.sparkContext.defaultParallelism, math.ceil(rows / LEAST_ROWS)), 1)
         if largest <= GROUP_ROWS:
             return self._run(nodes.repartition(parts, "_group"), 0)
-        big = counts.where(F.col("_n") > GROUP_ROWS).select("_group")
+        # Each has more than GROUP_ROWS rows, so they are few: known by heart in every task, no hot group is shuffled to one.
+        big = materialize(counts.where(F.col("_n") > GROUP_ROWS).select("_group"), "big")
+        if big.count() <= BROADCAST_GROUPS:
+            big = F.broadcast(big)
         cold = nodes.join(big, "_group", "left_anti").repartition(parts, "_group")
         hot = nodes.join(big, "_group", "left_semi").repartitionByRange(parts, "_group", "_order", "_id")
         return self._run(cold, 0).unionByName(self._run(hot, _HOT_BASE))
@@ -250,8 +260,10 @@ class Forest:
         hung = links.where(F.col("end_kind") != CIRCLE)
         earlier = (F.col("tree") >= _HOT_BASE << 32) & (F.shiftright("tree", 32) < F.shiftright("parent_tree", 32))
         attached = hung.where("parent_tree is not null").withColumn("pos", F.col("at_enter") + F.when(earlier, 1).otherwise(F.col("at_size")))
-        by_tree = Window.partitionBy("parent_tree").orderBy("pos", F.desc("at_depth"), "tree")
-        attached = attached.withColumns({"j": F.row_number().over(by_tree), "before": F.lag("pos", 1, 0).over(by_tree)})
+        # The trees attached to one tree may be a large part of all: numbered over ranges of them, not in one task.
+        s = Sliced(attached.withColumn("deep", -F.col("at_depth")), ["parent_tree"], ["pos", "deep", "tree"])
+        near = s.carry(s.rows.withColumn("_lag", F.lag("pos").over(s.within())), {"_n": (F.count(F.lit(1)), "sum"), "_pos": (F.max("pos"), "last")})
+        attached = near.withColumns({"j": (F.row_number().over(s.within()) + F.col("_n")).cast("int"), "before": F.coalesce("_lag", "_pos", F.lit(0))})
         attached = materialize(attached.select("tree", "weight", "parent_tree", "pos", "before", "j", "at_depth"), "attached")
         ends = attached.groupBy("parent_tree").agg(F.max("j").alias("m"), F.max("pos").alias("end")).withColumnRenamed("parent_tree", "tree")
         name = lambda tree, j: F.concat_ws(":", tree, j)
@@ -299,52 +311,74 @@ def jump(steps: DataFrame, carried: list[str]) -> DataFrame:
         if active.isEmpty():
             break
         ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("total").alias("_total"), *(F.col(c).alias(f"_{c}") for c in carried))
-        moved = active.join(ahead, "ptr").select("id", F.col("_ptr").alias("ptr"), (F.col("total") + F.col("_total")).alias("total"), *(F.col(f"_{c}").alias(c) for c in carried))
+        moved = _follow(active, ahead, n).select("id", F.col("_ptr").alias("ptr"), (F.col("total") + F.col("_total")).alias("total"), *(F.col(f"_{c}").alias(c) for c in carried))
         old, state = state, materialize(moved.unionByName(state.where("ptr is null")), "jump")
         release(old)
     return state
 
 
+def _follow(active: DataFrame, ahead: DataFrame, n: int) -> DataFrame:
+    """active with what is at the end of its pointers. Of many rows, pointers that more than one in 1,024 share go by broadcast."""
+    if n <= JUMP_HOT:
+        return active.join(ahead, "ptr")
+    hot = active.groupBy("ptr").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > n // 1024).select("ptr")
+    hot = materialize(ahead.join(F.broadcast(hot), "ptr", "left_semi"), "hot")
+    rest = active.join(F.broadcast(hot.select("ptr")), "ptr", "left_anti")
+    return rest.join(ahead, "ptr").unionByName(active.join(F.broadcast(hot), "ptr"))
+
+
 def first_rows(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """One row of each non-null, non-empty key: the one with the smallest order. Partial minima go before the shuffle."""
     best = rows.where(F.col(key) != "").groupBy(key).agg(F.min(F.struct(order, *columns)).alias("_first"))
     return best.select(key, "_first.*")
 
 
-def paths(nodes: DataFrame, separator: str = "/") -> DataFrame:
-    """(_id, path): the ids from the root to each node, for the nodes that have a root.
+PIECES = [T.StructField("anchor", T.StringType()), T.StructField("path", T.StringType())]
+
+
+def path_pieces(most: int = PATH_IDS) -> Annotate:
+    """An annotation (with PIECES): the path of each node as a piece of at most so many ids, and the ancestor that it goes on from.
+
+    anchor is null where the piece is the whole path from the root. A piece ends where another partition begins. A chain of n
+    nodes so has n pieces of bounded length, not n * n / 2 ids.
+    """
 
-    The tour order is cut into sorted slices; a slice keeps the current ancestors on a stack, and starts with those
-    of its first node, which an interval join over the (few) slice heads finds.
+    def annotate(pdf: pd.DataFrame, parent: list[int], order: list[int], n: int) -> dict[str, list]:
+        ids, parents = pdf["_id"].tolist(), pdf["_parent"].tolist()
+        anchor: list = [None] * n
+        path: list = [None] * n
+        held = [0] * n
+        for v in order:
+            if v >= n:
+                continue
+            p = parent[v]
+            if p < 0 or (p < n and not held[p]):  # a root, or where a circle was entered
+                path[v], held[v] = ids[v], 1
+            elif p >= n or held[p] == most:
+                anchor[v], path[v], held[v] = parents[v], ids[v], 1
+            else:
+                anchor[v], path[v], held[v] = anchor[p], f"{path[p]}/{ids[v]}", held[p] + 1
+        return {"anchor": anchor, "path": path}
+
+    return annotate
+
+
+def pieces(forest: Forest) -> DataFrame:
+    """(_id, anchor, path) of the nodes that have a root; the forest was annotated by path_pieces."""
+    ends = forest.links().select("tree", "end_kind", F.col("parent_tree").isNull().alias("_lost"))
+    told = forest.local.join(ends, "tree", "left").where(F.coalesce("end_kind", "kind") != CIRCLE)
+    # Below a missing parent the topmost node is the root: its piece has nothing to go on from.
+    lost = F.coalesce("_lost", F.lit(False)) & (F.col("anchor") == F.col("ext"))
+    return told.select("_id", F.when(~F.coalesce(lost, F.lit(False)), F.col("anchor")).alias("anchor"), "path")
+
+
+def expand_paths(nodes: DataFrame, wanted: DataFrame, separator: str = "/") -> DataFrame:
+    """(_id, path): the full paths of the wanted ids, exactly; nodes are those of Forest.nodes().
+
+    A path's ids are the nodes whose intervals hold it. What comes out is as long as the paths are deep: ask for few.
     """
-    spark = nodes.sparkSession
-    laid = nodes.where("root is not null").select("root", "enter", "exit", "_id")
-    parts = max(shuffle_partitions(spark), 1)
-    schema = T.StructType([*laid.schema.fields, T.StructField("slice", T.IntegerType())])
-
-    def mark(batches):
-        slice_no = TaskContext.get().partitionId()
-        for pdf in batches:
-            yield pdf.assign(slice=slice_no)
-
-    sliced = materialize(laid.repartitionByRange(parts, "root", "enter").sortWithinPartitions("root", "enter").mapInPandas(mark, schema), "slices")
-    heads = sliced.groupBy("slice").agg(F.min(F.struct("root", "enter")).alias("h")).select(F.col("slice").alias("head"), F.col("h.root").alias("root"), F.col("h.enter").alias("at"))
-    above = sliced.join(F.broadcast(heads), "root").where("enter < at and at < exit").select(F.col("head").alias("slice"), "root", "enter", "exit", "_id", F.lit(True).alias("carried"))
-    both = sliced.withColumn("carried", F.lit(False)).select("slice", "root", "enter", "exit", "_id", "carried").unionByName(above)
-
-    def walk(batches):
-        stack, root, at = [], None, None
-        for pdf in batches:
-            ids, out = [], []
-            for number, tree, enter, end, node, carried in zip(*(pdf[c].tolist() for c in ("slice", "root", "enter", "exit", "_id", "carried"))):
-                if tree != root or number != at:
-                    stack, root, at = [], tree, number
-                while stack and stack[-1][0] <= enter:
-                    stack.pop()
-                stack.append((end, stack[-1][1] + separator + node if stack else node))
-                if not carried:
-                    ids.append(node)
-                    out.append(stack[-1][1])
-            yield pd.DataFrame({"_id": ids, "path": out})
-
-    return both.repartition(parts, "slice").sortWithinPartitions("slice", "root", "enter").mapInPandas(walk, "_id string, path string")
+    known = nodes.where("root is not null").select("_id", "root", "depth", "enter", "exit")
+    asked = known.join(wanted.select("_id").distinct(), "_id").select(F.col("_id").alias("_of"), "root", F.col("enter").alias("_at"))
+    above = known.join(asked, "root").where("enter <= _at and _at < exit")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("depth", "_id"))), lambda x: x["_id"])
+    return above.groupBy("_of").agg(F.array_join(ids, separator).alias("path")).withColumnRenamed("_of", "_id")

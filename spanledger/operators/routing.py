@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import scaled_round
 from ..schema import is_billable, is_quota, needs_price, total_tokens
+from .ordered import numbered
 
 OBSERVED = ["retries", "escalations", "review_defects"]
 
@@ -89,8 +90,7 @@ def attribution(usage: DataFrame, session: str, skip: int) -> DataFrame:
 
     Differing statuses, or a billable one without cost, make the whole unavailable.
     """
-    mine = usage.where(F.col("session_id") == session).withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy("seq")))
-    tail = mine.where(F.col("_n") > skip)
+    tail = numbered(usage.where(F.col("session_id") == session), ["session_id"], ["seq"], "_n").where(F.col("_n") > skip)
     sums = tail.agg(
         F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("tokens"), F.sum("cost").alias("cost"), F.count_distinct("cost_status").alias("k"), F.max("cost_status").alias("s"),
         F.sum(F.when(is_billable() & F.col("cost").isNull(), 1).otherwise(0)).alias("open"),

@@ -24,13 +24,13 @@ def _sum(names: list[str]):
 # --- 1: hierarchies -----------------------------------------------------------------------------------------
 
 
-def transcript_forest(spark: SparkSession, d: str) -> forest.Forest:
+def transcript_forest(spark: SparkSession, d: str, *annotation) -> forest.Forest:
     """The uuid links of all transcript lines; of a line delivered several times the first copy counts."""
     lines = table(spark, d, "transcript_line").select("line_id", "uuid", "parent_uuid", "session_id", "agent_id")
     once = forest.first_rows(lines, "uuid", "line_id", ["parent_uuid", "session_id", "agent_id"])
     group = F.coalesce("session_id", "uuid").alias("_group")
     sizes = lines.where("uuid <> ''").groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    return forest.Forest(once.select(F.col("uuid").alias("_id"), F.col("parent_uuid").alias("_parent"), group, F.col("line_id").alias("_order"), "line_id", "agent_id"), sizes=sizes)
+    return forest.Forest(once.select(F.col("uuid").alias("_id"), F.col("parent_uuid").alias("_parent"), group, F.col("line_id").alias("_order"), "line_id", "agent_id"), *annotation, sizes=sizes)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 def p1_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every transcript line with what p1_hierarchy says of its uuid; state is `no_uuid` for lines without one."""
     lines = table(spark, d, "transcript_line").select("line_id", "uuid")
-    nodes = p1_hierarchy(spark, d).select("uuid", "state", "root", "depth", "enter", "exit", "descendants")
+    nodes = p1_hierarchy(spark, d).select("uuid", "state", "root", "depth", "descendants")
     return lines.join(nodes, "uuid", "left").withColumn("state", F.coalesce("state", F.lit("no_uuid")))
 
 
@@ -55,8 +55,11 @@ def p1_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The full path of every uuid that has a root."""
-    return forest.paths(transcript_forest(spark, d).nodes()).withColumnRenamed("_id", "uuid")
+    """The path of every uuid that has a root: path, and the ancestor it goes on from, null where it begins at the root.
+
+    forest.expand_paths() gives the full paths of chosen ones.
+    """
+    return forest.pieces(transcript_forest(spark, d, forest.path_pieces(), forest.PIECES)).withColumnRenamed("_id", "uuid")
 
 
 # --- 3: messages delivered more than once -------------------------------------------------------------------
@@ -279,6 +282,13 @@ _KIND_NAMES = lambda c: "concat_ws(',', " + ", ".join(f"CASE WHEN {c} & {1 << i}
 _ITEMS = f"""whole AS ({_WHOLE}),
 tree AS (SELECT rec_id, '' AS path, '' AS pos, j, false AS item FROM whole UNION ALL
   SELECT rec_id, CASE WHEN json_type(t.j) = 'ARRAY' THEN t.path || '[]' WHEN t.path = '' THEN e.key ELSE t.path || '.' || e.key END, CASE WHEN json_type(t.j) = 'OBJECT' THEN t.pos WHEN t.pos = '' THEN e.key ELSE t.pos || '.' || e.key END, e.value, json_type(t.j) = 'ARRAY' FROM (SELECT * FROM tree WHERE json_type(j) IN ('OBJECT', 'ARRAY')) t, json_each(t.j) e)"""
+_LEVELS = f"""{NODES_SQL},
+up AS (SELECT u, p FROM nodes WHERE p IN (SELECT u FROM nodes) UNION SELECT up.u, n.p FROM up JOIN nodes n ON n.u = up.p AND n.p IN (SELECT u FROM nodes)),
+down AS (SELECT u, u AS root, 0 AS depth, CASE WHEN p = chr(0) THEN 'tree' ELSE 'orphan' END AS state FROM nodes WHERE p NOT IN (SELECT u FROM nodes)
+  UNION ALL SELECT n.u, d.root, d.depth + 1, d.state FROM down d JOIN nodes n ON n.p = d.u),
+below AS (SELECT p AS u, count(*) AS n FROM up GROUP BY p)"""
+_LEVELS_SELECT = """SELECT n.u AS uuid, coalesce(d.state, CASE WHEN c.u IS NOT NULL THEN 'circle' ELSE 'below_circle' END) AS state, d.root, cast(d.depth AS BIGINT) AS depth, CASE WHEN d.u IS NOT NULL THEN coalesce(b.n, 0) END AS descendants
+FROM nodes n LEFT JOIN down d ON d.u = n.u LEFT JOIN (SELECT DISTINCT u FROM up WHERE u = p) c ON c.u = n.u LEFT JOIN below b ON b.u = n.u"""
 SQL: dict[str, str] = {
     "p3_found": f"WITH {_EVENTS} SELECT 'transcript_line' AS table_name, line_id AS row_id FROM lines WHERE n > 1 UNION ALL SELECT 'usage_event', id FROM events WHERE n > 1",
     "p4_rolling": f"WITH {_ROLLING} SELECT * FROM rolling",
@@ -290,13 +300,8 @@ SQL: dict[str, str] = {
     "p7_instants": f"WITH {_STAMPED} {_INSTANTS} SELECT table_name, row_id, status AS stamp_status, make_timestamp(micros) AS instant, strftime(make_timestamp(micros), '%Y-%m-%dT%H:%M:%S.%f') || rest || 'Z' AS instant_text FROM told",
     "p1_found": f"""WITH RECURSIVE {NODES_SQL}, up AS (SELECT u, p FROM nodes WHERE p IN (SELECT u FROM nodes) UNION SELECT up.u, n.p FROM up JOIN nodes n ON n.u = up.p)
 SELECT DISTINCT u AS uuid FROM up WHERE u = p""",
-    "p1_levels": f"""WITH RECURSIVE {NODES_SQL},
-up AS (SELECT u, p FROM nodes WHERE p IN (SELECT u FROM nodes) UNION SELECT up.u, n.p FROM up JOIN nodes n ON n.u = up.p AND n.p IN (SELECT u FROM nodes)),
-down AS (SELECT u, u AS root, 0 AS depth, CASE WHEN p = chr(0) THEN 'tree' ELSE 'orphan' END AS state FROM nodes WHERE p NOT IN (SELECT u FROM nodes)
-  UNION ALL SELECT n.u, d.root, d.depth + 1, d.state FROM down d JOIN nodes n ON n.p = d.u),
-below AS (SELECT p AS u, count(*) AS n FROM up GROUP BY p)
-SELECT n.u AS uuid, coalesce(d.state, CASE WHEN c.u IS NOT NULL THEN 'circle' ELSE 'below_circle' END) AS state, d.root, cast(d.depth AS BIGINT) AS depth, CASE WHEN d.u IS NOT NULL THEN coalesce(b.n, 0) END AS descendants
-FROM nodes n LEFT JOIN down d ON d.u = n.u LEFT JOIN (SELECT DISTINCT u FROM up WHERE u = p) c ON c.u = n.u LEFT JOIN below b ON b.u = n.u""",
+    "p1_levels": f"WITH RECURSIVE {_LEVELS} {_LEVELS_SELECT}",
+    "p1_lines": f"""WITH RECURSIVE {_LEVELS}, levels AS ({_LEVELS_SELECT}) SELECT t.line_id, t.uuid, coalesce(l.state, 'no_uuid') AS state, l.root, l.depth, l.descendants FROM transcript_line t LEFT JOIN levels l ON l.uuid = t.uuid""",
     "p3_unique_messages": """SELECT line_id, batch_no, uuid, request_id, message.id AS message_id, session_id FROM (
   SELECT *, CASE WHEN k IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY k ORDER BY t DESC, line_id) END AS n FROM (
     SELECT *, CASE WHEN request_id <> '' THEN '0:' || request_id WHEN message.id <> '' THEN '1:' || message.id WHEN uuid <> '' THEN '2:' || uuid END AS k,

@@ -74,8 +74,26 @@ def test_against_walk(spark, monkeypatch, seed, n, groups, limit):
         for a in rows_of:
             below = {b["_id"] for b in rows_of if a["enter"] < b["enter"] < a["exit"]}
             assert below == inside.get(a["_id"], set()) and a["descendants"] == len(below)
-    paths = {r["_id"]: r["path"] for r in forest.paths(nodes).collect()}
-    assert paths == {v: "/".join([*reversed(w[3]), v]) for v, w in want.items() if w[1] is not None}
+    paths = {v: "/".join([*reversed(w[3]), v]) for v, w in want.items() if w[1] is not None}
+    assert {r["_id"]: r["path"] for r in forest.expand_paths(nodes, nodes.select("_id")).collect()} == paths
+    split = {r["_id"]: (r["anchor"], r["path"]) for r in forest.pieces(forest.Forest(spark.createDataFrame(rows, SCHEMA), forest.path_pieces(3), forest.PIECES)).collect()}
+    assert split.keys() == paths.keys() and all(p.count("/") < 3 for _, p in split.values())
+    assert all(paths[v] == (f"{paths[a]}/{p}" if a else p) for v, (a, p) in split.items())
+
+
+def test_paths_of_a_chain(spark):
+    rows = [(f"n{i:05}", f"n{i - 1:05}" if i else None, "g", i, None) for i in range(20000)]
+    made = forest.Forest(spark.createDataFrame(rows, SCHEMA), forest.path_pieces(), forest.PIECES)
+    assert forest.pieces(made).agg(F.max(F.length("path"))).first()[0] < 65 * 7
+    got = forest.expand_paths(made.nodes(), spark.createDataFrame([("n19999",), ("n00000",)], "_id string")).collect()
+    assert {r["_id"]: r["path"].count("/") for r in got} == {"n19999": 19999, "n00000": 0}
+
+
+def test_many_pointers_to_one(spark, monkeypatch):
+    monkeypatch.setattr(forest, "JUMP_HOT", 10)
+    steps = [(i, 5000 if i < 4000 else i + 1 if i < 5010 else None, 1) for i in range(5011)]
+    got = forest.jump(spark.createDataFrame(steps, "id long, ptr long, total long").withColumn("last", F.col("id")), ["last"]).collect()
+    assert all(r["ptr"] is None and r["last"] == 5010 and r["total"] == (12 if r["id"] < 4000 else 5011 - r["id"]) for r in got)
 
 
 def test_small_circle_across_partitions(spark, monkeypatch):
