@@ -117,8 +117,29 @@ class _Mark(str):
 _OPEN, _CLOSE, _BEGIN, _END, _COMMA = (_Mark(x) for x in "{}[],")
 
 
+def _shallow(v, sort: bool) -> str:
+    t = type(v)
+    if t is str:
+        return encode_basestring_ascii(v)
+    if t is Num:
+        return v
+    if t is dict:
+        items = sorted(v.items()) if sort else v.items()
+        return "{" + ",".join([encode_basestring_ascii(k) + ":" + _shallow(x, sort) for k, x in items]) + "}"
+    if t is list:
+        return "[" + ",".join([_shallow(x, sort) for x in v]) + "]"
+    return "null" if v is None else "true" if v is True else "false" if v is False else json.dumps(v)
+
+
 def dumps(value, sort: bool = False) -> str:
     """JSON text in ASCII without blanks, of any depth, numbers as they were written; keys in order if sort."""
+    try:
+        return _shallow(value, sort)
+    except RecursionError:
+        return _any_depth(value, sort)
+
+
+def _any_depth(value, sort: bool) -> str:
     out, todo = [], [value]
     while todo:
         v = todo.pop()

@@ -8,6 +8,7 @@ are told: the one table and the report come from the same rows.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -109,6 +110,13 @@ def ingest_body(body: dict, targets: list[Target]) -> tuple[list, str | None, di
     return values, clean(dumps(rescued)) if rescued else None, layout
 
 
+def layout_text(layout: dict[str, int]) -> str:
+    """One spelling of a layout: equal layouts are equal texts."""
+    text = json.dumps(layout, sort_keys=True, separators=(",", ":"))
+    # An escape of a lone surrogate can't be read back as UTF-8.
+    return text if "\\ud" not in text else json.dumps({clean(p): layout[p] for p in sorted(layout)}, sort_keys=True, separators=(",", ":"))
+
+
 def ingest(records: DataFrame, keys: list[str], body: str, targets: list[Target]) -> DataFrame:
     """keys, _whole, a column for each target, _rescued and _layout.
 
@@ -130,7 +138,7 @@ def ingest(records: DataFrame, keys: list[str], body: str, targets: list[Target]
                     rows.append([False, *[None] * len(targets), dumps(clean(text)) if isinstance(text, str) else None, None])
                 else:
                     values, rescued, layout = ingest_body(value, targets)
-                    rows.append([True, *values, rescued, dumps({clean(p): layout[p] for p in sorted(layout)})])
+                    rows.append([True, *values, rescued, layout_text(layout)])
             out = pd.DataFrame(rows, columns=["_whole", *(t.name for t in targets), "_rescued", "_layout"], dtype=object)
             yield pd.concat([pdf[keys].reset_index(drop=True), out], axis=1)
 

@@ -234,7 +234,8 @@ def test_deep_and_odd_bodies():
     assert jsonwalk.whole_object('{"a":' * 200000) is None
     deep = '{"a":' * 50000 + '{"b":[{"c":' + "9" * 5000 + '},1e400,1e500,2.50]}' + "}" * 50000
     value = jsonwalk.whole_object(deep)
-    assert jsonwalk.dumps(value) == deep
+    assert jsonwalk.dumps(value) == deep == jsonwalk._any_depth(value, False)
+    assert json.loads(drift.layout_text({"b\ud800": 1, "a": 2})) == {"a": 2, jsonwalk.clean("b\ud800"): 1}
     rows = list(nested.occurrences_of(value))
     assert len(rows) == 50002 and rows[-1][5] == "a." * 50000 + "b" and rows[-1][6] == "0"
     assert jsonwalk.dumps(nested.rebuild({r[2].hex(): r[9] for r in rows}, rows[0][2].hex())) == deep
@@ -256,6 +257,7 @@ def test_deep_reader_reads_what_the_shallow_one_reads(seed):
             except ValueError:
                 got = None
             assert want is None or got == want
+            assert want is None or jsonwalk._any_depth(want, True) == jsonwalk.canonical(want)
             assert got is None or not isinstance(got, dict) or got == want
 
 
