@@ -63,7 +63,7 @@ def project_path(path: Column) -> Column:
 
 def strip_date(model: Column) -> Column:
     """A model id without a trailing -YYYYMMDD or -YYYY-MM-DD."""
-    return F.regexp_replace(model, r"-(?:\d{8}|\d{4}-\d{2}-\d{2})$", "")
+    return F.regexp_replace(model, r"-(?:[0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$", "")
 
 
 def dotted_version(model: Column) -> Column:
@@ -72,12 +72,21 @@ def dotted_version(model: Column) -> Column:
 
 
 def model_candidates(model: Column) -> Column:
-    """The ids under which a model may be listed, best first: itself, without path, suffixes, dashes in versions, date."""
+    """The ids under which a model may be listed, best first.
+
+    First the id with its namespace, then its last segment; of each the forms as written, without a cloud suffix, and up to an @; of
+    each form itself, dotted, undated, and both.
+    """
     m = F.lower(F.trim(model))
-    last = F.element_at(F.split(m, "/"), -1)
-    bare = F.regexp_replace(last, r"(:cloud|-cloud|@.*)$", "")
-    undated = strip_date(bare)
-    return F.array_distinct(F.array(m, last, bare, dotted_version(bare), undated, dotted_version(undated)))
+    tail = F.when(m.contains("/"), F.regexp_extract(m, r"([^/]*)$", 1))
+    out = []
+    for seed in (m, tail):
+        suffixes = [F.when(seed.endswith(x), F.substring(seed, F.lit(1), F.length(seed) - len(x))) for x in (":cloud", "-cloud")]
+        for form in (seed, *suffixes, F.when(seed.contains("@"), F.substring_index(seed, "@", 1))):
+            undated = F.when(strip_date(form) != form, strip_date(form))
+            out += [form, dotted_version(form), undated, dotted_version(undated)]
+    found = F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull() & (x != "")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(m))
 
 
 def scaled_round(value: Column, digits: int) -> Column:
@@ -114,10 +123,13 @@ def share_label(part: Column, whole: Column) -> Column:
     return F.when(pct.isNull() | (pct == 0), F.lit(None).cast("string")).when(pct < 1, "<1%").otherwise(F.concat(F.round(pct).cast("long").cast("string"), F.lit("%")))
 
 
-def window_label(minutes: Column) -> Column:
-    """The name of a rate-limit window of so many minutes."""
-    per = lambda n: (minutes / n).cast("long").cast("string")
-    return F.when(minutes == 300, "5-hour").when(minutes == 10080, "7-day").when(minutes % 1440 == 0, F.concat(per(1440), F.lit("-day"))).when(minutes % 60 == 0, F.concat(per(60), F.lit("-hour"))).otherwise(F.concat(minutes.cast("string"), F.lit("-minute")))
+def window_label(minutes: Column, secondary: Column | None = None) -> Column:
+    """The name of a rate-limit window by its length; one without length goes by its place."""
+    per = lambda n: F.floor(minutes / n).cast("long").cast("string")
+    named = F.when(minutes == 300, "Session (5-hour)").when(minutes == 10080, "Weekly (7-day)").when(minutes % 1440 == 0, F.concat(per(1440), F.lit("-day window"))).when(minutes % 60 == 0, F.concat(per(60), F.lit("-hour window")))
+    named = named.otherwise(F.concat(minutes.cast("string"), F.lit("-minute window")))
+    place = F.when(F.coalesce(secondary, F.lit(False)) if secondary is not None else F.lit(False), "Secondary window").otherwise("Primary window")
+    return F.when(minutes > 0, named).otherwise(place)
 
 
 def plan_label(tier: Column) -> Column:
@@ -131,15 +143,17 @@ def plan_label(tier: Column) -> Column:
 
 
 def session_of_file(name: Column) -> Column:
-    """The session id at the end of a rollout file's name: five dash-joined parts, 36 characters."""
-    found = F.regexp_extract(name, r"([0-9A-Za-z]{8}-[0-9A-Za-z]{4}-[0-9A-Za-z]{4}-[0-9A-Za-z]{4}-[0-9A-Za-z]{12})(?:\.jsonl(?:\.zst)?)?$", 1)
-    return F.when(found != "", found)
+    """The session id at the end of a rollout file's name: its last five dash-joined parts, up to an underscore, of 36 characters."""
+    stem = F.regexp_replace(F.regexp_extract(name, r"([^/]*)$", 1), r"\.jsonl(?:\.zst)?$", "")
+    found = F.regexp_extract(F.regexp_extract(stem, r"(?:^|-)([^-]*(?:-[^-]*){4})$", 1), r"^[^_]*", 0)
+    return F.when(F.length(found) == 36, found)
 
 
 def url_host(url: Column) -> Column:
-    """The host of a URL, without user, port and path; brackets of an IPv6 address stay."""
-    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/]*\]|[^/:?#]*)", 1)
-    return F.when(found != "", found)
+    """The host that a URL names, without scheme, user, port, path and the brackets of an IPv6 address."""
+    rest = F.when(F.locate("://", url) > 0, F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise(url)
+    host = F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*", 0), r"^.*@", "")
+    return F.when(host.startswith("["), F.regexp_extract(host, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(host, r"^[^:]*", 0))
 
 
 def strip_html(html: Column) -> Column:
@@ -167,12 +181,21 @@ def csv_guard(field: Column) -> Column:
     return F.when(field.rlike(r"^[=+\-@\t\r]") & field.try_cast("double").isNull(), F.concat(F.lit("'"), field)).otherwise(field)
 
 
+def four_digits(value: Column) -> Column:
+    """A number from 0 with four decimals, rounded by its exact binary value, ties to even (format_string rounds its shortest decimal)."""
+    product = value * 10000.0
+    high = value * 134217729.0 - (value * 134217729.0 - value)  # the upper half of the digits: both halves times 10000 are exact
+    error = (high * 10000.0 - product) + (value - high) * 10000.0
+    whole = F.floor(product)
+    part = (product - whole) + error
+    n = (whole + F.when((part > 0.5) | ((part == 0.5) & (whole % 2 == 1)), 1).when((part < -0.5) | ((part == -0.5) & (whole % 2 == 1)), -1).otherwise(0)).cast("long")
+    return F.concat(F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0"))
+
+
 def cost_display(status: Column, cost: Column) -> Column:
-    """How a row's cost is shown; an unknown one is never a figure."""
-    return (
-        F.when(status == "local", "LOCAL").when(status == "free", "FREE").when(status == "quota", "ON QUOTA")
-        .when(cost.isNull() | (status == "unavailable"), "UNKNOWN COST").otherwise(F.concat(F.lit("$"), F.format_string("%.4f", cost), F.lit(" "), status))
-    )
+    """How a row's cost is shown; an unknown one is never a figure, and a status without its figure says so."""
+    figure = F.when(cost.isNotNull(), F.concat(F.lit("$"), four_digits(cost), F.lit(" "), status)).otherwise(F.concat(F.upper(status), F.lit(" / NO COST")))
+    return F.when(status == "local", "LOCAL").when(status == "free", "FREE").when(status == "quota", "ON QUOTA").when(status == "unavailable", "UNKNOWN COST").otherwise(figure)
 
 
 def cost_sort_key(status: Column, cost: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import csv_guard
@@ -14,14 +14,22 @@ from . import routing as R
 from . import usage as U
 
 # The columns of the CSV, in their order; new ones go to the end.
-CSV_COLUMNS = ["created", "provider", "model", "category", "requests", *(f"{c}_tokens" for c in TOKEN_BUCKETS), "cost", "cost_status", "session_id", "project", "api_equivalent_cost"]
+CSV_COLUMNS = [
+    "provider", "model", "category", "cost_status", "requests", "input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens", "cost", "created", "project", "session_id", "api_equivalent_cost",
+]
 
 
 def csv_rows(usage: DataFrame) -> DataFrame:
-    """The rows of the CSV as text columns: nulls empty, text guarded against being run by a spreadsheet."""
+    """The rows of the CSV as text columns: nulls empty, costs in plain decimals, text guarded against being run by a spreadsheet."""
     named = usage.withColumnsRenamed({c: f"{c}_tokens" for c in TOKEN_BUCKETS})
     text = {f.name for f in named.schema if f.dataType.simpleString() == "string"}
-    return named.select(*(F.coalesce(csv_guard(F.col(c)) if c in text else F.col(c).cast("string"), F.lit("")).alias(c) for c in CSV_COLUMNS))
+    money = {f.name for f in named.schema if f.dataType.simpleString() == "double"}
+    return named.select(*(F.coalesce(csv_guard(F.col(c)) if c in text else plain_decimal(F.col(c)) if c in money else F.col(c).cast("string"), F.lit("")).alias(c) for c in CSV_COLUMNS))
+
+
+def plain_decimal(value: Column) -> Column:
+    """A number without exponent, to 18 decimals, without zeros at its end."""
+    return F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
 
 
 def write_csv(usage: DataFrame, path: str) -> None:

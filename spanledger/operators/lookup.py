@@ -61,7 +61,7 @@ def component(bucket: str, rate: Column) -> Column:
 def estimate(usage: DataFrame, rates: DataFrame, tiers: DataFrame, periods: DataFrame) -> DataFrame:
     """usage with key, est_cost and est_status (free, estimated, null).
 
-    A period in force takes precedence over tiers; reasoning without own rate costs as output; incomplete rows and rows
+    A period in force takes precedence over tiers; a tier stands for itself, so a bucket it has no rate for is unknown; reasoning without own rate costs as output; incomplete rows and rows
     with a bucket that has tokens and no rate stay without cost.
     """
     pairs = resolve(usage, rates).withColumnsRenamed({"provider": "_p", "model": "_m"})
@@ -71,7 +71,7 @@ def estimate(usage: DataFrame, rates: DataFrame, tiers: DataFrame, periods: Data
     based = keyed.join(ask, F.col("key") == F.col("_k"), "left").drop("_k")
     tiered = tier_of(based, tiers.select("key", "threshold", *(F.col(f"r_{c}").alias(f"t_{c}") for c in RATES)), "context")
     priced = period_rates(tiered, periods.select("key", "through", *(F.col(f"r_{c}").alias(f"p_{c}") for c in RATES)))
-    rate = lambda c: F.when(F.col("through").isNotNull(), F.col(f"p_{c}")).when(F.col("threshold").isNotNull(), F.coalesce(f"t_{c}", f"b_{c}")).otherwise(F.col(f"b_{c}"))
+    rate = lambda c: F.when(F.col("through").isNotNull(), F.col(f"p_{c}")).when(F.col("threshold").isNotNull(), F.col(f"t_{c}")).otherwise(F.col(f"b_{c}"))
     cost = component("input", rate("input")) + component("output", rate("output")) + component("reasoning", F.coalesce(rate("reasoning"), rate("output"))) + component("cache_read", rate("cache_read")) + component("cache_write", rate("cache_write"))
     est = F.when(F.col("free"), F.lit(0.0)).when(~F.col("incomplete"), cost)
     out = priced.withColumn("est_cost", est)

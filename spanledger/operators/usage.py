@@ -255,9 +255,14 @@ def project_labels(paths: DataFrame, path: str) -> DataFrame:
 
 
 def apportion(parts: DataFrame, group: str, item: str, weight: str, total: int) -> DataFrame:
-    """Whole shares of total by the largest remainders; ties go by item. Shares of a group add up to total if any weight isn't 0."""
+    """Whole shares of total: one for each weight above zero, the rest by the largest remainders; ties go by item.
+
+    A group's shares add up to total. A group without weight, or with more weights above zero than shares, has no rows. parts are
+    aggregated: an item is one row of its group, of which there are no more than total.
+    """
     sums = Window.partitionBy(group)
-    w = parts.withColumn("_sum", F.sum(weight).over(sums))
-    w = w.where("_sum > 0").withColumns({"_base": F.expr(f"({weight} * {total}L) div _sum"), "_rest": F.expr(f"({weight} * {total}L) % _sum")})
+    w = parts.withColumns({"_sum": F.sum(weight).over(sums), "_present": F.sum((F.col(weight) > 0).cast("long")).over(sums)}).where(F.col("_sum") > 0).where(F.col("_present") <= total)
+    scaled = f"({weight} * ({total}L - _present))"
+    w = w.withColumns({"_base": F.expr(f"CASE WHEN {weight} > 0 THEN 1 + {scaled} div _sum ELSE 0 END"), "_rest": F.expr(f"CASE WHEN {weight} > 0 THEN {scaled} % _sum ELSE -1 END")})
     w = w.withColumns({"_left": F.lit(total) - F.sum("_base").over(sums), "_place": F.row_number().over(sums.orderBy(F.desc("_rest"), item))})
     return w.select(group, item, weight, (F.col("_base") + (F.col("_place") <= F.col("_left")).cast("long")).alias("share"))

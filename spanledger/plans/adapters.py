@@ -114,7 +114,7 @@ RATES = [
     ("marrow-1", False, False, 5.0, 20.0, None, None, 6.0), ("tessel-1-mini", False, False, 0.25, 1.25, None, 0.025, 0.3), ("cobble-1", False, False, 2.0, 8.0, None, 0.5, None), ("lumen-1", True, False, 0.5, 2.5, None, 0.05, 0.6),
     ("gemini/lumen-2", False, False, 0.7, 2.8, None, 0.07, 0.7), ("quillon-1:7b", False, False, 4.0, 16.0, None, 0.4, 5.0),
 ]
-TIERS = [("sable-1:70b", 2000, 6.0, 22.5), ("sable-1:70b", 10000, 9.0, 30.0), ("lumen-1", 5000, 1.0, 5.0)]
+TIERS = [("sable-1:70b", 2000, 6.0, 22.5, 0.6, 7.5), ("sable-1:70b", 10000, 9.0, 30.0, None, None), ("lumen-1", 5000, 1.0, 5.0, 0.1, 1.2)]
 PERIODS = [("glint-1-pro", "2025-12-31", 2.0, 10.0), ("glint-1-pro", "2026-03-31", 1.5, 7.5), ("cobble-1", "2026-01-31", 4.0, 16.0)]
 BUDGETS = [
     ("all-month", "global", None, NOW - 30 * 86400, 50.0, 75.0, 90.0), ("all-day", "global", None, DAY_START, 1.0, 75.0, 90.0), ("anthropic", "provider", "Anthropic", NOW - 30 * 86400, 12.0, 50.0, 80.0),
@@ -127,7 +127,7 @@ def rates(spark: SparkSession) -> DataFrame:
 
 
 def tiers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*t, None, None, None) for t in TIERS], "key string, threshold long, r_input double, r_output double, r_reasoning double, r_cache_read double, r_cache_write double")
+    return spark.createDataFrame([(*t[:4], None, *t[4:]) for t in TIERS], "key string, threshold long, r_input double, r_output double, r_reasoning double, r_cache_read double, r_cache_write double")
 
 
 def periods(spark: SparkSession) -> DataFrame:
@@ -149,6 +149,6 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
 
 
 RATES_SQL = values("rates", "key, curated, free, r_input, r_output, r_reasoning, r_cache_read, r_cache_write", RATES)
-TIERS_SQL = values("tiers", "key, threshold, t_input, t_output", TIERS)
+TIERS_SQL = values("tiers", "key, threshold, t_input, t_output, t_cache_read, t_cache_write", TIERS)
 PERIODS_SQL = values("periods", "key, through, p_input, p_output", PERIODS)
 BUDGETS_SQL = values("budgets", 'name, scope, scope_name, since, "limit", warn_pct, critical_pct', BUDGETS)

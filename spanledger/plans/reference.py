@@ -198,13 +198,16 @@ def q20(spark: SparkSession, d: str) -> DataFrame:
     return routing.withheld_by_reason(A.tally(spark, d), 800_000_000)
 
 
-# The rate of a model for ranking: the candidates are cut down to the model itself and its id without a date here.
-RESOLVE_SQL = r"""pairs AS (SELECT DISTINCT provider, model FROM usage), cands AS (
-  SELECT provider, model, lower(trim(provider)) AS p, list_extract([m, l, b, v, u, w], cast(i AS INTEGER)) AS cand, i AS rank FROM (
-    SELECT *, regexp_replace(b, '-([0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$', '') AS u, b AS v, regexp_replace(b, '-([0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$', '') AS w FROM (
-      SELECT *, regexp_replace(l, '(:cloud|-cloud|@.*)$', '') AS b FROM (SELECT provider, model, lower(trim(model)) AS m, regexp_extract(lower(trim(model)), '([^/]*)$', 1) AS l FROM pairs))), generate_series(1, 6) g(i)),
-keys AS (SELECT provider, model, p || '/' || cand AS key, 0 AS spec, rank FROM cands WHERE p <> '' AND cand NOT LIKE '%/%' UNION ALL SELECT provider, model, cand, 1, rank FROM cands),
-resolved AS (SELECT p.provider, p.model, f.key FROM pairs p LEFT JOIN (SELECT provider, model, arg_min(r.key, CASE WHEN curated THEN 0 ELSE 1 END * 1000 + spec * 100 + rank) AS key FROM keys k JOIN rates r ON r.key = k.key GROUP BY provider, model) f ON f.provider = p.provider AND f.model = p.model)"""
+# The candidates of a model id, written out: seeds (whole, last segment), forms (as it is, two suffixes, up to @), then dotted, undated, both.
+_DOTTED = lambda x: f"list_reduce(list_prepend('', string_split({x}, '-')), lambda a, b: CASE WHEN a = '' THEN b WHEN regexp_matches(a, '(^|[-.])[0-9]+$') AND regexp_full_match(b, '[0-9]+') THEN a || '.' || b ELSE a || '-' || b END)"
+_UNDATED = lambda x: f"nullif(regexp_replace({x}, '-([0-9]{{8}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})$', ''), {x})"
+CANDIDATES_SQL = f"""seeds AS (SELECT model, s.n AS seed, s.v FROM (SELECT DISTINCT model, lower(trim(model)) AS m FROM pairs), LATERAL (SELECT 0 AS n, m AS v UNION ALL SELECT 1, CASE WHEN contains(m, '/') THEN regexp_extract(m, '([^/]*)$', 1) END) s WHERE s.v IS NOT NULL),
+forms AS (SELECT model, seed, f.n AS form, f.v FROM seeds, LATERAL (SELECT 0 AS n, seeds.v UNION ALL SELECT 1, CASE WHEN seeds.v LIKE '%:cloud' THEN seeds.v[:-7] END UNION ALL SELECT 2, CASE WHEN seeds.v LIKE '%-cloud' THEN seeds.v[:-7] END UNION ALL SELECT 3, CASE WHEN contains(seeds.v, '@') THEN split_part(seeds.v, '@', 1) END) f WHERE f.v IS NOT NULL),
+spelled AS (SELECT model, seed * 100 + form * 10 + x.n AS place, x.v FROM (SELECT *, {_UNDATED("v")} AS u FROM forms) f, LATERAL (SELECT 0 AS n, f.v AS v UNION ALL SELECT 1, {_DOTTED("f.v")} UNION ALL SELECT 2, f.u UNION ALL SELECT 3, {_DOTTED("f.u")}) x WHERE x.v <> ''),
+cands AS (SELECT model, v AS cand, row_number() OVER (PARTITION BY model ORDER BY min(place)) - 1 AS rank FROM spelled GROUP BY model, v)"""
+RESOLVE_SQL = f"""pairs AS (SELECT DISTINCT provider, model FROM usage), {CANDIDATES_SQL},
+keys AS (SELECT p.provider, p.model, lower(trim(p.provider)) || '/' || cand AS key, 0 AS spec, rank FROM pairs p JOIN cands c ON c.model = p.model WHERE trim(p.provider) <> '' AND cand NOT LIKE '%/%' UNION ALL SELECT p.provider, p.model, cand, 1, rank FROM pairs p JOIN cands c ON c.model = p.model),
+resolved AS (SELECT p.provider, p.model, f.key FROM pairs p LEFT JOIN (SELECT provider, model, arg_min(r.key, CASE WHEN curated THEN 0 ELSE 1 END * 10000 + spec * 1000 + rank) AS key FROM keys k JOIN rates r ON r.key = k.key GROUP BY provider, model) f ON f.provider = p.provider AND f.model = p.model)"""
 RATE_SQL = RESOLVE_SQL.replace("SELECT DISTINCT provider, model FROM usage", "SELECT DISTINCT '' AS provider, model FROM usage") + ", rate AS (SELECT s.model, CASE WHEN NOT r.free THEN r.r_input END AS rate FROM resolved s LEFT JOIN rates r ON r.key = s.key)"
 TURNS_SQL = "turns AS (SELECT * REPLACE (project || '/' || cast(created // 86400 AS VARCHAR) AS session_id) FROM usage)"
 ESC_SQL = TURNS_SQL + """, esc AS (
@@ -256,8 +259,8 @@ def q24(spark: SparkSession, d: str) -> DataFrame:
 PRICED_SQL = f"""priced AS (SELECT u.*, s.key, r.free, CASE WHEN u.incomplete THEN NULL ELSE c_in + c_out + c_re + c_cr + c_cw END AS est FROM (
   SELECT seq, CASE WHEN input = 0 THEN 0.0 ELSE input / 1e6 * ri END AS c_in, CASE WHEN output = 0 THEN 0.0 ELSE output / 1e6 * ro END AS c_out, CASE WHEN reasoning = 0 THEN 0.0 ELSE reasoning / 1e6 * coalesce(rr, ro) END AS c_re,
     CASE WHEN cache_read = 0 THEN 0.0 ELSE cache_read / 1e6 * rc END AS c_cr, CASE WHEN cache_write = 0 THEN 0.0 ELSE cache_write / 1e6 * rw END AS c_cw
-  FROM (SELECT u.*, CASE WHEN p.through IS NOT NULL THEN p_input WHEN t.threshold IS NOT NULL THEN coalesce(t_input, r_input) ELSE r_input END AS ri, CASE WHEN p.through IS NOT NULL THEN p_output WHEN t.threshold IS NOT NULL THEN coalesce(t_output, r_output) ELSE r_output END AS ro,
-      CASE WHEN p.through IS NOT NULL THEN NULL ELSE r_reasoning END AS rr, CASE WHEN p.through IS NOT NULL THEN NULL ELSE r_cache_read END AS rc, CASE WHEN p.through IS NOT NULL THEN NULL ELSE r_cache_write END AS rw
+  FROM (SELECT u.*, CASE WHEN p.through IS NOT NULL THEN p_input WHEN t.threshold IS NOT NULL THEN t_input ELSE r_input END AS ri, CASE WHEN p.through IS NOT NULL THEN p_output WHEN t.threshold IS NOT NULL THEN t_output ELSE r_output END AS ro,
+      CASE WHEN p.through IS NOT NULL OR t.threshold IS NOT NULL THEN NULL ELSE r_reasoning END AS rr, CASE WHEN p.through IS NOT NULL THEN NULL WHEN t.threshold IS NOT NULL THEN t_cache_read ELSE r_cache_read END AS rc, CASE WHEN p.through IS NOT NULL THEN NULL WHEN t.threshold IS NOT NULL THEN t_cache_write ELSE r_cache_write END AS rw
     FROM usage u LEFT JOIN resolved s ON s.provider = u.provider AND s.model = u.model LEFT JOIN rates r ON r.key = s.key LEFT JOIN LATERAL (SELECT * FROM tiers t WHERE t.key = s.key AND u.input + u.cache_read > t.threshold ORDER BY threshold DESC LIMIT 1) t ON true
     LEFT JOIN LATERAL (SELECT * FROM periods p WHERE p.key = s.key AND u.created > 0 AND strftime(to_timestamp(u.created) AT TIME ZONE 'UTC', '%Y-%m-%d') <= p.through ORDER BY through LIMIT 1) p ON true)) c
   JOIN usage u ON u.seq = c.seq LEFT JOIN resolved s ON s.provider = u.provider AND s.model = u.model LEFT JOIN rates r ON r.key = s.key),
@@ -302,7 +305,8 @@ def q30(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
 
 
 @query("q31_apportion", """SELECT project, category, tokens, base + CASE WHEN row_number() OVER (PARTITION BY project ORDER BY rest DESC, category) <= 1000 - sum(base) OVER (PARTITION BY project) THEN 1 ELSE 0 END AS share
-FROM (SELECT *, cast(tokens * 1000 // total AS BIGINT) AS base, tokens * 1000 % total AS rest FROM (SELECT *, cast(sum(tokens) OVER (PARTITION BY project) AS BIGINT) AS total FROM (SELECT coalesce(project, '(unattributed)') AS project, category, cast(sum(tokens) AS BIGINT) AS tokens FROM usage GROUP BY 1, 2)) WHERE total > 0)""", A.USAGE_SQL)
+FROM (SELECT *, CASE WHEN tokens > 0 THEN 1 + tokens * (1000 - present) // total ELSE 0 END AS base, CASE WHEN tokens > 0 THEN tokens * (1000 - present) % total ELSE -1 END AS rest FROM (SELECT *, cast(sum(tokens) OVER (PARTITION BY project) AS BIGINT) AS total, count(*) FILTER (tokens > 0) OVER (PARTITION BY project) AS present
+  FROM (SELECT coalesce(project, '(unattributed)') AS project, category, cast(sum(tokens) AS BIGINT) AS tokens FROM usage GROUP BY 1, 2)) WHERE total > 0 AND present <= 1000)""", A.USAGE_SQL)
 def q31(spark: SparkSession, d: str) -> DataFrame:
     per = A.usage(spark, d).withColumn("project", F.coalesce("project", F.lit(usage.UNATTRIBUTED))).groupBy("project", "category").agg(F.sum(total_tokens()).alias("tokens"))
     return usage.apportion(per, "project", "category", "tokens", 1000)
@@ -394,7 +398,6 @@ def q43(spark: SparkSession, d: str) -> DataFrame:
     return supersede.positions(A.usage(spark, d), "session_id")
 
 
-@query("q44_cost_display", "SELECT seq, CASE cost_status WHEN 'free' THEN 0.0 WHEN 'local' THEN 0.0 WHEN 'quota' THEN NULL WHEN 'unavailable' THEN NULL ELSE cost END AS sort_key, CASE WHEN cost_status = 'local' THEN 'LOCAL' WHEN cost_status = 'free' THEN 'FREE' WHEN cost_status = 'quota' THEN 'ON QUOTA' WHEN cost IS NULL OR cost_status = 'unavailable' THEN 'UNKNOWN COST' ELSE 'priced' END AS shown FROM usage", A.USAGE_SQL)
+@query("q44_cost_display", "SELECT seq, CASE cost_status WHEN 'free' THEN 0.0 WHEN 'local' THEN 0.0 WHEN 'quota' THEN NULL WHEN 'unavailable' THEN NULL ELSE cost END AS sort_key, CASE WHEN cost_status = 'local' THEN 'LOCAL' WHEN cost_status = 'free' THEN 'FREE' WHEN cost_status = 'quota' THEN 'ON QUOTA' WHEN cost_status = 'unavailable' THEN 'UNKNOWN COST' WHEN cost IS NULL THEN upper(cost_status) || ' / NO COST' ELSE '$' || printf('%.4f', cost) || ' ' || cost_status END AS shown FROM usage", A.USAGE_SQL)
 def q44(spark: SparkSession, d: str) -> DataFrame:
-    shown = X.cost_display(F.col("cost_status"), F.col("cost"))
-    return A.usage(spark, d).select("seq", X.cost_sort_key(F.col("cost_status"), F.col("cost")).alias("sort_key"), F.when(shown.startswith("$"), "priced").otherwise(shown).alias("shown"))
+    return A.usage(spark, d).select("seq", X.cost_sort_key(F.col("cost_status"), F.col("cost")).alias("sort_key"), X.cost_display(F.col("cost_status"), F.col("cost")).alias("shown"))

@@ -91,8 +91,8 @@ def test_scalars(spark):
         "count": [(X.count_or_null(F.lit(v)), w) for v, w in ((1200.0, 1200), (1.5, None), (-1.0, None), (1e308, None))],
         "epoch": [(X.epoch_seconds(F.lit(v)), w) for v, w in ((1_700_000_000, 1_700_000_000), (1_700_000_000_999, 1_700_000_000), (1_700_000_000_999_999, 1_700_000_000))],
         "path": [(X.project_path(F.lit("/a/b//")), "/a/b"), (X.project_path(F.lit("///")), "///"), (X.project_path(F.lit(" ")), None)],
-        "labels": [(X.window_label(F.lit(m)), w) for m, w in ((300, "5-hour"), (10080, "7-day"), (1440, "1-day"), (90, "90-minute"))] + [(X.plan_label(F.lit("default_claude_max_20x")), "Max 20x"), (X.plan_label(F.lit("pro")), "Pro"), (X.plan_label(F.lit("none")), None)],
-        "text": [(X.url_host(F.lit("https://u:p@h.org:80/x")), "h.org"), (X.url_host(F.lit("http://[::1]:9/x")), "[::1]"), (X.url_host(F.lit("nope")), None), (X.strip_html(F.lit("<p>a&amp;b <b>c</b></p><script>x</script>")), "a&b c"), (X.csv_guard(F.lit("-5")), "-5"), (X.csv_guard(F.lit("=x")), "'=x")],
+        "labels": [(X.window_label(F.lit(m).cast("int")), w) for m, w in ((300, "Session (5-hour)"), (10080, "Weekly (7-day)"), (1440, "1-day window"), (120, "2-hour window"), (90, "90-minute window"), (None, "Primary window"), (0, "Primary window"))] + [(X.plan_label(F.lit("default_claude_max_20x")), "Max 20x"), (X.plan_label(F.lit("pro")), "Pro"), (X.plan_label(F.lit("none")), None)],
+        "text": [(X.url_host(F.lit("https://u:p@h.org:80/x")), "h.org"), (X.url_host(F.lit("http://[::1]:9/x")), "::1"), (X.url_host(F.lit("nope")), "nope"), (X.url_host(F.lit("ftp://a@b@c:1?x")), "c"), (X.strip_html(F.lit("<p>a&amp;b <b>c</b></p><script>x</script>")), "a&b c"), (X.csv_guard(F.lit("-5")), "-5"), (X.csv_guard(F.lit("=x")), "'=x")],
         "round": [(X.scaled_round(F.lit(1.005), 2), 1.0), (X.percent(F.lit(1), F.lit(0)), None)],
         "share": [(X.share_label(F.lit(1), F.lit(1000)), "<1%"), (X.share_label(F.lit(0), F.lit(5)), None), (X.share_label(F.lit(1), F.lit(4)), "25%"), (X.format_duration(F.lit(8040)), "2h 14m"), (X.format_duration(F.lit(97300)), "1d 3h"), (X.format_count(F.lit(1500)), "1.5K")],
         "session": [(X.session_of_file(F.lit("rollout-2026-01-01T00-00-00-0199a213-81c0-7800-8aa1-bbab2a035a53.jsonl")), "0199a213-81c0-7800-8aa1-bbab2a035a53"), (X.session_of_file(F.lit("x.jsonl")), None)],
@@ -115,3 +115,12 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if Path(DATA).exists():
         assert entry.entry(spark).count() > 0
+
+
+def test_four_digits(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [0.0, 0.00005, 0.00015, 0.01015, 1.00005, 0.5, 2.675, 123456.78905] + [rng.randrange(10**7) / 10**rng.randrange(3, 8) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.four_digits(F.col("v")).alias("s"))
+    assert all(r["s"] == f"{r['v']:.4f}" for r in df.collect())
