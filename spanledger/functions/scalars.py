@@ -187,8 +187,9 @@ def four_digits(value: Column) -> Column:
     high = value * 134217729.0 - (value * 134217729.0 - value)  # the upper half of the digits: both halves times 10000 are exact
     error = (high * 10000.0 - product) + (value - high) * 10000.0
     whole = F.floor(product)
-    part = (product - whole) + error
-    n = (whole + F.when((part > 0.5) | ((part == 0.5) & (whole % 2 == 1)), 1).when((part < -0.5) | ((part == -0.5) & (whole % 2 == 1)), -1).otherwise(0)).cast("long")
+    beyond = (product - whole) - 0.5
+    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    n = (whole + up.cast("int")).cast("long")
     return F.concat(F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0"))
 
 
