@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 from contextlib import contextmanager
 from datetime import datetime, timezone
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_or_null, epoch_seconds
-from ..schema import ROUTING_SCHEMA, USAGE_SCHEMA
+from ..schema import CATEGORIES, COST_STATUSES, ROUTING_SCHEMA, TOKEN_BUCKETS, USAGE_SCHEMA, known_label
 from .supersede import insert_or_ignore
 
 VERSION = 3
@@ -97,6 +98,9 @@ class Journal:
         self.spark, self.path, self.wait = spark, path, wait
         os.makedirs(path, exist_ok=True)
         self.schemas = {"usage": USAGE_SCHEMA, "routing": ROUTING_SCHEMA, "tally": TALLY_SCHEMA}
+        if any(os.path.exists(f"{self._folder(t)}.{x}") for t in self.schemas for x in ("old", "new")):
+            with self._lock():
+                self._recover()
         version = self._version()
         if version > VERSION:
             raise Refused(f"the journal has version {version}, newer than {VERSION}")
@@ -134,6 +138,23 @@ class Journal:
         df = self.spark.read.option("mergeSchema", "true").schema(self.schemas[table]).parquet(self._folder(table))
         return df if after is None else df.where(F.col("seq") > after)
 
+    def scan_usage(self, after: int | None = None) -> DataFrame:
+        """The usage rows (with after, those behind that cursor; a cursor beyond the newest row starts anew), labels checked.
+
+        A plan's event is stored as quota. Without cost it is handed on as an open row of a subscription, which is what the path
+        that decides on estimates expects. Counts below zero are damage and read as 0; labels outside the vocabularies as the pessimistic one.
+        """
+        rows = self.read("usage")
+        if after is not None:
+            top = rows.agg(F.max("seq")).first()[0]
+            rows = rows if top is None or top < after else rows.where(F.col("seq") > after)
+        plan = F.col("billing") == "subscription"
+        status = known_label(F.col("cost_status"), COST_STATUSES, "unavailable")
+        return rows.withColumns({
+            "category": known_label(F.col("category"), CATEGORIES, "UNKNOWN"), "cost_status": F.when((status == "quota") & plan & F.col("cost").isNull(), "unavailable").otherwise(status),
+            "billing": F.when(plan, "subscription").otherwise("per_token"), **{c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in ("requests", *TOKEN_BUCKETS)}, "incomplete": F.lit(False),
+        })
+
     def _append(self, table: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self._folder(table))
         with open(f"{self.path}/version.json.new", "w") as f:
@@ -182,9 +203,10 @@ class Journal:
     def tallies(self) -> DataFrame:
         return self.read("tally").groupBy("day", "agent", "reason").agg(F.sum("runs").alias("runs")).orderBy("day", "agent", "reason")
 
-    def prune(self, cutoff: int, now: int) -> dict[str, int]:
-        """Drop dated rows before cutoff; rows kept: undated ones, the newest, and routing of sessions with newer rows.
+    def prune(self, cutoff: int, now: int, emitter: str = "claude-code") -> dict[str, int]:
+        """Drop dated rows before cutoff; kept are undated rows, the newest usage row, and an emitter's routing rows of sessions with newer ones.
 
+        Old routing rows of other emitters, and those without id, go. Tallies go by whole days, uncounted.
         The cutoff can't be in the current month or the last LEAST_KEPT_DAYS days.
         """
         month = int(datetime.fromtimestamp(now, timezone.utc).replace(day=1, hour=0, minute=0, second=0, microsecond=0).timestamp())
@@ -192,28 +214,56 @@ class Journal:
             raise Refused("the cutoff is too recent")
         gone = {}
         with self._lock():
-            for table in ("usage", "routing"):
+            for table in ("usage", "routing", "tally"):
                 rows = self.read(table)
-                old = (F.col("created") > 0) & (F.col("created") < cutoff)
-                if table == "usage":
+                if table == "tally":
+                    kept = rows.where(F.col("day") >= cutoff - 86399)
+                elif table == "usage":
                     top = rows.agg(F.max("seq")).first()[0]
-                    kept = rows.where(~old | (F.col("seq") == (top if top is not None else -1)))
+                    kept = rows.where(~is_old(cutoff) | (F.col("seq") == (top if top is not None else -1)))
                 else:
-                    session = F.element_at(F.split("event_id", ":"), 1)
-                    live = rows.where(~old).select(session.alias("_s")).distinct()
-                    kept = rows.withColumn("_s", session).join(live, "_s", "left_semi").drop("_s").unionByName(rows.where(F.col("event_id").isNull()))
+                    kept = kept_routing(rows, cutoff, emitter)
                 before, after = rows.count(), kept.count()
-                gone[table] = before - after
+                if table != "tally":
+                    gone[table] = before - after
                 if before != after:
                     self._replace(table, kept)
         return gone
 
     def _replace(self, table: str, rows: DataFrame) -> None:
+        """Put rows in a table's place. A crash in between leaves the old or the new table behind, which _recover() puts back."""
         new, old = f"{self._folder(table)}.new", f"{self._folder(table)}.old"
         rows.write.mode("overwrite").parquet(new)
         os.rename(self._folder(table), old)
         os.rename(new, self._folder(table))
-        import shutil
-
         shutil.rmtree(old)
         self.spark.catalog.refreshByPath(self._folder(table))
+
+    def _recover(self) -> None:
+        """After a crash between the two renames: the old table is whole and comes back."""
+        for table in self.schemas:
+            folder = self._folder(table)
+            if not os.path.exists(folder) and os.path.exists(f"{folder}.old"):
+                os.rename(f"{folder}.old", folder)
+            for rest in (f"{folder}.old", f"{folder}.new"):
+                if os.path.exists(rest):
+                    shutil.rmtree(rest)
+
+
+def is_old(cutoff: int) -> Column:
+    """Dated before cutoff."""
+    return (F.col("created") > 0) & (F.col("created") < cutoff)
+
+
+def kept_routing(rows: DataFrame, cutoff: int, emitter: str) -> DataFrame:
+    """Routing rows that a prune keeps: those that aren't old, and an emitter's of sessions that also have newer ones.
+
+    An id is `<emitter>:<session>:...`; without a second colon all of the emitter's ids are one session.
+    """
+    mark = emitter + ":"
+    rest = F.substring(F.col("event_id"), len(mark) + 1, 2**30)
+    session = F.when(F.col("event_id").startswith(mark), F.substring(rest, F.lit(1), F.locate(":", rest)))
+    keyed = rows.withColumn("_s", session)
+    fresh, old = keyed.where(~is_old(cutoff)), keyed.where(is_old(cutoff))
+    live = fresh.where("created > 0 and _s is not null").select("_s").distinct()
+    return fresh.unionByName(old.join(live, "_s", "left_semi").select(fresh.columns)).drop("_s")

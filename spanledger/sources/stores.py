@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition
 
-from ..functions.scalars import count_or_null, epoch_seconds, project_path, rfc3339_seconds
-from .lines import S, as_usage, struct
+from ..functions.scalars import classify, epoch_seconds, project_path, rfc3339_seconds
+from .lines import S, as_usage, count_of, number_of, struct, used
 
 _TYPES = {"INTEGER": T.LongType(), "INT": T.LongType(), "BIGINT": T.LongType(), "REAL": T.DoubleType(), "DOUBLE": T.DoubleType(), "FLOAT": T.DoubleType()}
 
@@ -110,39 +110,65 @@ def read_store(spark: SparkSession, path: str, name: str, schema: str | T.Struct
 
 
 _D = T.DoubleType()
-_TOKENS = struct(input=_D, output=_D, reasoning=_D, cache=struct(read=_D, write=_D))
-_INFO = struct(role=S, providerID=S, modelID=S, id=S, sessionID=S, tokens=_TOKENS, cost=_D, cost_source=S)
+_TOKENS = struct(**{n: _D for n in ("input", "inputTokens", "output", "outputTokens", "reasoning", "reasoningTokens")}, cache=struct(**{n: _D for n in ("read", "readTokens", "write", "writeTokens")}))
+_INFO = struct(role=S, providerID=S, provider_id=S, modelID=S, model_id=S, id=S, messageID=S, message_id=S, sessionID=S, session_id=S, tokens=_TOKENS, cost=_D, cost_source=S)
 MESSAGE = T.StructType([T.StructField("info", _INFO), *_INFO.fields])
+# What a store says of a cost's source, and the status it then has.
+COST_SOURCES = {"provider_reported": "reported", "calculated": "calculated", "estimated": "estimated"}
 
 
 def message_usage(messages: DataFrame) -> DataFrame:
-    """Assistant messages of a store with JSON in `data` and `time_created`; a cost must be finite and not negative."""
-    m = messages.select("time_created", F.from_json("data", MESSAGE).alias("m")).select("time_created", F.coalesce("m.info", F.struct(*(F.col(f"m.{f.name}") for f in _INFO.fields))).alias("m"))
-    rows = m.where("m.role = 'assistant' AND m.tokens is not null")
-    n = lambda c: F.coalesce(count_or_null(F.col(f"m.tokens.{c}")), F.lit(0))
+    """Assistant messages of a store with JSON in `data` and `time_created`; those without counts are kept as incomplete.
+
+    A cost must be finite and not negative. Where it stands follows from the category and from what the store says of its source: local
+    and free models are that; a named source stands; a paid model's cost without one was calculated; a cloud model without
+    positive cost is on quota, and a zero there is no cost; all else is unknown.
+    """
+    m = messages.select("time_created", F.from_json("data", MESSAGE).alias("m"), F.monotonically_increasing_id().alias("seq")).where("m is not null")
+    m = m.select("seq", "time_created", F.coalesce("m.info", F.struct(*(F.col(f"m.{f.name}") for f in _INFO.fields))).alias("m"))
+    rows = m.where("m.role = 'assistant'")
+    provider, model = F.coalesce("m.providerID", "m.provider_id", F.lit("unknown")), F.coalesce("m.modelID", "m.model_id", F.lit("unknown"))
     cost = F.when((F.col("m.cost") >= 0) & (F.col("m.cost") < float("inf")), F.col("m.cost"))
+    some = F.coalesce(cost > 0, F.lit(False))
+    named = classify(provider, model)
+    category = F.when((named == "UNKNOWN") & some, "PAID").otherwise(named)
+    source = F.when(cost.isNotNull(), F.create_map(*(F.lit(x) for pair in COST_SOURCES.items() for x in pair))[F.col("m.cost_source")])
+    status = (
+        F.when(category == "LOCAL", "local").when(category == "FREE", "free").when(source.isNotNull(), source).when((category == "PAID") & cost.isNotNull(), "calculated")
+        .when((category == "CLOUD") & ~some, "quota").otherwise("unavailable")
+    )
+    asked, given = count_of("m.tokens.input", "m.tokens.inputTokens"), count_of("m.tokens.output", "m.tokens.outputTokens")
     return as_usage(
-        rows, seq=F.monotonically_increasing_id(), event_id=F.col("m.id"), provider=F.coalesce("m.providerID", F.lit("unknown")), model=F.coalesce("m.modelID", F.lit("unknown")), input=n("input"), output=n("output"), reasoning=n("reasoning"), cache_read=n("cache.read"), cache_write=n("cache.write"),
-        cost=cost, cost_status=F.when(cost.isNotNull() & (cost > 0), F.when(F.col("m.cost_source") == "calculated", "calculated").otherwise("reported")).otherwise("unavailable"), created=F.coalesce(epoch_seconds(F.col("time_created")), F.lit(0)), session_id=F.col("m.sessionID"),
-        incomplete=count_or_null(F.col("m.tokens.input")).isNull() | count_or_null(F.col("m.tokens.output")).isNull(),
+        rows, seq=F.col("seq"), event_id=F.coalesce("m.id", "m.messageID", "m.message_id"), provider=provider, model=model, category=category, input=F.coalesce(asked, F.lit(0)), output=F.coalesce(given, F.lit(0)), reasoning=number_of("m.tokens.reasoning", "m.tokens.reasoningTokens"),
+        cache_read=number_of("m.tokens.cache.read", "m.tokens.cache.readTokens"), cache_write=number_of("m.tokens.cache.write", "m.tokens.cache.writeTokens"), cost=F.when(status != "quota", cost), cost_status=status, created=F.coalesce(epoch_seconds(F.col("time_created")), F.lit(0)),
+        session_id=F.coalesce("m.sessionID", "m.session_id"), incomplete=asked.isNull() | given.isNull(),
     )
 
 
-EVENTS = "id string, session_id string, model string, input_tokens double, output_tokens double, cache_read_tokens double, cache_write_tokens double, reasoning_tokens double, turn_index long, created_at string"
+EVENTS = "id long, session_id string, model string, input_tokens double, output_tokens double, cache_read_tokens double, cache_write_tokens double, reasoning_tokens double, turn_index long, created_at string"
 SESSIONS = "id string, cwd string, repository string"
 
 
-def event_usage(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Requests of a store of usage events, left-joined to its sessions; inclusive counts are made disjoint."""
-    s = sessions.select(F.col("id").alias("_sid"), F.coalesce("cwd", "repository").alias("_where"))
-    rows = events.join(s, F.col("session_id") == F.col("_sid"), "left")
-    n = lambda c: F.coalesce(count_or_null(F.col(c)), F.lit(0))
-    cached, reasoning = F.least(n("cache_read_tokens") + n("cache_write_tokens"), n("input_tokens")), F.least(n("reasoning_tokens"), n("output_tokens"))
+def event_usage(events: DataFrame, sessions: DataFrame, billing: str = "per_token") -> DataFrame:
+    """Requests of a store of usage events, left-joined to its sessions; inclusive counts are made disjoint.
+
+    Identity is the session and the row's own key; without key the turn, the time and the counts. Rows without session have none.
+    No cost is claimed: what a plan makes of it is decided when estimates are applied.
+    """
+    s = sessions.select(F.col("id").alias("_sid"), "cwd", "repository")
+    rows = events.withColumn("seq", F.monotonically_increasing_id()).join(s, F.col("session_id") == F.col("_sid"), "left")
+    asked, given = count_of("input_tokens"), count_of("output_tokens")
+    read, written, reasoning = number_of("cache_read_tokens"), number_of("cache_write_tokens"), number_of("reasoning_tokens")
     at = F.coalesce(rfc3339_seconds(F.col("created_at")), F.when(F.col("created_at").rlike(r"^\d+$"), epoch_seconds(F.col("created_at").try_cast("long"))), F.lit(0))
-    return as_usage(
-        rows, seq=F.monotonically_increasing_id(), event_id=F.coalesce("id", F.concat_ws(":", "session_id", F.col("turn_index").cast("string"))), provider=F.lit("copilot"), model=F.coalesce("model", F.lit("unknown")), input=n("input_tokens") - cached, output=n("output_tokens") - reasoning,
-        reasoning=reasoning, cache_read=n("cache_read_tokens"), cache_write=n("cache_write_tokens"), created=at, session_id=F.col("session_id"), project=project_path(F.col("_where")), cost_status=F.lit("quota"), billing=F.lit("subscription"),
+    model = F.coalesce("model", F.lit("unknown"))
+    rows = rows.withColumns({"_in": F.greatest(F.coalesce(asked, F.lit(0)) - read - written, F.lit(0)), "_out": F.greatest(F.coalesce(given, F.lit(0)) - reasoning, F.lit(0)), "_at": at})
+    content = F.concat_ws(":", F.col("_at").cast("string"), F.col("_in").cast("string"), F.col("_out").cast("string"))
+    id_ = F.when(F.col("id").isNotNull(), F.col("id").cast("string")).when(F.col("turn_index").isNotNull(), F.concat(F.lit("t"), F.col("turn_index").cast("string"), F.lit(":"), content)).otherwise(content)
+    out = as_usage(
+        rows, seq=F.col("seq"), event_id=F.when(F.col("session_id").isNotNull(), F.concat_ws(":", F.lit("copilot"), "session_id", id_)), provider=F.lit("copilot"), model=model, category=classify(F.lit("copilot"), model), billing=F.lit(billing), input=F.col("_in"), output=F.col("_out"),
+        reasoning=reasoning, cache_read=read, cache_write=written, created=F.col("_at"), session_id=F.col("session_id"), project=F.coalesce(project_path(F.col("cwd")), "repository"), incomplete=asked.isNull() | given.isNull(),
     )
+    return out.where(used())
 
 
 def store_of(paths: list[str], tables: set[str]) -> str | None:

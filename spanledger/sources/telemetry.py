@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
-from ..functions.scalars import count_or_null, rfc3339_seconds
-from .lines import as_usage
+from ..functions.scalars import rfc3339_seconds
+from .lines import as_usage, count_of, number_of, used
+
+
+_MARKS = re.compile(r'[{}"]')
+_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 
 
 def split_objects(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each whole top-level object, strings and escapes minded; an open object at the end is left out."""
-    out, depth, start, quoted, escaped = [], 0, -1, False, False
-    for i, c in enumerate(text):
-        if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = depth > 0
-        elif c == "{":
-            if depth == 0:
-                start = i
+    """(start, end) of each whole top-level object, strings and escapes minded; an open object at the end is left out.
+
+    Outside of objects quotes mean nothing. Only braces and quotes are looked at, strings are skipped whole.
+    """
+    out, depth, start, at = [], 0, -1, 0
+    while m := _MARKS.search(text, at):
+        at = m.end()
+        if m[0] == "{":
+            start = m.start() if depth == 0 else start
             depth += 1
-        elif c == "}" and depth:
+        elif m[0] == "}" and depth:
             depth -= 1
             if depth == 0:
-                out.append((start, i + 1))
+                out.append((start, at))
+        elif m[0] == '"' and depth:
+            string = _QUOTED.match(text, m.start())
+            if string is None:
+                break
+            at = string.end()
     return out
 
 
@@ -55,15 +60,21 @@ _COUNTS = ["status_code", "input_token_count", "output_token_count", "cached_con
 _ATTRIBUTES = T.StructType([T.StructField("attributes", T.StructType([*(T.StructField(f, T.StringType()) for f in _FIELDS), *(T.StructField(f, T.DoubleType()) for f in _COUNTS)]))])
 
 
-def telemetry_usage(objects: DataFrame) -> DataFrame:
-    """Successful API responses. Cached tokens are part of the prompt and are taken out of it."""
-    a = objects.select(F.from_json("object", _ATTRIBUTES).alias("o")).select("o.attributes.*")
+def telemetry_usage(objects: DataFrame, billing: str = "per_token") -> DataFrame:
+    """Successful API responses of named models. Cached tokens are part of the prompt and are taken out of it.
+
+    Identity is the prompt, the stamp and the total; a record without prompt id or stamp has none. Complete records without
+    tokens are left out.
+    """
+    a = objects.select(F.monotonically_increasing_id().alias("seq"), F.from_json("object", _ATTRIBUTES).alias("o")).select("seq", "o.attributes.*")
     ok = F.col("status_code").isNull() | F.col("status_code").between(200, 299)
-    rows = a.where((F.col("`event.name`") == "gemini_cli.api_response") & ok)
-    n = lambda c: F.coalesce(count_or_null(F.col(c)), F.lit(0))
-    cached = F.least(n("cached_content_token_count"), n("input_token_count"))
-    return as_usage(
-        rows, seq=F.monotonically_increasing_id(), event_id=F.concat_ws(":", "prompt_id", "`event.timestamp`", n("total_token_count").cast("string")), provider=F.lit("gemini"), model=F.coalesce("model", F.lit("unknown")), input=n("input_token_count") - cached,
-        output=n("output_token_count"), reasoning=n("thoughts_token_count"), cache_read=cached, created=F.coalesce(rfc3339_seconds(F.col("`event.timestamp`")), F.lit(0)), session_id=F.col("`session.id`"),
-        incomplete=count_or_null(F.col("input_token_count")).isNull() | count_or_null(F.col("output_token_count")).isNull(),
+    rows = a.where((F.col("`event.name`") == "gemini_cli.api_response") & ok & (F.trim("model") != ""))
+    cached = F.least(number_of("cached_content_token_count"), number_of("input_token_count"))
+    total = F.coalesce(F.when(F.col("total_token_count") == F.floor("total_token_count"), F.col("total_token_count").cast("long")), F.lit(0))
+    named = F.col("prompt_id").isNotNull() & F.col("`event.timestamp`").isNotNull()
+    out = as_usage(
+        rows, seq=F.col("seq"), event_id=F.when(named, F.concat_ws(":", F.lit("gemini"), "prompt_id", "`event.timestamp`", total.cast("string"))), provider=F.lit("gemini"), model=F.trim("model"), billing=F.lit(billing), input=number_of("input_token_count") - cached,
+        output=number_of("output_token_count"), reasoning=number_of("thoughts_token_count"), cache_read=cached, created=F.coalesce(rfc3339_seconds(F.col("`event.timestamp`")), F.lit(0)), session_id=F.col("`session.id`"),
+        incomplete=count_of("input_token_count").isNull() | count_of("output_token_count").isNull(),
     )
+    return out.where(used())

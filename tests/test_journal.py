@@ -66,6 +66,35 @@ def test_prune(spark, tmp_path):
     assert {r["event_id"] for r in j.read("usage").collect()} == {"e2", "e3"}  # undated, and the newest
 
 
+def test_prune_of_sessions_and_tallies(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"))
+    old, new, cut = NOW - 200 * 86400, NOW - 10 * 86400, NOW - 80 * 86400
+    ids = [("claude-code:a:1", old), ("claude-code:a:2", new), ("claude-code:b:1", old), ("other:a:1", old), (None, old), ("claude-code:c", old), ("x", 0)]
+    rows = spark.createDataFrame([(i, "t", "a", "m", c) for i, c in ids], "event_id string, task string, agent string, model string, created long")
+    assert {r["event_id"] for r in journal.kept_routing(rows, cut, "claude-code").collect()} == {"claude-code:a:1", "claude-code:a:2", "x"}
+    j.tally("a", "pipe", old)
+    j.tally("a", "pipe", new)
+    j.prune(cut, NOW)
+    assert [r["day"] for r in j.tallies().collect()] == [new - new % 86400]
+
+
+def test_crash_between_renames(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"))
+    j.tally("a", "pipe", NOW)
+    (tmp_path / "j" / "tally").rename(tmp_path / "j" / "tally.old")
+    assert Journal(spark, str(tmp_path / "j")).tallies().count() == 1 and not (tmp_path / "j" / "tally.old").exists()
+
+
+def test_scan(spark, tmp_path):
+    j = Journal(spark, str(tmp_path / "j"))
+    rows = [(i, f"e{i}", "p", "m", cat, status, bill, 1, tokens, 0, 0, 0, 0, cost, None, NOW, None, None, False) for i, (cat, status, bill, tokens, cost) in enumerate([("PAID", "quota", "subscription", 1, None), ("odd", "odd", "odd", -5, 1.0), ("PAID", "quota", "per_token", 1, None)])]
+    j.record_usage(spark.createDataFrame(rows, USAGE_SCHEMA))
+    got = {r["event_id"]: (r["category"], r["cost_status"], r["billing"], r["input"]) for r in j.scan_usage().collect()}
+    assert got == {"e0": ("PAID", "unavailable", "subscription", 1), "e1": ("UNKNOWN", "unavailable", "per_token", 0), "e2": ("PAID", "quota", "per_token", 1)}
+    top = max(r["seq"] for r in j.read("usage").collect())
+    assert j.scan_usage(after=top).count() == 0 and j.scan_usage(after=top + 5).count() == 3
+
+
 def test_lock_and_version(spark, tmp_path):
     j = Journal(spark, str(tmp_path / "j"), wait=0.1)
     (tmp_path / "j" / "lock").write_text("")

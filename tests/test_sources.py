@@ -55,15 +55,29 @@ def test_rollouts(spark, tmp_path):
     ])
     read = lines.read_lines(spark, str(tmp_path / "r"))
     got = [(r["event_id"], r["model"], r["project"], r["input"], r["output"], r["reasoning"], r["cache_read"]) for r in lines.rollout_usage(read).orderBy("created").collect()]
-    assert got == [("S:1", "g-1", "/meta", 60, 30, 20, 40), ("S:2", "g-2", "/turn", 100, 50, 0, 0), ("S:3", "g-2", "/turn", 100, 50, 0, 0)]
+    t = "codex:2026-01-02T00:00:0"
+    assert got == [(t + "1Z:150:150", "g-1", "/meta", 60, 30, 20, 40), (t + "3Z:150:300", "g-2", "/turn", 100, 50, 0, 0), (t + "4Z:150:500", "g-2", "/turn", 100, 50, 0, 0)]
     assert [tuple(r) for r in lines.rollout_limits(read).select("limit_id", "window", "used_percent", "minutes").collect()] == [("main", "primary", 4.0, 300)]
 
 
+def test_forks_estimates_and_old_layouts(spark, tmp_path):
+    zero = call(5, 900) | {"payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 0, "output_tokens": 0, "total_tokens": 400}, "total_token_usage": {"total_tokens": 900}}}}
+    gone = call(6, 950) | {"payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 7, "total_tokens": 7}}}}
+    old = {"type": "response_item", "timestamp": "2026-01-02T00:00:07Z", "payload": {"payload": call(7, 960)["payload"]}}
+    write(tmp_path / "r" / "a-11111111-2222-3333-4444-555555555555_x.jsonl", [call(1, 150), zero, gone, old])
+    write(tmp_path / "r" / "b-11111111-2222-3333-4444-666666666666.jsonl", [call(1, 150), call(8, 300)])
+    rows = lines.rollout_usage(lines.read_lines(spark, str(tmp_path / "r"))).collect()
+    ids = sorted(r["event_id"] for r in rows)
+    assert [i.split("Z")[1] for i in ids] == [":150:150", ":150:150", ":7:0", ":150:960", ":150:300"]
+    assert {r["incomplete"] for r in rows if r["input"] == 7} == {True} and "11111111-2222-3333-4444-555555555555" in {r["session_id"] for r in rows}
+
+
 def test_snapshots(spark, tmp_path):
     shut = lambda n, i: {"type": "session.shutdown", "timestamp": "2026-01-01T00:00:00Z", "data": {"modelMetrics": {"a": {"requests": {"count": n}, "usage": {"inputTokens": i, "outputTokens": 1}}}}}
     write(tmp_path / "c" / "l.jsonl", [shut(2, 10), shut(2, 10), shut(5, 30), shut(6, 5)])
     got = [(r["requests"], r["input"], r["output"]) for r in lines.snapshot_usage(lines.read_lines(spark, str(tmp_path / "c"))).orderBy("input").collect()]
     assert got == [(2, 10, 1), (3, 20, 0)]
+    assert [r["event_id"] for r in lines.snapshot_usage(lines.read_lines(spark, str(tmp_path / "c"))).orderBy("input").collect()] == ["copilot:shutdown:c:a:11", "copilot:shutdown:c:a:31"]
 
 
 def test_telemetry(spark, tmp_path):
@@ -72,7 +86,36 @@ def test_telemetry(spark, tmp_path):
     objects = telemetry.read_objects(spark, str(tmp_path / "t.json"))
     assert objects.count() == 4
     rows = telemetry.telemetry_usage(objects).collect()
-    assert [(r["model"], r["input"], r["cache_read"], r["event_id"]) for r in rows] == [('m"}{', 6, 4, "p:2026-01-01T00:00:00Z:12")] * 2
+    assert [(r["model"], r["input"], r["cache_read"], r["event_id"]) for r in rows] == [('m"}{', 6, 4, "gemini:p:2026-01-01T00:00:00Z:12")] * 2
+
+
+def test_telemetry_without_identity(spark, tmp_path):
+    made = lambda **m: json.dumps({"attributes": {"event.name": "gemini_cli.api_response", "event.timestamp": "2026-01-01T00:00:00Z", "model": "m", "prompt_id": "p", "input_token_count": 1, "output_token_count": 2, "total_token_count": 3} | m}, indent=1)
+    (tmp_path / "t.json").write_text(made(prompt_id=None) + made(model=" ") + made(input_token_count=0, output_token_count=0) + made(model=" a ", output_token_count=None) + '"odd { quote' + "}" + made(prompt_id='\\" {'))
+    rows = telemetry.telemetry_usage(telemetry.read_objects(spark, str(tmp_path / "t.json"))).collect()
+    assert [(r["event_id"], r["model"], r["incomplete"]) for r in rows] == [(None, "m", False), ("gemini:p:2026-01-01T00:00:00Z:3", "a", True), ('gemini:\\" {:2026-01-01T00:00:00Z:3', "m", False)]
+
+
+def test_store_provenance(spark):
+    row = lambda i, provider, model, cost, source=None: (json.dumps({"id": i, "role": "assistant", "providerID": provider, "modelID": model, "cost": cost, "cost_source": source, "tokens": {"inputTokens": 1, "output": 1}}), 5)
+    data = [
+        row("reported", "anthropic", "m", 1.0, "provider_reported"), row("estimated", "anthropic", "m", 1.0, "estimated"), row("calculated", "anthropic", "m", 0.0), row("local", "ollama", "m", 1.0), row("free", "x", "m-free", None), row("quota", "x", "m:cloud", 0.0),
+        row("paid", "x", "m", 2.0), row("open", "x", "m", 0.0), row("spent", "x", "m:cloud", 3.0), ('{"role":"assistant","id":"bare"}', 5), ('{"role":"assistant"', 5),
+    ]
+    got = {r["event_id"]: (r["cost_status"], r["category"], r["cost"], r["incomplete"]) for r in stores.message_usage(spark.createDataFrame(data, "data string, time_created long")).collect()}
+    assert got == {
+        "reported": ("reported", "PAID", 1.0, False), "estimated": ("estimated", "PAID", 1.0, False), "calculated": ("calculated", "PAID", 0.0, False), "local": ("local", "LOCAL", 1.0, False), "free": ("free", "FREE", None, False), "quota": ("quota", "CLOUD", None, False),
+        "paid": ("calculated", "PAID", 2.0, False), "open": ("unavailable", "UNKNOWN", 0.0, False), "spent": ("unavailable", "CLOUD", 3.0, False), "bare": ("unavailable", "UNKNOWN", None, True),
+    }
+
+
+def test_one_pipeline(spark, tmp_path, store):
+    write(tmp_path / "t" / "a.jsonl", [assistant("r1", model="local-ollama"), assistant("r2", model="big")])
+    rates = spark.createDataFrame([("big", True, False, 1e6, 1e6, None, None, None), ("m", True, False, 2e6, 2e6, None, 0.0, None)], config.RATE_SCHEMA)
+    tiers, periods = spark.createDataFrame([], config.TIER_SCHEMA), spark.createDataFrame([], config.PERIOD_SCHEMA.replace("through string", "through date"))
+    told = registry.usage(spark, {"claude_code": str(tmp_path / "t"), "copilot": store}, rates, tiers, periods, {"copilot": "subscription", "claude_code": "per_token"})
+    got = {r["event_id"]: (r["category"], r["cost_status"], r["cost"], r["api_equivalent_cost"]) for r in told.collect()}
+    assert got == {"r1": ("LOCAL", "unavailable", None, None), "r2": ("PAID", "estimated", 15.0, None), "copilot:s1:1": ("PAID", "quota", None, 22.0), "copilot:gone:2": ("PAID", "quota", None, 4.0)}
 
 
 @pytest.fixture
@@ -82,8 +125,8 @@ def store(tmp_path):
     con.execute("CREATE TABLE message(data TEXT, time_created INTEGER)")
     good = {"role": "assistant", "providerID": "p", "modelID": "m", "id": "i1", "sessionID": "s", "cost": 0.5, "tokens": {"input": 3, "output": 4, "cache": {"read": 5}}}
     con.executemany("INSERT INTO message VALUES (?, ?)", [(json.dumps(good), 1_700_000_000_000), (json.dumps({"info": good | {"id": "i2", "cost": -1}}), 1_700_000_100), (json.dumps({"role": "user"}), 5), ("not json", 6)])
-    con.execute("CREATE TABLE assistant_usage_events(id TEXT, session_id TEXT, model TEXT, input_tokens INT, output_tokens INT, cache_read_tokens INT, created_at TEXT)")
-    con.executemany("INSERT INTO assistant_usage_events VALUES (?,?,?,?,?,?,?)", [("e1", "s1", "m", 10, 5, 4, "2026-01-01T00:00:00Z"), ("e2", "gone", "m", 1, 1, None, "1700000000000")])
+    con.execute("CREATE TABLE assistant_usage_events(id INTEGER, session_id TEXT, model TEXT, input_tokens INT, output_tokens INT, cache_read_tokens INT, created_at TEXT)")
+    con.executemany("INSERT INTO assistant_usage_events VALUES (?,?,?,?,?,?,?)", [(1, "s1", "m", 10, 5, 4, "2026-01-01T00:00:00Z"), (2, "gone", "m", 1, 1, None, "1700000000000")])
     con.execute("CREATE TABLE sessions(id TEXT, cwd TEXT)")
     con.execute("INSERT INTO sessions VALUES ('s1', '/w/')")
     con.commit()
@@ -93,11 +136,11 @@ def store(tmp_path):
 
 def test_stores(spark, store):
     rows = stores.message_usage(stores.read_store(spark, store, "message", "data string, time_created long")).orderBy("event_id").collect()
-    assert [(r["event_id"], r["cost"], r["cost_status"], r["created"], r["cache_read"]) for r in rows] == [("i1", 0.5, "reported", 1_700_000_000, 5), ("i2", None, "unavailable", 1_700_000_100, 5)]
+    assert [(r["event_id"], r["cost"], r["cost_status"], r["created"], r["cache_read"]) for r in rows] == [("i1", 0.5, "calculated", 1_700_000_000, 5), ("i2", None, "unavailable", 1_700_000_100, 5)]
     late = stores.read_store(spark, store, "message").where("time_created >= 1700000000000")
     assert late.count() == 1
     events = stores.event_usage(stores.read_store(spark, store, "assistant_usage_events", stores.EVENTS), stores.read_store(spark, store, "sessions", stores.SESSIONS)).orderBy("event_id").collect()
-    assert [(r["event_id"], r["input"], r["cache_read"], r["project"], r["created"]) for r in events] == [("e1", 6, 4, "/w", 1767225600), ("e2", 1, 0, None, 1700000000)]
+    assert [(r["event_id"], r["input"], r["cache_read"], r["project"], r["created"]) for r in events] == [("copilot:gone:2", 1, 0, None, 1700000000), ("copilot:s1:1", 6, 4, "/w", 1767225600)]
     assert stores.store_of(["/nowhere.db", store], {"sessions", "message"}) == store
 
 
