@@ -69,6 +69,14 @@ def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None
     return out
 
 
+def scratch(df: DataFrame, label: str, form: str) -> str:
+    """Write df in some format below the shared folder, to be read back by a reader under test of that format; dropped with the others."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.format(form).save(path)
+    _WRITTEN.append((df.sparkSession, path))
+    return path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever file system it names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
