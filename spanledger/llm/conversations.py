@@ -1,8 +1,9 @@
 """Conversations from message rows (problem 2).
 
-Lines are laid out by session, sorted parents first, and run through a finite-state automaton, one state for each
-line, handed down to the lines below it. What crosses a partition (an oversized session is cut into slices) is
-settled over the links between partitions.
+Lines are laid out by session, sorted by their sequence within it, and run through a finite-state automaton, parents
+first: a line's state is handed down to the lines below it. Roles, empty turns, missing replies and broken
+links are outputs of the automaton; a conversation's verdict is what its lines' outputs come to. What crosses a
+partition (an oversized session is cut into slices) is settled over the links between partitions.
 """
 
 from __future__ import annotations
@@ -13,23 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import forest
-from ..operators.forest import CIRCLE, EXTERNAL, MISSING
+from ..operators.forest import CIRCLE, MISSING
 from ..session import materialize
 
 #: Symbols of a line.
 OTHER, USER, ASSISTANT = 0, 1, 2
-#: States of a branch: no user message above in this conversation; the last one waits for a reply or has one; unknown
-#: (it is decided in another partition).
+#: A state is a pair. First, what is above a line in its conversation: no user message; the last one, which waits for a reply or
+#: has one; unknown (it is decided in another partition). Second, where its links lead: to a line without
+#: parent; to another partition; around a circle.
 START, OPEN, ELSEWHERE = 0, 1, 2
-#: (state, symbol) to (state, output). Outputs: nothing, the line opens a turn, answers the open one, or may do so.
-QUIET, OPENS, ANSWERS, MAY_ANSWER = 0, 1, 2, 3
-AUTOMATON = {
-    (START, OTHER): (START, QUIET), (START, USER): (OPEN, OPENS), (START, ASSISTANT): (START, QUIET),
-    (OPEN, OTHER): (OPEN, QUIET), (OPEN, USER): (OPEN, OPENS), (OPEN, ASSISTANT): (OPEN, ANSWERS),
-    (ELSEWHERE, OTHER): (ELSEWHERE, QUIET), (ELSEWHERE, USER): (OPEN, OPENS), (ELSEWHERE, ASSISTANT): (ELSEWHERE, MAY_ANSWER),
+ROOTED, AWAY, LOST = 0, 1, 2
+#: Outputs of a line, as bits: it is a message; it opens a turn; answers the open one; may answer one elsewhere; its links are broken.
+#: WAITS is what is left of OPENS when no line of the partition has answered.
+SAYS, OPENS, ANSWERS, MAY_ANSWER, BROKEN, WAITS = 1, 2, 4, 8, 16, 32
+#: (what is above, symbol) to (what is above the lines below, output).
+TURNS = {
+    (START, OTHER): (START, 0), (START, USER): (OPEN, SAYS | OPENS), (START, ASSISTANT): (START, SAYS),
+    (OPEN, OTHER): (OPEN, 0), (OPEN, USER): (OPEN, SAYS | OPENS), (OPEN, ASSISTANT): (OPEN, SAYS | ANSWERS),
+    (ELSEWHERE, OTHER): (ELSEWHERE, 0), (ELSEWHERE, USER): (OPEN, SAYS | OPENS), (ELSEWHERE, ASSISTANT): (ELSEWHERE, SAYS | MAY_ANSWER),
 }
+LINKS = {ROOTED: 0, AWAY: 0, LOST: BROKEN}
+AUTOMATON = {((turn, link), symbol): ((below, link), out | LINKS[link]) for (turn, symbol), (below, out) in TURNS.items() for link in LINKS}
 
-_EXTRA = [T.StructField("turn", T.BinaryType()), T.StructField("turn_elsewhere", T.BooleanType()), T.StructField("answered", T.BooleanType()), T.StructField("may_answer", T.BooleanType())]
+_EXTRA = [T.StructField("turn", T.BinaryType()), T.StructField("turn_elsewhere", T.BooleanType()), T.StructField("bits", T.IntegerType())]
 
 
 def symbol(role: str, content: str) -> Column:
@@ -40,29 +47,37 @@ def symbol(role: str, content: str) -> Column:
 
 
 def run_automaton(pdf: pd.DataFrame, parent: list[int], order: list[int], n: int) -> dict[str, list]:
-    """The automaton over one partition's lines; a branch starts anew where it enters another conversation."""
+    """The automaton over one partition's lines; turns start anew where a branch enters another conversation."""
     symbols, ids = pdf["symbol"].tolist(), pdf["_id"].tolist()
     talk = pd.factorize(pd.MultiIndex.from_arrays([pdf["session_id"], pdf["agent_id"]]))[0].tolist()
-    state, turn = [START] * n, [-1] * n
-    answered, may = [False] * n, [False] * n
+    state: list[tuple[int, int] | None] = [None] * n
+    turn, bits = [-1] * n, [0] * n
     lines = [v for v in order if v < n]
     if lines and 0 <= parent[lines[0]] < n:  # a circle: what its last line hands down reaches its first in a second run
         lines += lines
     for v in lines:
         p = parent[v]
         if p >= n:
-            above, opened = ELSEWHERE, -1
-        elif p < 0 or talk[p] != talk[v]:
-            above, opened = START, -1
+            above, opened = (ELSEWHERE, AWAY), -1
+        elif p < 0:
+            above, opened = (START, ROOTED), -1
+        elif state[p] is None:  # where a circle was entered
+            above, opened = (START, LOST), -1
         else:
             above, opened = state[p], turn[p]
+            if talk[p] != talk[v]:
+                above, opened = (START, above[1]), -1
         state[v], output = AUTOMATON[above, symbols[v]]
-        turn[v] = v if output == OPENS else opened
-        if output == ANSWERS:
-            answered[opened] = True
-        elif output == MAY_ANSWER:
-            may[v] = True
-    return {"turn": [ids[t] if t >= 0 else None for t in turn], "turn_elsewhere": [s == ELSEWHERE for s in state], "answered": answered, "may_answer": may}
+        bits[v] |= output
+        turn[v] = v if output & OPENS else opened
+        if output & ANSWERS:
+            bits[opened] |= ANSWERS << 8
+    for v in range(n):
+        answered = bits[v] & ANSWERS << 8
+        bits[v] &= 255
+        if bits[v] & OPENS and not answered:
+            bits[v] |= WAITS
+    return {"turn": [ids[t] if t >= 0 else None for t in turn], "turn_elsewhere": [s[0] == ELSEWHERE for s in state], "bits": bits}
 
 
 class Conversations:
@@ -70,44 +85,35 @@ class Conversations:
 
     lines has line_id, session_id, agent_id, uuid, parent_uuid, role, content and order (a bigint by which siblings
     are sorted). Lines without session (null or empty) are in none. Of the rows with one uuid in a session the first
-    by line_id counts. Lines without uuid (null or empty) have no links: a user message without uuid has no reply.
+    by line_id counts. Lines without uuid (null or empty) have no links and stand for themselves: a user message without uuid
+    has no reply.
     """
 
     def __init__(self, lines: DataFrame):
         kept = lines.where(F.col("session_id") != "").withColumns({"agent_id": F.coalesce("agent_id", F.lit("")), "symbol": symbol("role", "content").cast("int"), "order": F.coalesce("order", F.lit(2**62))})
         key = lambda c: F.when(F.col(c).isNotNull(), F.unhex(F.md5(F.concat_ws("\0", "session_id", c))))
-        self.loose = kept.where(F.coalesce("uuid", F.lit("")) == "").select("line_id", "session_id", "agent_id", "symbol", F.col("order").alias("sort"))
-        named = kept.where(F.col("uuid") != "").select("line_id", "session_id", "agent_id", "symbol", key("uuid").alias("_id"), key("parent_uuid").alias("_parent"), F.col("order").alias("_order"))
-        once = named.groupBy("_id").agg(F.min(F.struct("line_id", "_parent", "_order", "session_id", "agent_id", "symbol")).alias("r")).select("_id", "r.*")
-        sizes = kept.where(F.col("uuid") != "").groupBy(F.col("session_id").alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+        named = F.col("uuid") != ""
+        own = F.when(named, key("uuid")).otherwise(F.unhex(F.md5(F.concat_ws("\0", "session_id", F.lit(""), F.col("line_id").cast("string")))))
+        rows = kept.select("line_id", "session_id", "agent_id", "symbol", own.alias("_id"), F.when(named, key("parent_uuid")).alias("_parent"), F.col("order").alias("_order"))
+        once = rows.groupBy("_id").agg(F.min(F.struct("line_id", "_parent", "_order", "session_id", "agent_id", "symbol")).alias("r")).select("_id", "r.*")
+        sizes = kept.groupBy(F.col("session_id").alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
         self.forest = forest.Forest(once.withColumns({"_group": F.col("session_id"), "sort": F.col("_order")}), run_automaton, _EXTRA, sizes)
 
-    def broken(self) -> DataFrame:
-        """(session_id, agent_id) of conversations with a line whose parents never reach one without parent."""
-        local = self.forest.local
-        kinds = local.where(F.col("kind") != forest.ROOT).select("session_id", "agent_id", "kind", F.when(F.col("kind") == EXTERNAL, F.col("tree")).alias("tree")).distinct()
-        ends = self.forest.links().select("tree", "end_kind")
-        return kinds.join(ends, "tree", "left").where(F.coalesce("end_kind", "kind").isin(CIRCLE, MISSING)).select("session_id", "agent_id").distinct()
-
-    def empty(self) -> DataFrame:
-        """(session_id, agent_id) of conversations without any message."""
-        both = self.forest.local.select("session_id", "agent_id", "symbol").unionByName(self.loose.drop("line_id", "sort"))
-        return both.groupBy("session_id", "agent_id").agg(F.max("symbol").alias("most")).where(F.col("most") == OTHER).select("session_id", "agent_id")
-
-    def unanswered(self) -> DataFrame:
-        """(session_id, agent_id) of conversations with a user message that no assistant message answers."""
-        waiting = self.forest.local.where((F.col("symbol") == USER) & ~F.col("answered")).select("_id", "session_id", "agent_id")
-        late = self._answered_elsewhere()
-        open_ = waiting if late is None else waiting.join(late, "_id", "left_anti")
-        alone = self.loose.where(F.col("symbol") == USER)
-        return open_.select("session_id", "agent_id").unionByName(alone.select("session_id", "agent_id")).distinct()
-
-    def _answered_elsewhere(self) -> DataFrame | None:
-        """(_id) of user messages answered by a line of another partition; None if no line could answer one."""
-        may = self.forest.local.where("may_answer").select("tree", "session_id", "agent_id").distinct()
+    def outputs(self) -> DataFrame:
+        """session_id, agent_id, bits of every line, with what other partitions add: broken links, and replies to its turn."""
+        told = self.forest.local.select("_id", "tree", "session_id", "agent_id", "bits")
+        links = self.forest.links()
+        if not links.isEmpty():
+            lost = links.where(F.col("end_kind").isin(CIRCLE, MISSING)).select("tree", F.lit(BROKEN).alias("_lost"))
+            late = self._answered_elsewhere().withColumn("_late", F.lit(True))
+            more = F.col("bits").bitwiseOR(F.coalesce("_lost", F.lit(0)))
+            told = told.join(lost, "tree", "left").join(late, "_id", "left").withColumn("bits", F.when(F.col("_late"), more.bitwiseAND(~WAITS)).otherwise(more))
+        return told.select("session_id", "agent_id", "bits")
+
+    def _answered_elsewhere(self) -> DataFrame:
+        """(_id) of user messages answered by a line of another partition."""
+        may = self.forest.local.where(F.col("bits").bitwiseAND(MAY_ANSWER) > 0).select("tree", "session_id", "agent_id").distinct()
         links = self.forest.links().where("parent_tree is not null").select("tree", "parent_tree", "at_turn", "at_turn_elsewhere", "at_session_id", "at_agent_id")
-        if links.isEmpty():
-            return None
         # Where the turn above is decided still further up, go on, as long as it is the same conversation.
         up = links.select(F.col("tree").alias("parent_tree"), F.col("at_session_id").alias("s2"), F.col("at_agent_id").alias("a2"))
         joined = links.join(up, "parent_tree", "left")
@@ -119,12 +125,10 @@ class Conversations:
 
     def rejected(self) -> DataFrame:
         """(session_id, agent_id, broken, empty, unanswered) of the conversations to leave out."""
-        reasons = {"broken": self.broken(), "empty": self.empty(), "unanswered": self.unanswered()}
-        flags = None
-        for name in reasons:
-            part = reasons[name].select("session_id", "agent_id", *(F.lit(n == name).alias(n) for n in reasons))
-            flags = part if flags is None else flags.unionByName(part)
-        return flags.groupBy("session_id", "agent_id").agg(*(F.max(n).alias(n) for n in reasons))
+        per = self.outputs().groupBy("session_id", "agent_id").agg(F.bit_or("bits").alias("b"))
+        has = lambda bit: F.col("b").bitwiseAND(bit) > 0
+        flags = per.select("session_id", "agent_id", has(BROKEN).alias("broken"), (~has(SAYS)).alias("empty"), has(WAITS).alias("unanswered"))
+        return flags.where("broken or empty or unanswered")
 
     def ordered(self) -> DataFrame:
         """The messages of the conversations that stay: session_id, agent_id, root_order, root_line, seq, line_id, symbol.
@@ -135,6 +139,5 @@ class Conversations:
         nodes = self.forest.nodes()
         firsts = nodes.where("depth = 0").select("root", F.col("line_id").alias("root_line"), F.col("sort").alias("root_order"))
         linked = nodes.where(F.col("symbol") != OTHER).join(firsts, "root").select("session_id", "agent_id", "root_order", "root_line", F.col("enter").alias("seq"), "line_id", "symbol")
-        alone = self.loose.where(F.col("symbol") != OTHER).select("session_id", "agent_id", F.col("sort").alias("root_order"), F.col("line_id").alias("root_line"), F.lit(0).cast("long").alias("seq"), "line_id", "symbol")
         kept = materialize(self.rejected(), "rejected")
-        return linked.unionByName(alone).join(kept, ["session_id", "agent_id"], "left_anti")
+        return linked.join(kept, ["session_id", "agent_id"], "left_anti")

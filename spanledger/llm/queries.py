@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stamps
 from ..session import table
+from ..plans.stamp_sql import stamped
 from . import packing, tokens, truncation
 from .conversations import ASSISTANT, Conversations
 
@@ -29,7 +30,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     """The messages of the remaining conversations, sorted: parents first, siblings by the instant of ts."""
     lines = _lines(spark, d, "ts", "host_id")
-    timed = stamps.normalise(lines, table(spark, d, "host_clock"), "ts", "host_id").withColumnRenamed("stamp_micros", "order")
+    timed = stamps.normalise(lines.withColumn("_from", F.lit("transcript_line.ts")), table(spark, d, "host_clock"), "ts", "host_id", "_from").withColumnRenamed("stamp_micros", "order")
     texts = lines.select("line_id", "content")
     told = Conversations(timed).ordered().join(texts, "line_id").withColumn("role", F.when(F.col("symbol") == ASSISTANT, "assistant").otherwise("user"))
     order = ["session_id", "agent_id", "root_order", "root_line", "seq"]
@@ -93,7 +94,18 @@ broken AS (SELECT DISTINCT s, a FROM once o WHERE NOT EXISTS (SELECT 1 FROM good
 empty AS (SELECT s, a FROM (SELECT s, a, kind FROM once UNION ALL SELECT s, a, kind FROM lines WHERE u IS NULL) GROUP BY s, a HAVING count(kind) = 0),
 waiting AS (SELECT DISTINCT s, a FROM once o WHERE kind = 'user' AND NOT EXISTS (SELECT 1 FROM answered x WHERE x.s = o.s AND x.u = o.u) UNION SELECT s, a FROM lines WHERE u IS NULL AND kind = 'user')"""
 
+_ORDERED = """
+root AS (SELECT s, u, u AS root, line_id AS root_line, place AS root_order, [{'o': place, 'k': k}] AS way FROM numbered WHERE p IS NULL),
+tour AS (SELECT * FROM root UNION ALL SELECT c.s, c.u, t.root, t.root_line, t.root_order, list_append(t.way, {'o': c.place, 'k': c.k}) FROM tour t JOIN numbered c ON c.s = t.s AND c.p = t.u),
+placed AS (SELECT *, row_number() OVER (PARTITION BY s, root ORDER BY way) - 1 AS seq FROM tour),
+out AS (SELECT session_id, agent_id FROM (SELECT s AS session_id, a AS agent_id FROM broken UNION SELECT s, a FROM empty UNION SELECT s, a FROM waiting)),
+said AS (SELECT n.s AS session_id, n.a AS agent_id, t.root_order, t.root_line, t.seq, n.line_id, n.kind AS role FROM numbered n JOIN placed t ON t.s = n.s AND t.u = n.u WHERE n.kind IS NOT NULL
+  UNION ALL SELECT s, a, coalesce(micros, 4611686018427387904), line_id, 0, line_id, kind FROM loose WHERE kind IS NOT NULL)"""
+_NUMBERED = """
+numbered AS (SELECT o.s, o.u, o.a, o.p, o.kind, o.line_id, coalesce(r.micros, 4611686018427387904) AS place, md5(o.s || chr(0) || o.u) AS k FROM (SELECT *, row_number() OVER (PARTITION BY s, u ORDER BY line_id) AS n FROM lines WHERE u IS NOT NULL) o LEFT JOIN read r ON r.k = o.line_id WHERE n = 1),
+loose AS (SELECT l.*, r.micros FROM lines l LEFT JOIN read r ON r.k = l.line_id WHERE u IS NULL)"""
 SQL: dict[str, str] = {
+    "p2_conversations": "WITH RECURSIVE " + stamped("read", "SELECT line_id AS k, ts AS raw, host_id FROM transcript_line") + f", {_TALKS},{_NUMBERED},{_ORDERED} SELECT c.*, t.message.content AS content FROM said c JOIN transcript_line t ON t.line_id = c.line_id WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.session_id = c.session_id AND o.agent_id = c.agent_id)",
     "p2_found": f"WITH RECURSIVE {_TALKS} SELECT s AS session_id, a AS agent_id FROM broken UNION SELECT s, a FROM empty UNION SELECT s, a FROM waiting",
     "p2_rejected": f"""WITH RECURSIVE {_TALKS} SELECT s AS session_id, a AS agent_id, bool_or(r = 1) AS broken, bool_or(r = 2) AS empty, bool_or(r = 3) AS unanswered
 FROM (SELECT s, a, 1 AS r FROM broken UNION ALL SELECT s, a, 2 FROM empty UNION ALL SELECT s, a, 3 FROM waiting) GROUP BY s, a""",
