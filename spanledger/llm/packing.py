@@ -27,6 +27,8 @@ BUCKETS, DIMS, BITS = 128, 4, 12
 STRETCH, OPEN_CONTAINERS = 4096, 512
 #: Items of one packing task.
 TASK_ITEMS = 400_000
+#: Items that are worth a task of their own while cores are free: a few stretches each, as a task leaves its last containers open.
+LEAST_ITEMS = 8 * STRETCH
 #: Capacities that one run may serve; each document has a row for each.
 MAX_SPECS = 1000
 
@@ -171,7 +173,7 @@ def pack(sized: DataFrame, key: str, specs: list[tuple[int, int]]) -> DataFrame:
         if held is not None and len(held):
             yield place(held)
 
-    parts = max(1, math.ceil(n / TASK_ITEMS))
+    parts = max(1, math.ceil(n / TASK_ITEMS), min(sized.sparkSession.sparkContext.defaultParallelism, n // LEAST_ITEMS))
     laid = rests.select("spec_id", "capacity", "curve", key, "rest", "full").repartitionByRange(parts, "spec_id", "curve", key).sortWithinPartitions("spec_id", "curve", key)
     return laid.mapInPandas(run, schema).unionByName(whole).unionByName(none)
 
