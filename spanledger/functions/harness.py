@@ -1,172 +1,142 @@
 """What a recorded shell command says about the tests it ran: by its exit status, or by the runner's own summary.
 
-Both are plain Python over one command; the pandas UDFs below apply them to columns.
+A command is read as a sequence of symbols (test runs, other commands, operators) by a small automaton; a summary is
+searched for the lines by which runners tell their result. The pandas UDFs below apply both to columns.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Test runners by the words that begin their command; a trailing * matches any ending.
-RUNNERS = """
-cargo test | cargo nextest run | pytest | py.test | python -m pytest | python3 -m pytest | python -m unittest | python3 -m unittest | tox
-npm test | npm t | npm run test* | pnpm test | pnpm t | pnpm run test* | yarn test | yarn run test* | bun test | bun run test* | deno test
-vitest | jest | mocha | go test | gotestsum | just test* | just check | make test* | make check | ctest | meson test | mix test | rspec
-rake test | rails test | dotnet test | swift test | gradle test | ./gradlew test | gradlew test | mvn test | ./mvnw test | sbt test
-phpunit | vendor/bin/phpunit | php artisan test | composer test | zig build test | dart test | flutter test
-"""
+RUNNERS = [
+    "cargo test", "cargo nextest run", "pytest", "py.test", "python -m pytest", "python3 -m pytest", "python -m unittest", "python3 -m unittest", "tox", "npm test", "npm t", "npm run test*", "pnpm test", "pnpm t", "pnpm run test*",
+    "yarn test", "yarn run test*", "bun test", "bun run test*", "deno test", "vitest", "jest", "mocha", "go test", "gotestsum", "just test*", "just check", "make test*", "make check", "ctest", "meson test", "mix test", "rspec",
+    "rake test", "rails test", "dotnet test", "swift test", "gradle test", "./gradlew test", "gradlew test", "mvn test", "./mvnw test", "sbt test", "phpunit", "vendor/bin/phpunit", "php artisan test", "composer test", "zig build test",
+    "dart test", "flutter test",
+]
 # Commands that run what follows them; * is any one word.
-WRAPPERS = "env | time | nice | timeout * | npx | pnpm exec | pnpm dlx | bunx | uv run | poetry run | pipenv run | hatch run | pdm run | bundle exec"
-# Why a verdict is withheld.
-REASONS = ["substitution", "after_or", "pipe", "or_after", "background", "sequence", "and_chain"]
+WRAPPERS = ["env", "time", "nice", "timeout *", "npx", "pnpm exec", "pnpm dlx", "bunx", "uv run", "poetry run", "pipenv run", "hatch run", "pdm run", "bundle exec"]
+# Whose summaries the output of a runner may hold; scripts and task runners may run anything.
+SUMMARIES = {
+    "cargo test": ["libtest"], "pytest": ["pytest"], "py.test": ["pytest"], "python -m pytest": ["pytest"], "python3 -m pytest": ["pytest"], "go test": ["go"], "deno test": ["deno"],
+    **{name: ["libtest", "pytest", "go", "deno"] for name in ("make test*", "make check", "just test*", "just check", "npm test", "npm t", "npm run test*", "pnpm test", "pnpm t", "pnpm run test*", "yarn test", "yarn run test*", "bun run test*", "tox", "composer test", "rake test")},
+}
+# The lines by which runners tell that a run failed or passed.
+FAILED = {
+    "libtest": r"test result: FAILED\.|error: test failed|test .* \.\.\. FAILED$|error: \d+ targets? failed",
+    "pytest": r"FAILED |ERROR |=*\s*(?:\d+ [a-z]+, )*\d+ (?:failed|errors?)\b(?:, \d+ [a-z]+)* in [\d.]+s\b",
+    "go": r"FAIL$|FAIL\t|--- FAIL: ",
+    "deno": r"FAILED \| |error: Test failed$",
+}
+PASSED = {"libtest": r"test result: ok\.", "pytest": r"=*\s*(?:\d+ [a-z]+, )*\d+ passed(?:, \d+ [a-z]+)* in [\d.]+s\b", "go": r"ok {0,2}\t", "deno": r"ok \| .* passed \| "}
+# Texts in a command that pick passing lines out of the output, and the blank lines that tools trim from its end.
+SELECTS_PASSES = ["result: ok", "ok |", " passed in"]
+TRIMMED_BLANKS = 2
+
+# --- reading a command ----------------------------------------------------------------------------------------
 
 
-def _patterns(text: str) -> list[list[str]]:
-    return [p.split() for line in text.strip().splitlines() for p in line.split("|") if p.strip()]
+def _either(patterns: list[str]) -> str:
+    return "|".join(re.escape(p).replace(r"\*", r"\S*").replace(r"\ ", " ") for p in patterns)
 
 
-_RUNNERS, _WRAPPERS = _patterns(RUNNERS), _patterns(WRAPPERS)
-_OPERATOR = re.compile(r"&&|\|\||\||;|\n|(?<![<>|])&(?!>)")
-_ASSIGNMENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*=")
-_HEREDOC = re.compile(r"<<(?!<)-*\s*['\"]*([A-Za-z0-9_]+)")
+#: A simple command, its words one blank apart: what may stand before a runner, and the runner.
+_RUN = re.compile(rf"(?:(?:[A-Za-z_][A-Za-z0-9_]*=\S*|{_either(WRAPPERS)}) )*?(?:{'|'.join(f'(?P<r{i}>{_either([p])})' for i, p in enumerate(RUNNERS))})(?= |$)")
+_TOKEN = re.compile(r"(?P<op>&&|\|\||\||;|\n|(?<![<>|])&(?!>))|(?P<text>(?:(?!&&|\||;|\n|(?<![<>|])&(?!>)).)+)", re.S)
+_OPERATORS = {"&&": "and", "||": "or", "|": "pipe", "&": "background", ";": "sequence", "\n": "sequence"}
+_HEREDOC = re.compile(r"^((?:(?!<<)[^\n])*<<(?!<)-*\s*['\"]*([A-Za-z0-9_]+)[^\n]*)\n(?:.*?^[^\S\n]*\2[^\S\n]*$|.*)", re.M | re.S)
+_EXPANSIONS = ("$(", "`", "<<")
 
 
-def segments(command: str) -> list[tuple[str, str]]:
-    """(operator before it, text) of each simple command; '' before the first. Quotes aren't read."""
-    out, op, at = [], "", 0
-    for m in _OPERATOR.finditer(command):
-        out.append((op, command[at : m.start()]))
-        op, at = ";" if m[0] == "\n" else m[0], m.end()
-    return [*out, (op, command[at:])]
+def runner(text: str) -> str | None:
+    """The runner (of RUNNERS) that a simple command is, behind assignments and wrappers."""
+    m = _RUN.match(" ".join(text.strip().lstrip("({").rstrip(")}").split()))
+    return RUNNERS[int(m.lastgroup[1:])] if m else None
+
+
+def symbols(command: str) -> Iterator[str]:
+    """A command as symbols: a runner, `other` for any other text, and operators. Quotes aren't read."""
+    for m in _TOKEN.finditer(command):
+        yield _OPERATORS[m["op"]] if m["op"] else runner(m["text"]) or "other"
 
 
 def without_heredocs(command: str) -> str:
     """The command without the lines of heredoc bodies; the lines that open them stay."""
-    kept, end = [], None
-    for line in command.splitlines():
-        if end is not None:
-            end = None if line.strip() == end else end
-            continue
-        kept.append(line)
-        m = _HEREDOC.search(line)
-        end = m[1] if m and line.find("<<") == m.start() else None
-    return "\n".join(kept)
-
-
-def _begins(words: list[str], pattern: list[str]) -> bool:
-    return len(words) >= len(pattern) and all(w.startswith(p[:-1]) if p.endswith("*") else w == p for p, w in zip(pattern, words))
-
-
-def runner(text: str) -> list[str] | None:
-    """The runner that a simple command is, behind assignments and wrappers."""
-    words = text.strip().lstrip("({").rstrip(")}").split()
-    while words:
-        if _ASSIGNMENT.match(words[0]):
-            words = words[1:]
-            continue
-        for pattern in _RUNNERS:
-            if _begins(words, pattern):
-                return pattern
-        wrapped = next((p for p in _WRAPPERS if _begins(words, p)), None)
-        if wrapped is None:
-            return None
-        words = words[len(wrapped) :]
-    return None
+    return _HEREDOC.sub(r"\1", command)
+
+
+# The automaton. Before a run a state says what its start depends on: nothing (free), what came before it in its list (gated), that this
+# failed (spare). Behind one it says what the status of the whole speaks for: the run alone (both), or the run and more (success).
+RUN = "run"
+STEPS = {
+    ("free", "and"): "gated", ("free", "or"): "spare", ("free", "pipe"): "free", ("free", "background"): "free", ("free", "sequence"): "free", ("free", RUN): "both",
+    ("gated", "and"): "gated", ("gated", "or"): "spare", ("gated", "pipe"): "gated", ("gated", "background"): "gated", ("gated", "sequence"): "free", ("gated", RUN): "success",
+    ("spare", "and"): "gated", ("spare", "or"): "spare", ("spare", "pipe"): "gated", ("spare", "background"): "gated", ("spare", "sequence"): "free", ("spare", RUN): "withheld:after_or",
+    **{(ran, op): to for ran in ("both", "success") for op, to in (("and", "success"), ("pipe", "withheld:pipe"), ("or", "withheld:or_after"), ("background", "withheld:background"), ("sequence", "withheld:sequence"))},
+    ("both", RUN): "both", ("success", RUN): "success",
+}
+VERDICTS = {"free": "no_runner", "gated": "no_runner", "spare": "no_runner", "both": "observable:both", "success": "observable:success"}
 
 
 def verdict(command: str | None) -> str:
-    """no_runner, withheld:<reason>, or observable: both when either status is the runner's, success when only a zero is."""
-    if not command:
-        return "no_runner"
-    if "$(" in command or "`" in command or "<<" in command:
-        ran = any(runner(t) for _, t in segments(without_heredocs(command)))
-        return "withheld:substitution" if ran else "no_runner"
-    parts = segments(command)
-    state = None
-    later = {"|": "pipe", "||": "or_after", "&": "background", ";": "sequence"}
-    for i, (op, text) in enumerate(parts):
-        if runner(text) is None:
-            continue
-        if op == "||":
-            return "withheld:after_or"
-        chain = i
-        alone = True
-        while parts[chain][0] not in ("", ";"):
-            alone &= parts[chain][0] not in ("&&", "||")
-            chain -= 1
-        for after, _ in parts[i + 1 :]:
-            if after in later:
-                return f"withheld:{later[after]}"
-            alone = False
-        state = alone if state is None else state and alone
-    return "no_runner" if state is None else "observable:both" if state else "observable:success"
+    """no_runner, withheld:<reason>, or observable: both when either status is the runner's, success when only a zero is.
+
+    What an expansion or a heredoc does to the status can't be told from the text.
+    """
+    text = command or ""
+    if any(x in text for x in _EXPANSIONS):
+        return "withheld:substitution" if any(x in RUNNERS for x in symbols(without_heredocs(text))) else "no_runner"
+    state = "free"
+    for symbol in symbols(text):
+        if symbol != "other":
+            state = STEPS[state, RUN if symbol in RUNNERS else symbol]
+            if state not in VERDICTS:
+                return state
+    return VERDICTS[state]
 
 
 # --- the runners' own summaries -------------------------------------------------------------------------------
 
 _ANSI = re.compile(r"\x1b\[[^A-Za-z]*[A-Za-z]?")
-# The lines by which runners tell that a run failed or passed.
-FAILED = {
-    "libtest": re.compile(r"test result: FAILED\.|error: test failed|test .* \.\.\. FAILED$|error: \d+ targets? failed"),
-    "pytest": re.compile(r"FAILED |ERROR |=*\s*(?:\d+ [a-z]+, )*\d+ (?:failed|errors?)\b(?:, \d+ [a-z]+)* in [\d.]+s\b"),
-    "go": re.compile(r"FAIL$|FAIL\t|--- FAIL: "),
-    "deno": re.compile(r"FAILED \| |error: Test failed$"),
-}
-PASSED = {
-    "libtest": re.compile(r"test result: ok\."), "pytest": re.compile(r"=*\s*(?:\d+ [a-z]+, )*\d+ passed(?:, \d+ [a-z]+)* in [\d.]+s\b"), "go": re.compile(r"ok {0,2}\t"), "deno": re.compile(r"ok \| .* passed \| "),
-}
-SELECTS_PASSES = ("result: ok", "ok |", " passed in")
-TRIMMED_BLANKS = 2
+_ENDS = re.compile(r"[^\S\n]+$", re.M)
+_HEAD = re.compile(r"(?:^|[|;&\n])[^\S\n]*head(?P<how>(?:[^\S\n]+[^|;&\n]*)?)(?=$|[|;&\n])")
+_HOW_MANY = re.compile(r"(?:(?:-n|--lines)[ =]?|-)?(\d+)(?:\s|$)")
 
 
 def families(command: str) -> set[str]:
     """Whose summaries the output may hold: a runner's own, or any for scripts that may run anything."""
-    out: set[str] = set()
-    for _, text in segments(without_heredocs(command)):
-        match runner(text):
-            case ["cargo", "test"]:
-                out.add("libtest")
-            case ["pytest"] | ["py.test"] | [_, "-m", "pytest"]:
-                out.add("pytest")
-            case ["go", "test"]:
-                out.add("go")
-            case ["deno", "test"]:
-                out.add("deno")
-            case ["make" | "just" | "npm" | "pnpm" | "yarn", *_] | ["bun", "run", *_] | ["tox"] | ["composer", *_] | ["rake", *_]:
-                out |= FAILED.keys()
-    return out
-
-
-def _cut_short(command: str, lines: int) -> bool:
-    """Whether a `head` on the line may have cut the end off the output."""
-    for stage in re.split(r"[|;&\n]", command):
-        words = stage.split()
-        if words[:1] == ["head"]:
-            m = re.match(r"(?:(?:-n|--lines)[ =]?|-)?(\d+)(?:\s|$)", " ".join(words[1:3])) if len(words) > 1 else None
-            limit = 10 if len(words) == 1 else int(m[1]) if m else None
-            if limit is None or lines + TRIMMED_BLANKS >= limit:
-                return True
-    return False
+    return {family for x in symbols(without_heredocs(command)) for family in SUMMARIES.get(x, [])}
+
+
+def _told(lines: dict[str, str], kinds: set[str], output: str) -> bool:
+    return any(re.search(rf"^(?:{lines[k]})", output, re.M) for k in kinds)
+
+
+def _whole(command: str, lines: int) -> bool:
+    """Whether no `head` on the command's line can have cut the end off so many lines."""
+    for m in _HEAD.finditer(command):
+        how = " ".join(m["how"].split()[:2])
+        number = _HOW_MANY.match(how) if how else None
+        if (number is None and how) or lines + TRIMMED_BLANKS >= (int(number[1]) if number else 10):
+            return False
+    return True
 
 
 def summary_verdict(command: str | None, output: str | None) -> bool | None:
     """What the runner's summary says: a failure is always believed, a pass only if the end of the output is there."""
     kinds = families(command or "")
-    if not kinds:
+    text = _ENDS.sub("", _ANSI.sub("", "\n".join((output or "").splitlines())))
+    if _told(FAILED, kinds, text):
+        return False
+    if not _told(PASSED, kinds, text) or any(x in command for x in SELECTS_PASSES):
         return None
-    passed = False
-    for line in (output or "").splitlines():
-        line = _ANSI.sub("", line).rstrip()
-        if any(FAILED[k].match(line) for k in kinds):
-            return False
-        passed |= any(PASSED[k].match(line) for k in kinds)
-    if not passed or any(s in command for s in SELECTS_PASSES) or _cut_short(command, len((output or "").rstrip().splitlines())):
-        return None
-    return True
+    return True if _whole(command, text.rstrip("\n").count("\n") + 1) else None
 
 
 @F.pandas_udf(T.StringType())
