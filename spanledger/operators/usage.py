@@ -71,16 +71,17 @@ def model_table(usage: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("tokens"), "provider", "model", ordinal(F.col("category"), CATEGORIES), ordinal(F.col("cost_status"), COST_STATUSES))
 
 
-def top_with_other(usage: DataFrame, keys: list[str], top: int) -> DataFrame:
+def top_with_other(usage: DataFrame, keys: list[str], top: int, more: dict[str, Column] | None = None) -> DataFrame:
     """The top groups by tokens (all if top is 0), and one row `other` of the rest and of rows whose key is null.
 
     rows + other = totals. Ranks are taken over groups, which a first aggregation has made; the rest is merged from
-    those groups, never from the rows again.
+    those groups, never from the rows again. more are further aggregates of a group, null in `other`.
     """
+    more = more or {}
     keyed = F.lit(True)
     for k in keys:
         keyed = keyed & F.col(k).isNotNull()
-    groups = usage.groupBy(*keys).agg(*counters()).withColumns({"_keyed": keyed, "_tokens": total_tokens()})
+    groups = usage.groupBy(*keys).agg(*counters(), *(a.alias(n) for n, a in more.items())).withColumns({"_keyed": keyed, "_tokens": total_tokens()})
     ranked = groups.where("_keyed").orderBy(F.desc("_tokens"), *keys)
     if top:
         ranked = ranked.limit(top)  # a top-k: each partition keeps k, then they are merged
@@ -88,12 +89,23 @@ def top_with_other(usage: DataFrame, keys: list[str], top: int) -> DataFrame:
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    flagged = groups.join(kept, same, "left").select(*keys, *COUNTERS, F.coalesce("_shown", F.lit(False)).alias("shown"))
+    flagged = groups.join(kept, same, "left").select(*keys, *COUNTERS, *more, F.coalesce("_shown", F.lit(False)).alias("shown"))
     names = [F.when(F.col("shown"), F.col(k)).alias(k) for k in keys]
-    merged = flagged.select(*names, "shown", *COUNTERS).groupBy(*keys, "shown").agg(*(m.alias(c) for m, c in zip(merge_counters(), COUNTERS)))
+    said = [F.first(F.when(F.col("shown"), F.col(n)), ignorenulls=True).alias(n) for n in more]
+    merged = flagged.select(*names, "shown", *COUNTERS, *more).groupBy(*keys, "shown").agg(*(m.alias(c) for m, c in zip(merge_counters(), COUNTERS)), *said)
     return merged.where("shown or requests > 0")
 
 
+def session_details(models_shown: int = 6) -> dict[str, Column]:
+    """What a session's entry names: its first project, its first models in order and how many there are, and how long it ran."""
+    models = F.sort_array(F.collect_set(F.concat_ws("/", "provider", "model")))
+    first, last = seen()
+    return {
+        "project": F.min_by(F.col("project"), F.when(F.col("project").isNotNull(), F.col("seq"))), "models": F.array_join(F.slice(models, 1, models_shown), ","), "models_total": F.size(models), "first_seen": first, "last_seen": last,
+        "duration_secs": last - first,
+    }
+
+
 def by_category(usage: DataFrame) -> DataFrame:
     return with_ratios(usage.groupBy("category").agg(*counters()))
 
@@ -122,6 +134,11 @@ def local_day(created: Column, zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(F.timestamp_seconds(created), zone))
 
 
+def undated_requests(usage: DataFrame) -> DataFrame:
+    """One row: the requests that are on no day."""
+    return usage.agg(F.coalesce(F.sum(F.when(F.col("created") <= 0, F.col("requests"))), F.lit(0)).alias("undated_requests"))
+
+
 def by_day(usage: DataFrame, zone: str = "UTC", most: int = 31) -> DataFrame:
     """The newest local days with usage; undated rows are in none."""
     dated = usage.where("created > 0").withColumn("day", local_day(F.col("created"), zone))
@@ -244,6 +261,30 @@ def record_tallies(usage: DataFrame, day_start: int) -> DataFrame:
     )
 
 
+def record_models(usage: DataFrame, day: Column) -> DataFrame:
+    """By model: the buckets of a desktop record (reasoning counts as output), and the tokens of its day."""
+    t = total_tokens()
+    return usage.groupBy("model").agg(
+        F.sum("input").alias("input_tokens"), F.sum(F.col("output") + F.col("reasoning")).alias("output_tokens"), F.sum("cache_read").alias("cache_read_input_tokens"), F.sum("cache_write").alias("cache_creation_input_tokens"),
+        F.sum(F.when(day, t)).alias("today_tokens"),
+    )
+
+
+def record_days(usage: DataFrame, now: int, zone: str = "UTC") -> DataFrame:
+    """day, tokens of every local day with rows."""
+    return usage.where("created > 0").groupBy(local_day(F.col("created"), zone).alias("day")).agg(F.sum(total_tokens()).alias("tokens"))
+
+
+def journal_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, n, oldest of the tables of a journal; a table without times, such as the tally, has its days."""
+    out = None
+    for name, df in tables.items():
+        at = "created" if "created" in df.columns else "day"
+        part = df.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col(at) > 0, F.col(at))).alias("oldest")).select(F.lit(name).alias("table_name"), "n", "oldest")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def project_labels(paths: DataFrame, path: str) -> DataFrame:
     """(path, label): of each path the shortest suffix of segments that no other path has; the whole path if none is."""
     distinct = paths.select(F.col(path).alias("path")).where("path is not null").distinct()

@@ -243,10 +243,9 @@ def q22(spark: SparkSession, d: str) -> DataFrame:
     return routing.attribution(u, u.agg(F.min("session_id")).first()[0], 1)
 
 
-@query("q23_journal_stats", "SELECT 'usage' AS table_name, count(*) AS n, min(created) FILTER (created > 0) AS oldest FROM usage UNION ALL SELECT 'routing', count(*), min(created) FILTER (created > 0) FROM routing", A.DATED_SQL, A.ROUTING_SQL)
+@query("q23_journal_stats", "SELECT 'usage' AS table_name, count(*) AS n, min(created) FILTER (created > 0) AS oldest FROM usage UNION ALL SELECT 'routing', count(*), min(created) FILTER (created > 0) FROM routing UNION ALL SELECT 'tally', count(*), min(day) FILTER (day > 0) FROM tally", A.DATED_SQL, A.ROUTING_SQL, A.TALLY_SQL)
 def q23(spark: SparkSession, d: str, rows: Rows = A.usage_dated) -> DataFrame:
-    stats = lambda df, name: df.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("created") > 0, F.col("created"))).alias("oldest")).select(F.lit(name).alias("table_name"), "n", "oldest")
-    return stats(rows(spark, d), "usage").unionByName(stats(A.routing(spark, d), "routing"))
+    return usage.journal_stats({"usage": rows(spark, d), "routing": A.routing(spark, d), "tally": A.tally(spark, d)})
 
 
 @query("q24_project_labels", """SELECT p.path, coalesce(l.label, p.path) AS label FROM paths p LEFT JOIN (SELECT path, arg_min(suffix, k) AS label FROM (

@@ -178,6 +178,57 @@ def k02(spark: SparkSession, d: str) -> DataFrame:
     return export.csv_rows(A.usage_dated(spark, d))
 
 
+@query("k01_usage_rows", f"WITH {A.DATED_SQL} SELECT provider, model, category, cost_status, requests, input AS input_tokens, output AS output_tokens, reasoning AS reasoning_tokens, cache_read AS cache_read_tokens, cache_write AS cache_write_tokens, cost, billing, incomplete, created, project, session_id, cast(NULL AS DOUBLE) AS api_equivalent_cost FROM usage")
+def k01(spark: SparkSession, d: str) -> DataFrame:
+    return export.published(A.usage_dated(spark, d))
+
+
+def _listed_sql(source: str, keys: list[str], top: int, more: dict[str, str]) -> str:
+    """The top groups by tokens with their details, and one row of all others."""
+    k = ", ".join(keys)
+    keyed = " AND ".join(f"{x} IS NOT NULL" for x in keys)
+    return f"""WITH {source}, g AS (SELECT {k}, {A.COUNTERS_SQL}, {", ".join(f"{sql} AS {n}" for n, sql in more.items())} FROM u GROUP BY {k}),
+r AS (SELECT *, {keyed} AND row_number() OVER (PARTITION BY {keyed} ORDER BY input + output + reasoning + cache_read + cache_write DESC, {k}) <= {top} AS shown FROM g)
+SELECT {", ".join(f"CASE WHEN shown THEN {x} END AS {x}" for x in keys)}, shown, cast(sum(requests) AS BIGINT) AS requests, cast(sum(input + output + reasoning + cache_read + cache_write) AS BIGINT) AS tokens, cast(sum(unpriced_requests) AS BIGINT) AS unpriced_requests, {", ".join(f"any_value(CASE WHEN shown THEN {n} END) AS {n}" for n in more)} FROM r GROUP BY ALL HAVING shown OR sum(requests) > 0"""
+
+
+_LISTED = ["shown", "requests", "tokens", "unpriced_requests"]
+_SEEN_SQL = {"first_seen": "min(created) FILTER (created > 0)", "last_seen": "max(created) FILTER (created > 0)"}
+
+
+@query("k04_by_model", _listed_sql(A.USAGE_SQL + ", u AS (SELECT * FROM usage)", ["provider", "model", "category", "cost_status"], 8, {"sessions": "count(DISTINCT session_id)"}))
+def k04m(spark: SparkSession, d: str) -> DataFrame:
+    """The summary's list of models, by all four keys."""
+    return export.by_model(A.usage(spark, d), 8).select("provider", "model", "category", "cost_status", *_LISTED, "sessions")
+
+
+@query("k04_by_project", _listed_sql(A.DATED_SQL + ", u AS (SELECT * REPLACE (coalesce(project, '(unattributed)') AS project) FROM usage)", ["project"], 8, {"sessions": "count(DISTINCT session_id)", "models": "count(DISTINCT concat_ws('/', provider, model))", **_SEEN_SQL}))
+def k04p(spark: SparkSession, d: str) -> DataFrame:
+    return export.by_project(A.usage_dated(spark, d), 8).select("project", *_LISTED, "sessions", "models", *_SEEN_SQL)
+
+
+@query("k04_by_session", _listed_sql(A.DATED_SQL + ", u AS (SELECT * FROM usage)", ["session_id"], 8, {"project": "arg_min(project, seq) FILTER (project IS NOT NULL)", "models": "array_to_string(list_sort(list(DISTINCT concat_ws('/', provider, model)))[1:6], ',')", "models_total": "count(DISTINCT concat_ws('/', provider, model))", **_SEEN_SQL, "duration_secs": "max(created) FILTER (created > 0) - min(created) FILTER (created > 0)"}))
+def k04s(spark: SparkSession, d: str) -> DataFrame:
+    """The summary's list of sessions; rows without one are in `other`."""
+    return export.by_session(A.usage_dated(spark, d), 8).select("session_id", *_LISTED, "project", "models", F.col("models_total").cast("long").alias("models_total"), *_SEEN_SQL, "duration_secs")
+
+
+@query("k04_undated", f"WITH {A.DATED_SQL} SELECT cast(coalesce(sum(requests) FILTER (created <= 0), 0) AS BIGINT) AS undated_requests FROM usage")
+def k04u(spark: SparkSession, d: str) -> DataFrame:
+    return usage.undated_requests(A.usage_dated(spark, d))
+
+
+@query("k07_model_usage", f"WITH {A.DATED_SQL} SELECT model, cast(sum(input) AS BIGINT) AS input_tokens, cast(sum(output + reasoning) AS BIGINT) AS output_tokens, cast(sum(cache_read) AS BIGINT) AS cache_read_input_tokens, cast(sum(cache_write) AS BIGINT) AS cache_creation_input_tokens, cast(sum(tokens) FILTER (created >= {A.DAY_START} AND created < {A.DAY_START + 86400}) AS BIGINT) AS today_tokens FROM usage GROUP BY model")
+def k07(spark: SparkSession, d: str) -> DataFrame:
+    return usage.record_models(A.usage_dated(spark, d), F.col("created").between(A.DAY_START, A.DAY_START + 86399))
+
+
+@query("k07_days", f"WITH {A.DATED_SQL} SELECT cast(make_timestamp(created * 1000000) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS DATE) AS day, cast(sum(tokens) AS BIGINT) AS tokens FROM usage WHERE created > 0 GROUP BY 1")
+def k07d(spark: SparkSession, d: str) -> DataFrame:
+    """The active days of a desktop record in its local zone."""
+    return usage.record_days(A.usage_dated(spark, d), A.NOW, "America/New_York")
+
+
 _RECORDED = f"""SELECT *, CASE WHEN provider IS NULL OR model IS NULL THEN 'provider and model are required' WHEN {COUNT("input_tokens")} IS NULL OR {COUNT("output_tokens")} IS NULL THEN 'input_tokens and output_tokens must be counts' WHEN event_id IS NULL THEN 'event_id or created is required'
   WHEN cost_status <> 'reported' THEN 'only a reported cost may be asserted' WHEN bill IS NOT NULL AND bill NOT IN ('subscription', 'per_token') THEN 'unknown billing' WHEN cost < 0 OR isnan(cost) THEN 'bad cost' WHEN cost IS NOT NULL AND bill = 'subscription' THEN 'a subscription has no cost per event' END AS reason FROM (SELECT *, billing AS bill FROM usage_event)"""
 

@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from io import BytesIO
 from pathlib import Path
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: str = "8", app: str = "spanledger") -> SparkSession:
@@ -55,7 +57,7 @@ def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None
     """Write df as a Parquet table in the shared folder and return a frame that reads it.
 
     Cuts the lineage so that a lost executor costs at most the stages after this table. The table is
-    dropped when the driver ends, or earlier by release().
+    dropped when the driver ends, whether or not its session was stopped before, or earlier by release() or temporary_tables().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -63,7 +65,7 @@ def materialize(df: DataFrame, label: str = "t", partition_by: list[str] | None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _WRITTEN.append((spark, path))
+    _drop_later(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spanledger_path = path
     return out
@@ -73,14 +75,14 @@ def scratch(df: DataFrame, label: str, form: str) -> str:
     """Write df in some format below the shared folder, to be read back by a reader under test of that format; dropped with the others."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.format(form).save(path)
-    _WRITTEN.append((df.sparkSession, path))
+    _drop_later(df.sparkSession, path)
     return path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever file system it names."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    files, p = _file_system(spark, path)
+    return files.exists(p)
 
 
 def release(df: DataFrame) -> None:
@@ -90,19 +92,38 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """The intermediate tables of the queries run inside are dropped at its end: for drivers that run for long.
 
-@atexit.register
-def _drop_written() -> None:
-    for spark, path in _WRITTEN:
-        try:
+    What a query returns reads those tables, so write or collect it inside.
+    """
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        mine = _WRITTEN[before:]
+        del _WRITTEN[before:]
+        for path in mine:
             _delete(spark, path)
-        except Exception:  # the session may be gone already
-            pass
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _drop_later(spark: SparkSession, path: str) -> None:
+    """Registered with the file system of the driver's JVM, which outlives spark.stop() and deletes what is left when it ends."""
+    _WRITTEN.append(path)
+    files, p = _file_system(spark, path)
+    files.deleteOnExit(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, p = _file_system(spark, path)
+    files.delete(p, True)
+    files.cancelDeleteOnExit(p)
 
 
 def ship(spark: SparkSession) -> None:

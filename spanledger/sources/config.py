@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tomllib
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,13 @@ def _numbers(entry: dict) -> list[float | None] | None:
     return out
 
 
+def _is_date(text: str) -> bool:
+    try:
+        return len(text) == 10 and bool(date.fromisoformat(text))
+    except ValueError:
+        return False
+
+
 def read_rates_toml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """(rates, tiers, periods, warnings) of a curated TOML table; a bad tier or period is told and never applied."""
     doc = tomllib.loads(Path(path).read_text())
@@ -50,7 +58,7 @@ def read_rates_toml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
                     warnings.append(f"{key}: bad {name}")
         for sub in entry.get("period", []):
             nums, through = _numbers(sub), str(sub.get("through", ""))
-            if nums and len(through) == 10 and through[4] == through[7] == "-":
+            if nums and _is_date(through):
                 periods.append((key.lower(), through, *nums))
             else:
                 warnings.append(f"{key}: bad period")
@@ -61,7 +69,7 @@ def read_rates_toml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def read_rates_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rates, tiers, skipped: one row) of a compact table, `key<TAB>field=rate...[<TAB>tier=n]` a line."""
     lines = spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')")
-    parts = lines.select(F.split("value", "\t").alias("p")).select(F.lower(F.trim(F.col("p")[0])).alias("key"), F.slice("p", 2, 100).alias("f"))
+    parts = lines.select(F.split("value", "\t").alias("p")).select(F.lower(F.trim(F.col("p")[0])).alias("key"), F.slice("p", F.lit(2), F.size("p") - 1).alias("f"))
     good = (F.col("key") != "") & (F.size("f") > 0) & F.forall("f", lambda x: x.rlike(r"^(input|output|reasoning|cache_read|cache_write)=[0-9]+(\.[0-9]+)?$|^tier=[0-9]+$|^free=true$"))
     fields = F.map_from_entries(F.transform("f", lambda x: F.struct(F.split(x, "=")[0].alias("k"), F.split(x, "=")[1].alias("v"))))
     read = parts.where(good).where("size(array_distinct(transform(f, x -> split(x, '=')[0]))) = size(f)").withColumn("m", fields)
@@ -77,17 +85,26 @@ def pricing_rows(html: DataFrame, text: str) -> DataFrame:
     rows = tables.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("r"))
     cells = rows.select(F.regexp_extract_all("r", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)).alias("raw")).where("size(raw) > 1")
     clean = cells.withColumn("cells", F.transform("raw", strip_html))
-    return clean.select(slug(F.col("cells")[0]).alias("key"), "cells", F.transform(F.slice("cells", 2, 20), listed_price).alias("prices"))
+    return clean.select(slug(F.col("cells")[0]).alias("key"), "cells", F.transform(F.slice("cells", F.lit(2), F.size("cells") - 1), listed_price).alias("prices"))
+
 
+PANEL = struct(id=S, name=S, updatedAt=S, ready=T.BooleanType(), tierLabel=S, usageStatusText=S, limits=T.ArrayType(struct(label=S, title=S, percent=T.DoubleType(), resetsAt=S)))
 
-PANEL = struct(id=S, name=S, updatedAt=S, ready=T.BooleanType(), tierLabel=S, limits=T.ArrayType(struct(label=S, title=S, percent=T.DoubleType(), resetsAt=S)))
+
+def read_panel_records(spark: SparkSession, path: str) -> DataFrame:
+    """agent, name, ready, tier, status_text, updated_at, windows: every record, those without windows included.
+
+    One JSON object a file; hidden files aside. A window's share is at most 1; one below zero or not a number is no window.
+    """
+    r = spark.read.schema(PANEL).option("multiLine", "true").option("pathGlobFilter", "[!.]*.json").json(path)
+    window = lambda w: F.struct(F.coalesce(w["title"], w["label"]).alias("label"), fraction(w["percent"]).alias("fraction"), w["resetsAt"].alias("resets_at"))
+    windows = F.filter(F.transform(F.coalesce("limits", F.array().cast(PANEL["limits"].dataType)), window), lambda w: w["fraction"].isNotNull())
+    return r.select(F.col("id").alias("agent"), "name", "ready", F.col("tierLabel").alias("tier"), F.col("usageStatusText").alias("status_text"), F.col("updatedAt").alias("updated_at"), windows.alias("windows"))
 
 
 def read_panel_limits(spark: SparkSession, path: str) -> DataFrame:
-    """agent, tier, updated_at, label, fraction, resets_at: the windows of every record, one JSON object a file; hidden files aside."""
-    r = spark.read.schema(PANEL).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
-    w = r.select(F.col("id").alias("agent"), F.col("tierLabel").alias("tier"), F.col("updatedAt").alias("updated_at"), F.explode("limits").alias("w"))
-    return w.select("agent", "tier", "updated_at", F.coalesce("w.title", "w.label").alias("label"), fraction(F.col("w.percent")).alias("fraction"), F.col("w.resetsAt").alias("resets_at")).where("fraction is not null")
+    """agent, tier, updated_at, label, fraction, resets_at: the windows of every record."""
+    return read_panel_records(spark, path).select("agent", "tier", "updated_at", F.explode("windows").alias("w")).select("agent", "tier", "updated_at", "w.*")
 
 
 # The window kinds of a cached utilisation record and their names.

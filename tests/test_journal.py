@@ -1,6 +1,7 @@
 """The journal: strict, idempotent, prunable."""
 
 import json
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,12 +119,14 @@ def test_exports(spark, tmp_path):
     assert list(got[0].asDict()) == export.CSV_COLUMNS and len(export.CSV_COLUMNS) == 15
     assert [r["model"] for r in got] == ["-5", "'=1+1"] and got[0]["cost"] == ""
     export.write_csv(usage, str(tmp_path / "csv"))
-    assert json.loads(export.json_rows(usage).first()[0])["session_id"] in ("s", None)
+    assert json.loads(export.json_rows(usage).first()[0]).keys() == export.JSON_FIELDS.keys()
     doc = export.summary(usage, NOW, 1)
     assert doc["by_session"]["rows"][0]["requests"] + doc["by_session"]["other"]["requests"] == doc["totals"]["requests"] == 3
     assert sum(p["requests"] for p in doc["provenance"]) == 3
     assert export.validate_budget({"scope": "provider", "limit": 1}) and not export.validate_budget({"limit": 5})
     assert export.balance_budget([{"name": "a", "scope": "model"}, {"name": "b", "scope": "global", "period": "monthly"}])["name"] == "b"
+    with pytest.raises(ValueError):
+        export.summary(usage, NOW, 0)
     export.write_atomic(str(tmp_path / "x"), "hello")
     assert (tmp_path / "x").read_text() == "hello" and (tmp_path / "x").stat().st_mode & 0o777 == 0o600
 
@@ -146,3 +149,19 @@ def test_routing_exports_and_checks(spark):
     assert export.unknown_keys({"a": 1, "b": [{"c": 1, "x": 2}], "y": {}}, {"a": None, "b": [{"c": None}]}) == [".b[].x", ".y"]
     row = spark.range(1).select(scalars.coverage_label(F.lit(99.96), F.lit(0)).alias("a"), scalars.coverage_label(F.lit(50.0), F.lit(1500)).alias("b"), scalars.coverage_label(F.lit(None).cast("double"), F.lit(7)).alias("c"), scalars.coverage_label(F.lit(None).cast("double"), F.lit(0)).alias("d")).first()
     assert tuple(row) == ("all priced", "50% priced · 1.5K on quota", "7 on quota", "")
+
+
+def test_desktop_record(spark):
+    day = NOW - NOW % 86400
+    row = lambda i, at, session, status, cost, model="m": (i, f"e{i}", "p", model, "PAID", status, "per_token", 1, 10, 2, 3, 4, 5, cost, None, at, session, None, False)
+    usage = spark.createDataFrame([row(1, day + 5, "a", "reported", 1.0), row(2, day - 5, "a", "unavailable", None), row(3, 0, None, "quota", None, "n"), row(4, day + 9, "b", "free", None)], USAGE_SCHEMA)
+    budgets = [{"name": "g", "scope": "global", "scope_name": None, "period": "monthly", "limit": 50.0, "spend": 75.0, "unpriced_requests": 1, "quota_requests": 1, "priced_requests": 1, "resets_at": "x"}, {"name": "q", "scope": "model", "scope_name": "n", "period": "daily", "limit": 0.0, "spend": 0.0, "unpriced_requests": 0, "quota_requests": 1, "priced_requests": 0}]
+    r = export.desktop_record(usage, budgets, NOW, balance=budgets[0])
+    assert (r["todayPrompts"], r["todaySessions"], r["todayTotalTokens"], r["totalPrompts"], r["totalSessions"], r["activeDays"]) == (2, 2, 48, 4, 2, 2)
+    assert r["recentDays"][-2:] == [{"date": str(datetime.fromtimestamp(day - 5, UTC).date()), "messageCount": 24}, {"date": str(datetime.fromtimestamp(day, UTC).date()), "messageCount": 48}]
+    assert r["modelUsage"]["m"] == {"inputTokens": 30, "outputTokens": 15, "cacheReadInputTokens": 12, "cacheCreationInputTokens": 15} and r["todayTokensByModel"] == {"m": 48}
+    assert r["limits"][0] == {"label": "Monthly budget (global)", "title": "Monthly budget", "percent": 1.0, "resetsAt": "x"} and r["limits"][1]["percent"] == 0.0
+    assert r["tierLabel"] == "Budget $50/month" and r["usageStatusText"] == "Spend partly unpriced" and r["balance"]["remaining"] == 0.0
+    assert r["authHelpText"] == "1 of 2 billable requests have no price; spend is a floor. global monthly: 1 budgeted requests have no price; its meter is a floor. model:n daily: all 1 requests are on quota; its meter has nothing per-token to draw."
+    empty = export.desktop_record(usage.where("seq < 0"), [], NOW)
+    assert not empty["ready"] and empty["tierLabel"] == "Pay as you go" and [d["messageCount"] for d in empty["recentDays"]] == [0] * 7

@@ -153,10 +153,10 @@ def test_registry_merges_in_order(spark, tmp_path, store):
 
 
 def test_rate_tables(spark, tmp_path):
-    (tmp_path / "r.toml").write_text('[model."A"]\ninput = 1\noutput = 2.5\n[model."A".tier-200]\ninput = 3\n[[model."A".period]]\nthrough = "2026-01-31"\ninput = 9\n[model."bad"]\ninput = -1\n[model."F"]\nfree = true\n[model."F".tier-x]\ninput = 1\n')
+    (tmp_path / "r.toml").write_text('[model."A"]\ninput = 1\noutput = 2.5\n[model."A".tier-200]\ninput = 3\n[[model."A".period]]\nthrough = "2026-01-31"\ninput = 9\n[[model."A".period]]\nthrough = "2026-02-31"\ninput = 9\n[model."bad"]\ninput = -1\n[model."F"]\nfree = true\n[model."F".tier-x]\ninput = 1\n')
     rates, tiers, periods, warnings = config.read_rates_toml(spark, str(tmp_path / "r.toml"))
     assert {(r["key"], r["free"], r["r_input"]) for r in rates.collect()} == {("a", False, 1.0), ("f", True, None)}
-    assert [(r["threshold"], r["r_input"]) for r in tiers.collect()] == [(200, 3.0)] and periods.count() == 1 and len(warnings) == 2
+    assert [(r["threshold"], r["r_input"]) for r in tiers.collect()] == [(200, 3.0)] and periods.count() == 1 and len(warnings) == 3
     (tmp_path / "r.tsv").write_text("a\tinput=1\toutput=2\na\tinput=3\ttier=100\nbroken\tinput=x\nalone\n# note\n")
     rates, tiers, skipped = config.read_rates_tsv(spark, str(tmp_path / "r.tsv"))
     assert rates.count() == 1 and tiers.first()["threshold"] == 100 and skipped.first()[0] == 2
@@ -171,6 +171,9 @@ def test_pricing_page(spark):
 def test_limits_and_status_line(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"id": "a", "tierLabel": "Pro", "updatedAt": "x", "limits": [{"label": "l", "title": "T", "percent": 1.4}, {"label": "m", "percent": -1}]}))
     assert [(r["label"], r["fraction"]) for r in config.read_panel_limits(spark, str(tmp_path)).collect()] == [("T", 1.0)]
+    (tmp_path / "b.json").write_text(json.dumps({"id": "b", "usageStatusText": "Not signed in", "ready": False}))
+    (tmp_path / ".hidden.json").write_text(json.dumps({"id": "hidden"}))
+    assert {(r["agent"], r["status_text"], len(r["windows"])) for r in config.read_panel_records(spark, str(tmp_path)).collect()} == {("a", None, 1), ("b", "Not signed in", 0)}
     line = json.dumps({"rate_limits": {"five_hour": {"used_percentage": 42, "resets_at": 1000 + 8040}, "seven_day": {"used_percentage": 9, "resets_at": 1}}})
     assert config.status_windows(spark.createDataFrame([(line,), ("{}",)], "line string"), 1000).select("status_line").orderBy(F.desc("status_line")).collect()[0][0] == "5h 42% (resets 2h 14m)"
 
