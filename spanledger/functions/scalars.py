@@ -133,11 +133,11 @@ def window_label(minutes: Column, secondary: Column | None = None) -> Column:
 
 
 def plan_label(tier: Column) -> Column:
-    """A plan's name from a tier id."""
-    t = F.lower(F.trim(tier))
-    times = F.regexp_extract(t, r"max[_-](\d+)x", 1)
-    named = F.when(times != "", F.concat(F.lit("Max "), times, F.lit("x")))
-    for word in ("max", "enterprise", "team", "pro"):
+    """A plan's name from a tier id: what follows `max_` as a multiple, else a word of it; null for any other."""
+    t = F.lower(tier)
+    times = F.regexp_extract(t, "max_([0-9x]*)", 1)
+    named = F.when(t.contains("max_"), F.when(times.endswith("x") & (F.length(times) > 1), F.concat(F.lit("Max "), times)).otherwise("Max"))
+    for word in ("enterprise", "team", "pro"):
         named = named.when(has_word(t, [word]), word.capitalize())
     return named
 

@@ -148,12 +148,7 @@ class Journal:
         if after is not None:
             top = rows.agg(F.max("seq")).first()[0]
             rows = rows if top is None or top < after else rows.where(F.col("seq") > after)
-        plan = F.col("billing") == "subscription"
-        status = known_label(F.col("cost_status"), COST_STATUSES, "unavailable")
-        return rows.withColumns({
-            "category": known_label(F.col("category"), CATEGORIES, "UNKNOWN"), "cost_status": F.when((status == "quota") & plan & F.col("cost").isNull(), "unavailable").otherwise(status),
-            "billing": F.when(plan, "subscription").otherwise("per_token"), **{c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in ("requests", *TOKEN_BUCKETS)}, "incomplete": F.lit(False),
-        })
+        return scanned(rows)
 
     def _append(self, table: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self._folder(table))
@@ -250,6 +245,16 @@ class Journal:
                     shutil.rmtree(rest)
 
 
+def scanned(rows: DataFrame) -> DataFrame:
+    """Stored usage rows as a source hands them on; see Journal.scan_usage()."""
+    plan = F.coalesce(F.col("billing") == "subscription", F.lit(False))
+    status = known_label(F.col("cost_status"), COST_STATUSES, "unavailable")
+    return rows.withColumns({
+        "category": known_label(F.col("category"), CATEGORIES, "UNKNOWN"), "cost_status": F.when((status == "quota") & plan & F.col("cost").isNull(), "unavailable").otherwise(status),
+        "billing": F.when(plan, "subscription").otherwise("per_token"), **{c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in ("requests", *TOKEN_BUCKETS)}, "incomplete": F.lit(False),
+    })
+
+
 def is_old(cutoff: int) -> Column:
     """Dated before cutoff."""
     return (F.col("created") > 0) & (F.col("created") < cutoff)

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jsonwalk import Num, canonical, clean, digest, whole_object
+from ..session import materialize
 
 _OCC = T.StructType([
     T.StructField("rec_id", T.LongType()), T.StructField("node", T.IntegerType()), T.StructField("parent_node", T.IntegerType()), T.StructField("hash", T.BinaryType()), T.StructField("parent_hash", T.BinaryType()),
     T.StructField("field", T.StringType()), T.StructField("path", T.StringType()), T.StructField("item_pos", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("in_array", T.BooleanType()), T.StructField("canonical", T.StringType()),
 ])
+#: An object that makes up more than one occurrence in so many is joined by broadcast.
+HOT_PARTS = 1024
 #: Rows and characters that a worker holds back before it hands a batch on.
 BATCH_ROWS, BATCH_CHARS = 20_000, 16 << 20
 
@@ -175,6 +178,24 @@ def values(stored: DataFrame) -> DataFrame:
     return stored.select("hash", "canonical").mapInPandas(run, "hash binary, field string, item_pos string, type string, value string")
 
 
+def flat(occ: DataFrame) -> DataFrame:
+    """rec_id, array_path, item_pos, field, value_pos, type, value: the scalars of every object that stands in an array.
+
+    The bridge and the values of the distinct objects, joined by hash. Objects that are more than one occurrence in HOT_PARTS, of
+    which there can be no more than that, are joined by broadcast.
+    """
+    stored = materialize(objects(occ), "objects")
+    total = stored.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > max(total // HOT_PARTS, 1000)
+    links = bridge(occ).where("in_array").select("rec_id", F.col("path").alias("array_path"), "item_pos", "hash")
+    told = lambda some: values(some).withColumnRenamed("item_pos", "value_pos")
+    hot = stored.where(is_hot)
+    if hot.isEmpty():
+        return links.join(told(stored), "hash").drop("hash")
+    cold = links.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(told(stored.where(~is_hot)), "hash")
+    return cold.unionByName(links.join(F.broadcast(told(hot)), "hash")).drop("hash")
+
+
 def rebuild(texts: dict[str, str], top: str) -> object:
     """The JSON value of a hash, put together again from the stored objects (hash in hex to canonical text)."""
     out: dict = {}

@@ -155,6 +155,11 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return _ingested(spark, d).drop("_layout")
 
 
+def p5_typed(spark: SparkSession, d: str) -> DataFrame:
+    """The one table's typed columns, without what was rescued."""
+    return p5_records(spark, d).drop("_rescued")
+
+
 def p5_promoted(spark: SparkSession, d: str) -> DataFrame:
     """The typed table after the cost field was approved: rescued values replayed into a column of its own."""
     return drift.promote(p5_records(spark, d), drift.Target("cost", "double", ("cost", "cost.total_cost_usd")))
@@ -185,6 +190,11 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
     return nested.values(p6_objects(spark, d))
 
 
+def p6_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The scalars of every object that stands in an array, put together from the bridge and the stored objects' values."""
+    return nested.flat(materialize(nested.occurrences(table(spark, d, "raw_record"), "rec_id", "body"), "occurrences"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_bridge(spark, d).where("in_array").select("rec_id", F.col("path").alias("array_path"), "item_pos")
 
@@ -223,12 +233,14 @@ QUERIES = {
     "p4_rolling": p4_rolling,
     "p5_found": p5_found,
     "p5_records": p5_records,
+    "p5_typed": p5_typed,
     "p5_promoted": p5_promoted,
     "p5_changes": p5_changes,
     "p6_found": p6_found,
     "p6_bridge": p6_bridge,
     "p6_objects": p6_objects,
     "p6_values": p6_values,
+    "p6_flat": p6_flat,
     "p7_found": p7_found,
     "p7_instants": p7_instants,
 }
@@ -289,7 +301,21 @@ down AS (SELECT u, u AS root, 0 AS depth, CASE WHEN p = chr(0) THEN 'tree' ELSE
 below AS (SELECT p AS u, count(*) AS n FROM up GROUP BY p)"""
 _LEVELS_SELECT = """SELECT n.u AS uuid, coalesce(d.state, CASE WHEN c.u IS NOT NULL THEN 'circle' ELSE 'below_circle' END) AS state, d.root, cast(d.depth AS BIGINT) AS depth, CASE WHEN d.u IS NOT NULL THEN coalesce(b.n, 0) END AS descendants
 FROM nodes n LEFT JOIN down d ON d.u = n.u LEFT JOIN (SELECT DISTINCT u FROM up WHERE u = p) c ON c.u = n.u LEFT JOIN below b ON b.u = n.u"""
+_TARGETS = ", ".join(f"('{t.name}', '{t.type}', {i}, '{p}')" for t in TARGETS for i, p in enumerate(t.paths))
+# Of each column's paths (its own, then those of the alias groups that hold one of them) the first whose value fits.
+_TYPED = f"""whole AS ({_WHOLE}),
+tree AS (SELECT rec_id, '' AS path, j FROM whole UNION ALL SELECT rec_id, CASE WHEN t.path = '' THEN e.key ELSE t.path || '.' || e.key END, e.value FROM (SELECT * FROM tree WHERE json_type(j) = 'OBJECT') t, json_each(t.j) e),
+target(name, type, i, path) AS (VALUES {_TARGETS}), alias AS (SELECT DISTINCT canonical_path AS c, spelling_path AS s FROM field_alias), grp AS (SELECT DISTINCT c, c AS path, 0 AS k FROM alias UNION SELECT c, s, 1 FROM alias),
+spelled AS (SELECT name, type, path, row_number() OVER (PARTITION BY name ORDER BY o) AS place FROM (SELECT name, type, path, min(o) AS o FROM (SELECT name, type, path, printf('0%03d', i) AS o FROM target UNION ALL SELECT t.name, t.type, g.path, printf('1%03d', t.i) || h.c || chr(0) || cast(g.k AS VARCHAR) || g.path FROM target t JOIN grp h ON h.path = t.path JOIN grp g ON g.c = h.c) GROUP BY ALL)),
+fits AS (SELECT t.rec_id, s.name, arg_min(v, place) AS v FROM (SELECT rec_id, path, json_type(j) AS k, j->>'$' AS v FROM tree WHERE path <> '') t JOIN spelled s ON s.path = t.path WHERE k <> 'NULL' AND CASE type WHEN 'string' THEN k NOT IN ('OBJECT', 'ARRAY') ELSE k NOT IN ('OBJECT', 'ARRAY', 'BOOLEAN') AND regexp_full_match(v, '-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?') AND try_cast(v AS DECIMAL(38, 10)) % 1 = 0 AND try_cast(v AS DECIMAL(38, 10)) BETWEEN -9223372036854775808 AND 9223372036854775807 END GROUP BY ALL)"""
+_FLAT = f"""whole AS ({_WHOLE}),
+tree AS (SELECT rec_id, '' AS path, '' AS pos, j, false AS item, cast(NULL AS VARCHAR) AS array_path, cast(NULL AS VARCHAR) AS item_pos, '' AS field, '' AS value_pos FROM whole UNION ALL
+  SELECT rec_id, CASE WHEN json_type(t.j) = 'ARRAY' THEN t.path || '[]' WHEN t.path = '' THEN e.key ELSE t.path || '.' || e.key END, CASE WHEN json_type(t.j) = 'OBJECT' THEN t.pos WHEN t.pos = '' THEN e.key ELSE t.pos || '.' || e.key END, e.value, json_type(t.j) = 'ARRAY',
+    CASE WHEN json_type(t.j) = 'ARRAY' THEN array_path WHEN t.item THEN t.path[:-3] END, CASE WHEN json_type(t.j) = 'ARRAY' THEN item_pos WHEN t.item THEN t.pos END, CASE WHEN json_type(t.j) = 'ARRAY' THEN field || '[]' ELSE e.key END, CASE WHEN json_type(t.j) = 'OBJECT' THEN '' WHEN value_pos = '' THEN e.key ELSE value_pos || '.' || e.key END
+  FROM (SELECT * FROM tree WHERE json_type(j) IN ('OBJECT', 'ARRAY')) t, json_each(t.j) e)"""
 SQL: dict[str, str] = {
+    "p5_typed": "WITH RECURSIVE " + _TYPED + " SELECT r.rec_id, r.feed_id, r.feed_kind, r.file_no, r.line_no, w.rec_id IS NOT NULL AS _whole, " + ", ".join(f"cast(max(CASE WHEN f.name = '{t.name}' THEN f.v END) AS {'BIGINT' if t.type == 'long' else 'VARCHAR'}) AS {t.name}" for t in TARGETS) + " FROM raw_record r LEFT JOIN whole w ON w.rec_id = r.rec_id LEFT JOIN fits f ON f.rec_id = r.rec_id GROUP BY ALL",
+    "p6_flat": f"WITH RECURSIVE {_FLAT} SELECT rec_id, array_path, item_pos, field, value_pos, CASE json_type(j) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'empty' ELSE 'number' END AS type, CASE WHEN json_type(j) NOT IN ('NULL', 'ARRAY') THEN j->>'$' END AS value FROM tree WHERE array_path IS NOT NULL AND json_type(j) <> 'OBJECT' AND NOT (json_type(j) = 'ARRAY' AND json_array_length(j) > 0)",
     "p3_found": f"WITH {_EVENTS} SELECT 'transcript_line' AS table_name, line_id AS row_id FROM lines WHERE n > 1 UNION ALL SELECT 'usage_event', id FROM events WHERE n > 1",
     "p4_rolling": f"WITH {_ROLLING} SELECT * FROM rolling",
     "p4_found": f"WITH {_ROLLING} SELECT model, strftime(day, '%Y-%m-%d') AS usage_day FROM rolling WHERE 2 * tokens_7 > tokens_30",

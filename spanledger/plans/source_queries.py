@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import export, journal, supersede, usage, views
-from ..schema import TOKEN_BUCKETS, total_tokens
+from ..schema import CATEGORIES, COST_STATUSES, TOKEN_BUCKETS, USAGE_SCHEMA, known_label, total_tokens
 from ..session import scratch, table
 from ..sources import config, lines, stores, telemetry
+from ..streaming import state as live
+from ..streaming import tail
 from . import adapters as A
 from .stamp_sql import stamped
 
@@ -167,6 +169,49 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
     return config.status_windows(r, 500).select("rec_id", F.regexp_replace("status_line", r" \(resets [^)]*\)", "").alias("shown"))
 
 
+_CLAMPED = ", ".join(f"greatest(coalesce({c}, 0), 0) AS {n}" for c, n in (("requests", "requests"), *((f"{b}_tokens - 5", b) for b in TOKEN_BUCKETS)))
+
+
+@query("s10_journal", f"""SELECT id AS seq, event_id, CASE WHEN category IN ('LOCAL', 'FREE', 'PAID', 'CLOUD', 'UNKNOWN') THEN category ELSE 'UNKNOWN' END AS category, CASE WHEN cost_status = 'quota' AND billing IS NOT DISTINCT FROM 'subscription' AND cost IS NULL THEN 'unavailable' ELSE cost_status END AS cost_status,
+  CASE WHEN billing = 'subscription' THEN 'subscription' ELSE 'per_token' END AS billing, {_CLAMPED}, cost FROM usage_event WHERE id > (SELECT median(id) FROM usage_event)""")
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    """usage_event as journal rows behind a cursor; counts are lowered by five so that some are damaged, labels are the table's own spelling."""
+    u = table(spark, d, "usage_event")
+    rows = u.select(F.col("id").alias("seq"), "event_id", "category", "cost_status", "billing", "requests", *((F.col(f"{c}_tokens") - 5).alias(c) for c in TOKEN_BUCKETS), "cost")
+    after = u.agg(F.median("id")).first()[0]
+    return journal.scanned(rows.where(F.col("seq") > after)).drop("incomplete")
+
+
+@query("t03_live_supersede", f"WITH {A.USAGE_SQL} SELECT position AS seq, event_id, tokens FROM (SELECT *, min(seq) OVER (PARTITION BY event_id) AS position, row_number() OVER (PARTITION BY event_id ORDER BY tokens DESC, seq) AS n FROM usage WHERE event_id IS NOT NULL) WHERE n = 1")
+def t03(spark: SparkSession, d: str) -> DataFrame:
+    """Events with an id as a stream of three files, superseded live: the state after all of them."""
+    rows = lines.as_usage(A.usage(spark, d).where("event_id is not null"), **{c: F.col(c) for c in ("seq", "event_id", "provider", "model", "category", "cost_status", "billing", "requests", *TOKEN_BUCKETS, "cost", "session_id", "project", "incomplete")})
+    source, updates, marks = scratch(rows.repartition(3), "stream", "parquet"), scratch(rows.limit(0).select("seq"), "updates", "parquet") + "/u", scratch(rows.limit(0).select("seq"), "marks", "parquet") + "/m"
+    stream = spark.readStream.schema(USAGE_SCHEMA).option("maxFilesPerTrigger", "1").parquet(source)
+    live.live_usage(stream).writeStream.outputMode("update").option("checkpointLocation", marks).foreachBatch(live.write_state(updates)).trigger(availableNow=True).start().awaitTermination()
+    return live.latest_state(spark.read.parquet(updates)).select("seq", "event_id", total_tokens().alias("tokens"))
+
+
+@query("t02_tail", f"""SELECT coalesce(request_id, message.id, uuid) AS event_id, coalesce(message.usage.output_tokens, 0) AS output FROM transcript_line WHERE message.role = 'assistant' AND message.usage IS NOT NULL AND coalesce(message.model, '') NOT LIKE '<%'
+  AND (message.usage.input_tokens IS NULL OR message.usage.output_tokens IS NULL OR message.usage.input_tokens + message.usage.output_tokens + coalesce(message.usage.cache_read_input_tokens, 0) + coalesce(message.usage.cache_creation_input_tokens, 0) > 0)""")
+def t02(spark: SparkSession, d: str) -> DataFrame:
+    """transcript_line as files that are tailed by byte offsets, and the requests in what the tail gave."""
+    t = table(spark, d, "transcript_line")
+    line = F.to_json(F.struct(F.col("request_id").alias("requestId"), "uuid", F.col("session_id").alias("sessionId"), F.struct("message.id", "message.role", "message.model", "message.usage").alias("message")))
+    source, marks = _text(t.select(line), "tailed").removeprefix("file://").removeprefix("file:"), scratch(t.limit(0).select("line_id"), "marks", "parquet")
+    stream = tail.tail(spark, f"{source}/part-*")
+    stream.writeStream.outputMode("append").format("parquet").option("path", marks + "/read").option("checkpointLocation", marks + "/m").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.parquet(marks + "/read").select("file", F.struct(F.lit(0).alias("block"), F.col("pos").alias("row")).alias("pos"), "line")
+    return lines.transcript_usage(read).select("event_id", "output")
+
+
+@query("x14_plan_label", "SELECT tier, CASE WHEN contains(t, 'max_') THEN CASE WHEN regexp_full_match(m, '[0-9x]+x') THEN 'Max ' || m ELSE 'Max' END WHEN list_contains(w, 'enterprise') THEN 'Enterprise' WHEN list_contains(w, 'team') THEN 'Team' WHEN list_contains(w, 'pro') THEN 'Pro' END AS label FROM (SELECT *, regexp_extract(t, 'max_([0-9x]*)', 1) AS m, string_split_regex(t, '[^a-z0-9]+') AS w FROM (SELECT tier, lower(tier) AS t FROM (SELECT DISTINCT panel || s AS tier FROM limit_record, (VALUES ('_max_20x'), ('_MAX_5x_y'), ('_max_'), (' max'), ('-Pro'), ('_promo'), ('.team.'), ('/Enterprise')) v(s))))")
+def x14(spark: SparkSession, d: str) -> DataFrame:
+    ends = F.explode(F.array(*(F.lit(x) for x in ("_max_20x", "_MAX_5x_y", "_max_", " max", "-Pro", "_promo", ".team.", "/Enterprise"))))
+    tiers = table(spark, d, "limit_record").select("panel").distinct().select("panel", ends.alias("s")).select(F.concat("panel", "s").alias("tier"))
+    return tiers.select("tier", X.plan_label(F.col("tier")).alias("label"))
+
+
 # --- sinks --------------------------------------------------------------------------------------------------
 
 _PLAIN = lambda c: f"regexp_replace(cast(cast(cast({c} AS VARCHAR) AS DECIMAL(38, 18)) AS VARCHAR), '[.]?0+$', '')"
@@ -417,8 +462,6 @@ def x17(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x03_labels", "SELECT id, CASE WHEN upper(category) IN ('LOCAL', 'FREE', 'PAID', 'CLOUD', 'UNKNOWN') THEN upper(category) ELSE 'UNKNOWN' END AS category, CASE WHEN cost_status IN ('reported', 'calculated', 'estimated', 'free', 'local', 'quota', 'unavailable') THEN cost_status ELSE 'unavailable' END AS cost_status FROM usage_event")
 def x03(spark: SparkSession, d: str) -> DataFrame:
-    from ..schema import CATEGORIES, COST_STATUSES, known_label
-
     return table(spark, d, "usage_event").select("id", known_label(F.upper("category"), CATEGORIES, "UNKNOWN").alias("category"), known_label(F.col("cost_status"), COST_STATUSES, "unavailable").alias("cost_status"))
 
 

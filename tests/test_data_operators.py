@@ -261,6 +261,13 @@ def test_deep_reader_reads_what_the_shallow_one_reads(seed):
             assert got is None or not isinstance(got, dict) or got == want
 
 
+def test_flat_with_a_hot_object(spark):
+    bodies = [(i, '{"a":[{"n":1},{"n":1},{"k":"x%d"},{}]}' % i) for i in range(1500)]
+    occ = nested.occurrences(spark.createDataFrame(bodies, "rec_id long, body string"), "rec_id", "body")
+    got = sorted((r["rec_id"], r["array_path"], r["item_pos"], r["field"], r["value"]) for r in nested.flat(occ).collect())
+    assert got == sorted(x for i in range(1500) for x in ((i, "a", "0", "n", "1"), (i, "a", "1", "n", "1"), (i, "a", "2", "k", f"x{i}")))
+
+
 def test_values_of_objects(spark):
     body = '{"s":"x","n":1.50,"t":true,"z":null,"o":{"in":1},"e":[],"l":[1,["a",{"q":2}]]}'
     occ = nested.occurrences(spark.createDataFrame([(1, body)], "rec_id long, body string"), "rec_id", "body")
