@@ -66,6 +66,11 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 # --- 10: texts cut off --------------------------------------------------------------------------------------
 
 
+def p10_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose text begins a longer one, and whether any of those goes on inside the line: the prefix join alone."""
+    return truncation.prefix_of_longer(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
     """What speaks for a cut, for every document."""
     return truncation.evidence(table(spark, d, "documents"), "doc_id", "text", "source")
@@ -80,7 +85,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.source_shares(p10_evidence(spark, d))
 
 
-QUERIES = {"p10_found": p10_found, "p10_evidence": p10_evidence, "p10_sources": p10_sources, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p2_found": p2_found, "p2_rejected": p2_rejected, "p2_conversations": p2_conversations}
+QUERIES = {"p10_found": p10_found, "p10_evidence": p10_evidence, "p10_prefixes": p10_prefixes, "p10_sources": p10_sources, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill, "p2_found": p2_found, "p2_rejected": p2_rejected, "p2_conversations": p2_conversations}
 _TALKS = r"""lines AS (
   SELECT line_id, session_id AS s, coalesce(agent_id, '') AS a, nullif(uuid, '') AS u, parent_uuid AS p,
     CASE WHEN regexp_matches(coalesce(message.content, ''), '[^\s]') AND lower(trim(message.role)) IN ('user', 'assistant') THEN lower(trim(message.role)) END AS kind
@@ -104,7 +109,14 @@ said AS (SELECT n.s AS session_id, n.a AS agent_id, t.root_order, t.root_line, t
 _NUMBERED = """
 numbered AS (SELECT o.s, o.u, o.a, o.p, o.kind, o.line_id, coalesce(r.micros, 4611686018427387904) AS place, md5(o.s || chr(0) || o.u) AS k FROM (SELECT *, row_number() OVER (PARTITION BY s, u ORDER BY line_id) AS n FROM lines WHERE u IS NOT NULL) o LEFT JOIN read r ON r.k = o.line_id WHERE n = 1),
 loose AS (SELECT l.*, r.micros FROM lines l LEFT JOIN read r ON r.k = l.line_id WHERE u IS NULL)"""
+_CLOSERS_SQL = "".join("''" if c == "'" else "\\" + c if c in "[]()}{" else c for c in truncation._CLOSERS)
+_STOPS_SQL = "".join(truncation._STOPS)
+_BLANK = r"[\s\x{1c}-\x{1f}\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SQL: dict[str, str] = {
+    "p10_prefixes": f"""WITH t AS (SELECT text, array_agg(doc_id) AS ids FROM documents WHERE text <> '' GROUP BY text), s AS (SELECT text, ids, regexp_replace(text, '{_BLANK}+$', '') AS bare FROM t),
+w AS (SELECT *, regexp_matches(regexp_replace(bare, '[{_CLOSERS_SQL}]+$', ''), '[{_STOPS_SQL}]$') AS stops, regexp_matches(text, '{_BLANK}$') OR (bare <> '' AND unicode(right(bare, 1)) > 11903) AS never FROM s),
+f AS (SELECT w.text, w.ids, bool_or(c NOT IN (chr(10), chr(13)) AND right(w.text, 1) NOT IN (chr(10), chr(13)) AND NOT (stops AND (never OR regexp_matches(c, '{_BLANK}')))) AS inside_line FROM w, LATERAL (SELECT substr(l.text, length(w.text) + 1, 1) AS c FROM t l WHERE length(l.text) > length(w.text) AND starts_with(l.text, w.text)) x GROUP BY ALL)
+SELECT unnest(ids) AS doc_id, inside_line FROM f""",
     "p2_conversations": "WITH RECURSIVE " + stamped("read", "SELECT line_id AS k, ts AS raw, host_id FROM transcript_line") + f", {_TALKS},{_NUMBERED},{_ORDERED} SELECT c.*, t.message.content AS content FROM said c JOIN transcript_line t ON t.line_id = c.line_id WHERE NOT EXISTS (SELECT 1 FROM out o WHERE o.session_id = c.session_id AND o.agent_id = c.agent_id)",
     "p2_found": f"WITH RECURSIVE {_TALKS} SELECT s AS session_id, a AS agent_id FROM broken UNION SELECT s, a FROM empty UNION SELECT s, a FROM waiting",
     "p2_rejected": f"""WITH RECURSIVE {_TALKS} SELECT s AS session_id, a AS agent_id, bool_or(r = 1) AS broken, bool_or(r = 2) AS empty, bool_or(r = 3) AS unanswered
