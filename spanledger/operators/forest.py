@@ -140,6 +140,7 @@ class Forest:
         rows, largest = sizes[0] or 0, sizes[1] or 0
         # By rows: as many as bound a partition, and enough for the cores where that is worth a task.
         parts = max(math.ceil(2 * rows / GROUP_ROWS), min(self.spark.sparkContext.defaultParallelism, math.ceil(rows / LEAST_ROWS)), 1)
+        self.parts = parts
         if largest <= GROUP_ROWS:
             return self._run(nodes.repartition(parts, "_group"), 0)
         # Each has more than GROUP_ROWS rows, so they are few: known by heart in every task, no hot group is shuffled to one.
@@ -235,7 +236,9 @@ class Forest:
         whole = whole.withColumns({"start": F.coalesce("start", F.lit(0))}).withColumns({"g": F.col("start") + F.col("enter"), "h": F.col("start") + F.col("enter") + F.col("size")}).drop("start")
         parted = mine.join(cut, "tree", "left_semi")
         schema = T.StructType([*parted.schema.fields, T.StructField("g", T.LongType()), T.StructField("h", T.LongType())])
-        placed = parted.groupBy("tree").cogroup(segments.join(cut, "tree", "left_semi").groupBy("tree")).applyInPandas(_place, schema)
+        # Many trees at a time: as many buckets of trees as there are partitions, so of about their size.
+        bucket = F.pmod(F.xxhash64("tree"), F.lit(self.parts))
+        placed = parted.groupBy(bucket).cogroup(segments.join(cut, "tree", "left_semi").groupBy(bucket)).applyInPandas(_place, schema)
         rows = materialize(whole.unionByName(placed.select(whole.columns)), "tours")
         # Orphans of one missing parent share a numbering: it starts anew at each of them.
         orphans = rows.where(F.col("end_kind") == MISSING)
@@ -283,18 +286,22 @@ class Forest:
 
 
 def _place(nodes: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-    """Global tour numbers of one local tree's nodes, given the ranked pieces of its tour."""
-    pieces = pieces.sort_values("j")
-    pos, start, cut = (pieces[c].to_numpy() for c in ("pos", "start", "cut_depth"))
-    enter, size, depth = (nodes[c].to_numpy() for c in ("enter", "size", "depth"))
-    i = np.searchsorted(pos, enter, side="right") - 1
-    end = enter + size
+    """Global tour numbers of the nodes of many local trees, given the ranked pieces of their tours."""
+    if not len(nodes):
+        return nodes.assign(g=pd.Series(dtype="int64"), h=pd.Series(dtype="int64"))
+    base = int(pieces["cut_depth"].max()) + 2
     # Behind a node's last descendant come the trees hung below it: those cut at its end at its depth or deeper.
-    base = int(cut.max()) + 2
-    ranks = pos * (base + 1) + (base - 1 - cut)
-    ranks[0] = -1
-    k = np.searchsorted(ranks, end * (base + 1) + (base - 1 - np.minimum(depth, base - 1)), side="right") - 1
-    return nodes.assign(g=start[i] + enter - pos[i], h=start[k] + end - pos[k])
+    rank = np.where(pieces["j"] == 0, -1, pieces["pos"] * (base + 1) + (base - 1 - pieces["cut_depth"]))
+    pieces = pieces.assign(rank=rank.astype(np.int64))[["tree", "j", "pos", "start", "rank"]]
+    end = nodes["enter"] + nodes["size"]
+    asked = pd.DataFrame({"i": np.arange(len(nodes)), "tree": nodes["tree"].to_numpy(), "enter": nodes["enter"].to_numpy(), "end": end.to_numpy(), "at": (end * (base + 1) + (base - 1 - np.minimum(nodes["depth"], base - 1))).to_numpy().astype(np.int64)})
+
+    def behind(left: str, right: str) -> pd.DataFrame:
+        """Of each node the last piece of its tree that begins no later."""
+        return pd.merge_asof(asked.sort_values(left), pieces.sort_values([right, "j"]), left_on=left, right_on=right, by="tree").sort_values("i")
+
+    first, last = behind("enter", "pos"), behind("at", "rank")
+    return nodes.assign(g=(first["start"] + first["enter"] - first["pos"]).to_numpy(), h=(last["start"] + last["end"] - last["pos"]).to_numpy())
 
 
 def jump(steps: DataFrame, carried: list[str]) -> DataFrame:
